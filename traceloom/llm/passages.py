@@ -141,6 +141,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ws = Workspace(docs.sparkSession)
     marked = ws.save(with_bands(paragraph_shingles(docs, id_col, text_col)))
     distinct = ws.save(marked.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
+    where = ws.save(marked.select("doc_id", "paragraph", "n_words", "id"))
+    ws.drop(marked)
     index = distinct.select("id", F.posexplode("bands").alias("band", "key"))
     met = index.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     candidates = components(index.join(met, ["band", "key"]).filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
@@ -148,7 +150,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = candidates.groupBy("cluster").agg(F.count("*").alias("n"))
     links = ws.save(verified_links(candidates.join(sizes, "cluster").join(distinct.select("id", "shingles"), "id")))
     near = ws.save(components(links).select(F.col("node").alias("id"), "component"))
-    occurrence = marked.select("doc_id", "paragraph", "n_words", "id").join(near, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
+    occurrence = where.join(near, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
     occurrence = ws.save(occurrence.select("doc_id", "paragraph", "n_words", "class_id"))
     classes = occurrence.groupBy("class_id").agg(F.count("*").alias("occurrences"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph")).alias("first")).filter("low < high")
     joined = occurrence.join(classes, "class_id")
