@@ -129,4 +129,8 @@ ORACLES: dict[str, str] = {
     "renumber_offsets": "SELECT o_custkey, o_orderkey, row_number() OVER w::INT AS new_number, coalesce(sum(o_orderkey % 97) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "interval_apply": "SELECT doc_id, md5(substring(text, 1, (doc_id % 17)::INT + 2) || substring(text, (doc_id % 17)::INT + 10, 0) || substring(text, (doc_id % 17)::INT + 13)) AS left_over FROM documents",
     "related_links": "WITH l AS (SELECT p_partkey, unnest([0, 1, 2])::INT AS pos, unnest([p_partkey + 1, p_partkey * 2, p_partkey - 1]) AS t FROM part) SELECT l.p_partkey, pos, p.p_name AS title FROM l JOIN part p ON p.p_partkey = l.t",
+    "image_clean_verify": """WITH s(signal_id, k) AS (VALUES ('exif', 3), ('embedded-text', 2), ('icc', 5), ('xmp', 0), ('iptc', 0), ('c2pa', 0)),
+ d AS (SELECT signal_id, k > 0 AND doc_id % greatest(k, 1) = 0 AS hit FROM documents, s)
+ SELECT signal_id, CASE WHEN hit THEN 'detected' ELSE 'not_detected' END AS before_status, CASE WHEN hit AND signal_id = 'icc' THEN 'detected' ELSE 'not_detected' END AS after_status,
+ CASE WHEN NOT hit THEN 'absent' WHEN signal_id = 'icc' THEN 'kept' ELSE 'removed' END AS outcome, count(*) AS n FROM d GROUP BY ALL""",
 }

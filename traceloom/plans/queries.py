@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hidden as H
 from ..functions import texts as T
 from ..operators import audit, graph, limiter, markup
+from ..operators.containers import clean_and_verify_images
 from ..operators.detect import detect_format, error_code
 from ..operators.lint import duplicate_titles, lint, lint_totals
 from ..operators.verify import clean_and_verify, compare, exposure, text_facts
@@ -177,6 +178,18 @@ def exposure_axes(spark, sf_dir):
     return exposure(made_facts(spark, sf_dir).drop("ord"))
 
 
+# image containers
+def made_jpegs(spark, sf_dir):
+    """A small JPEG for every document, with a comment, EXIF or ICC segment by its id and the text's first characters as scan."""
+    add = lambda n, marker, data: F.when(F.pmod("doc_id", F.lit(n)) == 0, F.unhex(F.lit(f"FF{marker}{len(data) + 2:04X}{data.hex()}"))).otherwise(F.unhex(F.lit("")))
+    parts = [F.unhex(F.lit("FFD8")), add(5, "E2", b"ICC_PROFILE\0x"), add(3, "E1", b"Exif\0\0stuff"), add(2, "FE", b"a note"), F.unhex(F.lit("FFDA0002")), F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 200), "UTF-8"), F.unhex(F.lit("FFD9000000000000"))]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("content"))
+
+
+def image_clean_verify(spark, sf_dir):
+    return clean_and_verify_images(made_jpegs(spark, sf_dir), "doc_id", "content").groupBy("signal_id", "before_status", "after_status", "outcome").agg(F.count("*").alias("n"))
+
+
 # audit
 def audit_tallies(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -257,6 +270,6 @@ def related_links(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     hidden_scan, hidden_findings, hidden_clean, hidden_runs, text_clean_verify, sanitize_values, filename_ops, size_format, strip_tags, word_numbers, digests,
     detect_formats, format_registry, signal_verdicts, presets_valid, generator_match, png_keys, fm_keys, fm_clean, html_comments, html_meta, html_json_ld, html_active,
-    compare_outcomes, exposure_axes, audit_tallies, audit_quantiles, audit_histogram, audit_gate, count_buckets, lint_documents, lint_duplicates, lint_summary,
+    compare_outcomes, exposure_axes, image_clean_verify, audit_tallies, audit_quantiles, audit_histogram, audit_gate, count_buckets, lint_documents, lint_duplicates, lint_summary,
     limiter_fixed_bucket, limiter_sliding, revision_overlay, reachability, renumber_offsets, interval_apply, related_links,
 )}
