@@ -66,7 +66,7 @@ def peel(cells: Column, width: int = WIDTH, bit: int = 0) -> Column:
     """The digests in a difference of sketches, found by peeling; null if some cells don't empty.
 
     Steps alternate: one finds the cells that hold a single digest, the next takes these digests out
-    of all their cells. After a step that finds none, the others do nothing.
+    of all their cells. Where there are none to take out, this and all later steps do nothing.
     """
     kind = "array<struct<c:int,k:bigint,h:bigint>>"
     none = F.array().cast(kind)
@@ -78,13 +78,15 @@ def peel(cells: Column, width: int = WIDTH, bit: int = 0) -> Column:
         pure = F.array_distinct(F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == F.xxhash64(x["k"]))))
         return state(s["cells"], pure, s["got"], s["live"])
 
+    stop = lambda s: state(s["cells"], s["pure"], s["got"], F.lit(False))
+
     def clear(s):
         take = lambda y, p: _cell(y["c"] - p["c"], y["k"].bitwiseXOR(p["k"]), y["h"].bitwiseXOR(p["h"]))
         cleared = _parts(width, bit, lambda placed, i: F.aggregate(F.filter(s["pure"], lambda p: placed(p["k"])), F.get(s["cells"], i), take))
-        return state(cleared, none, F.concat(s["got"], F.transform(s["pure"], lambda p: p["k"])), F.size(s["pure"]) > 0)
+        return state(cleared, none, F.concat(s["got"], F.transform(s["pure"], lambda p: p["k"])), s["live"])
 
     start = state(cells, none, F.array().cast("array<bigint>"), F.lit(True))
-    step = lambda s, n: F.when(~s["live"], s).when(n % 2 == 1, find(s)).otherwise(clear(s))
+    step = lambda s, n: F.when(~s["live"], s).when(n % 2 == 1, find(s)).when(F.size(s["pure"]) == 0, stop(s)).otherwise(clear(s))
     empty = lambda s: ~F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start, step, lambda s: F.when(empty(s), s["got"]))
 
@@ -95,27 +97,31 @@ def as_text(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, one), ""))
 
 
-def differences(sets: Column, others: list[str]) -> Column:
+def differences(sets: Column, others: list[str], wanted: dict[str, Column] | None = None) -> Column:
     """sets is a struct of small lists: how many digests only one of its a and each of others holds.
 
+    Where `wanted` of a list is false, it is not compared, and its number is 0.
+
     From larger and larger sketches, until one peels. If the largest fails too, which digests alike in
     all their places would take, the lists are compared. Sketches of the first size are made once.
     """
     w, b = LARGER[0]
-    first = F.transform(F.array(sets), lambda s: F.struct(*[s[x].alias(x) for x in ["a", *others]], *[sketch(s[x], w, b).alias(f"s{x}") for x in ["a", *others]]))
+    asked = lambda x, c: F.when(wanted[x], c) if wanted and x in wanted else c
+    first = F.transform(F.array(sets), lambda s: F.struct(*[s[x].alias(x) for x in ["a", *others]], *[asked(x, sketch(s[x], w, b)).alias(f"s{x}") for x in ["a", *others]]))
 
     def one(s, x):
         tries = [F.array_size(peel(subtract(s["sa"], s[f"s{x}"]), w, b))]
         tries += [F.array_size(peel(subtract(sketch(s["a"], w, b), sketch(s[x], w, b)), w, b)) for w, b in LARGER[1:]]
         return F.coalesce(*tries, F.size(F.array_except(s["a"], s[x])) + F.size(F.array_except(s[x], s["a"])))
 
-    return F.transform(first, lambda s: F.struct(*[one(s, x).alias(x) for x in others]))[0]
+    return F.transform(first, lambda s: F.struct(*[F.coalesce(asked(x, one(s, x)), F.lit(0)).alias(x) for x in others]))[0]
 
 
-def _quarters(regions: Column, bit: int) -> Column:
-    """Each region (a struct of lists a, e, n) in four, by two bits of the digests."""
-    quarter = lambda s, r: F.struct(*[F.filter(s[x], lambda d: F.shiftrightunsigned(d, bit).bitwiseAND(F.lit(3).cast("long")) == r).alias(x) for x in "aen"])
-    return F.flatten(F.transform(regions, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda r: quarter(s, r))))
+def _split(regions: Column, bit: int, parts: int) -> Column:
+    """Each region (a struct of lists a, e, n) in two or four, by one or two bits of the digests."""
+    most = F.lit(parts - 1).cast("long")
+    part = lambda s, r: F.struct(*[F.filter(s[x], lambda d: F.shiftrightunsigned(d, bit).bitwiseAND(most) == r).alias(x) for x in "aen"])
+    return F.flatten(F.transform(regions, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), most), lambda r: part(s, r))))
 
 
 def _regions(most: Column) -> Column:
@@ -186,12 +192,13 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rows = rows.withColumn(f"d{side}", F.array_size(peel(subtract(F.col("sa"), F.col(f"s{side}")))))
     regions, most = F.array(F.struct("a", "e", "n")), REGION
     choice = F.when(F.col("most") <= most, regions)
-    for level in range(5):
-        regions, most = _quarters(regions, 40 + 2 * level), 4 * most
+    for level in range(5):  # 2, 4, 8, ... regions
+        choice = choice.when(F.col("most") <= 2 * most, _split(regions, 40 + 2 * level, 2))
+        regions, most = _split(regions, 40 + 2 * level, 4), 4 * most
         choice = choice.when(F.col("most") <= most, regions)
     unsure = (F.col("most") <= LONG) & (F.col("de").isNull() | F.col("dn").isNull())
     rows = rows.withColumn("regions", F.when(unsure, choice))
-    found = F.aggregate(F.transform("regions", lambda r: differences(r, ["e", "n"])), F.struct(F.lit(0).alias("e"), F.lit(0).alias("n")), lambda t, d: F.struct((t["e"] + d["e"]).alias("e"), (t["n"] + d["n"]).alias("n")))
+    found = F.aggregate(F.transform("regions", lambda r: differences(r, ["e", "n"], {x: F.col(f"d{x}").isNull() for x in "en"})), F.struct(F.lit(0).alias("e"), F.lit(0).alias("n")), lambda t, d: F.struct((t["e"] + d["e"]).alias("e"), (t["n"] + d["n"]).alias("n")))
     rows = rows.withColumn("found", F.when(unsure, found))
     for side in "en":
         rows = rows.withColumn(f"d{side}", F.coalesce(f"d{side}", F.col("found")[side]))
