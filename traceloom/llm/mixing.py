@@ -11,6 +11,8 @@ from .shared import Workspace, buckets, whole_text
 BLOCK_WORDS, BLOCKS = 1024, 1 << 20
 #: Blocks in a shard of a source; the seeded choice runs within shards.
 SHARD_BLOCKS = 4096
+#: Rows of a bucket whose order one task finds, texts and all.
+ORDERED = 256
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -66,6 +68,19 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     return bound.join(won, [*group, party], "left").withColumn("_seats", F.col("_low") + F.coalesce(F.col("_won"), F.lit(0))).drop("_count", "_exact", "_low", "_high", "_rest", "_won")
 
 
+def source_key(source_col: str) -> Column:
+    """The source as a value that sorts in code-point order, null last."""
+    return F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
+
+
+def source_quotas(sources: DataFrame, block: int, cap: float) -> DataFrame:
+    """skey, _blocks, and the blocks that a source gives: all of them _whole times, and _extra of them once more."""
+    blocks = F.ceil(F.col("source_size") / block)
+    wanted = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")
+    quota = sainte_lague(sources.withColumn("_blocks", blocks).withColumn("_all", wanted).withColumn("_most", F.floor(F.col("_blocks") * cap)), [], "skey", "target", "_all", "_most")
+    return quota.filter("_blocks > 0").select("skey", "_blocks", F.floor(F.col("_seats") / F.col("_blocks")).alias("_whole"), F.pmod("_seats", "_blocks").alias("_extra"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of each document a mix takes, when sources are brought to their targets.
 
@@ -78,19 +93,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     documents. An empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession)
-    skey = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
+    skey = source_key(source_col)
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     rows = ws.save(docs.select(F.col(id_col).alias("doc_id"), skey.alias("skey"), word_count(whole_text(text_col)).alias("size"), key.alias("_key")))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, min(BLOCK_WORDS, total // BLOCKS))
     sources = source_targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, cap)
     sources = ws.save(sources)
-    # blocks for each source
-    blocks = F.ceil(F.col("source_size") / block)
-    wanted = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")
-    quota = sainte_lague(sources.withColumn("_blocks", blocks).withColumn("_all", wanted).withColumn("_most", F.floor(F.col("_blocks") * cap)), [], "skey", "target", "_all", "_most")
-    quota = quota.filter("_blocks > 0").select("skey", "_blocks", F.floor(F.col("_seats") / F.col("_blocks")).alias("_whole"), F.pmod("_seats", "_blocks").alias("_extra"))
-    quota = ws.save(quota)
+    quota = ws.save(source_quotas(sources, block, cap))
     # shards for each source, and their quotas of the blocks that are taken once more
     shard = quota.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_blocks") - 1) / SHARD_BLOCKS))))
     shard = shard.withColumn("_in", F.least(F.lit(SHARD_BLOCKS).cast("long"), F.col("_blocks") - F.col("_shard") * SHARD_BLOCKS))
@@ -114,3 +124,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     result = taken.union(rows.filter("size = 0").select("doc_id", "skey", "size", F.lit(0).cast("long")))
     whole = sources.join(quota.select("skey", "_whole"), "skey", "left")
     return result.join(whole, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("_whole", F.lit(0)) + F.col("_more")).cast("long").alias("taken"))
+
+
+def mix_whole(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs, each row as often as a mix of whole documents takes it.
+
+    Sources have the quotas of mix(). Every document comes as often as all blocks of its source do;
+    of the source's documents in seeded order, those up to its quota of further words come once more. The
+    document across that quota comes if half of it lies below, so a source misses its quota by half of
+    one document at most. Documents without words don't come. Repeated rows and ids are separate documents.
+    """
+    ws = Workspace(docs.sparkSession)
+    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text_col)
+    rows = docs.withColumns({"_skey": source_key(source_col), "_size": word_count(whole_text(text_col)), "_key": key}).filter("_size > 0")
+    rows = ws.save(rows)
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    block = max(1, min(BLOCK_WORDS, total // BLOCKS))
+    sources = ws.save(source_targets(rows.groupBy(F.col("_skey").alias("skey")).agg(F.sum("_size").alias("source_size")), weights, share, cap))
+    quota = ws.save(source_quotas(sources, block, cap)).select(F.col("skey").alias("_skey"), "_whole", (F.col("_extra") * block).alias("_words"))
+    rows = rows.withColumn("_bucket", F.pmod("_key", F.lit(buckets(count, ORDERED))))
+    before = Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offset = rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_skey", "_bucket").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(offset.join(quota, "_skey"), ["_skey", "_bucket"])
+    copies = (F.col("_whole") + F.when(F.col("_offset") + F.col("_before") + F.col("_size") / 2 < F.col("_words"), 1).otherwise(0)).cast("int")
+    taken = placed.withColumn("_copies", copies).filter("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
