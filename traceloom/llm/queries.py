@@ -28,7 +28,7 @@ def op3_language(spark, sf_dir):
 
 
 def op4_fingerprints(spark, sf_dir):
-    return fingerprint_versions(read(spark, sf_dir))
+    return fingerprint_versions(read(spark, sf_dir), short=None)
 
 
 def op5_licenses(spark, sf_dir):

@@ -11,7 +11,7 @@ from .shared import Workspace, buckets, whole_text
 WIDTH = 8
 #: Cells in each part of the larger sketches, and the first bit of a digest that places it in them.
 LARGER = ((8, 9), (16, 18), (32, 24))
-#: Characters up to which a text is cut at sentence ends too.
+#: Characters up to which a text is cut at sentence ends too, where one rule for all lengths isn't asked for.
 SHORT = 1000
 #: Paragraphs of a text that one region of a larger sketch holds on average.
 REGION = 6
@@ -23,13 +23,15 @@ ROUNDS = 12
 NEIGHBOURS = 64
 
 
-def digests(text: Column) -> Column:
+def digests(text: Column, short: int | None = SHORT) -> Column:
     """Distinct 64-bit digests of the text's paragraphs: its lines.
 
-    Texts of up to SHORT characters, which have few lines, are cut at sentence ends and table bars too.
+    Texts of up to `short` characters, which have few lines, are cut at sentence ends and table bars
+    too; with None, texts of all lengths are, so that versions of any two lengths can be compared.
     """
     cut = lambda at: F.split(text, at)
-    parts = F.when(F.char_length(text) <= SHORT, cut(r"[.!?|\n]\s*")).otherwise(cut(r"\n"))
+    fine = cut(r"[.!?|\n]\s*")
+    parts = fine if short is None else F.when(F.char_length(text) <= short, fine).otherwise(cut(r"\n"))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
@@ -168,7 +170,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return every.repartition(parts, "bucket").withColumn("next", F.lead("text").over(neighbours())).withColumn("place", F.row_number().over(neighbours()))
 
 
-def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int | None = SHORT) -> DataFrame:
     """Fingerprints of every text and of its edited version, and how alike they are.
 
     The edited text keeps all but the last floor(n_chars/2) code points, which the first as many of the
@@ -183,7 +185,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = with_next(docs, id_col, text_col)
     half = F.floor(F.char_length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next", F.lit(1), half)))
-    rows = rows.select("bucket", "place", "tail", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"))
+    rows = rows.select("bucket", "place", "tail", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text"), short).alias("a"), digests(F.col("edited"), short).alias("e"))
     rows = rows.withColumn("sa", sketch(F.col("a"))).withColumn("se", sketch(F.col("e")))
     after = Window.partitionBy("bucket").orderBy("place")
     rows = rows.withColumn("n", F.lead("a").over(after)).withColumn("sn", F.lead("sa").over(after)).filter("tail = 0")
