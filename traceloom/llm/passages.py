@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .runs import shared_runs
 from .shared import Workspace, ascii_lower, whole_text
 from .simhash import _with_end
 
@@ -156,3 +157,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = occurrence.join(classes, "class_id")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
     return joined.select("doc_id", "paragraph", "n_words", "class_id", "occurrences", kept.alias("kept"))
+
+
+def repeated_passages_and_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of repeated_passages, with first_word null, and those of shared_runs.
+
+    So passages that are wrapped, span lines or stand inside longer lines are found where 50 words are equal.
+    A run is listed also where it lies in a repeated line; either row may tell to remove it.
+    """
+    lines = repeated_passages(docs, id_col, text_col)
+    return lines.withColumn("first_word", F.lit(None).cast("long")).unionByName(shared_runs(docs, id_col, text_col))

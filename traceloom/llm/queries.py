@@ -7,7 +7,7 @@ from .language import identify_languages
 from .licenses import scan_licenses
 from .mixing import mix
 from .packing import pack_documents
-from .passages import repeated_passages
+from .passages import repeated_passages_and_runs
 from .secrets import find_secrets
 from .sharding import shard_documents
 from .shared import read
@@ -40,7 +40,7 @@ def op6_packing(spark, sf_dir):
 
 
 def op7_passages(spark, sf_dir):
-    return repeated_passages(read(spark, sf_dir))
+    return repeated_passages_and_runs(read(spark, sf_dir))
 
 
 def op8_audio(spark, sf_dir):
