@@ -1,46 +1,11 @@
-"""Tables between the steps of an operator, in the folder that the whole cluster shares."""
+"""Inputs and expressions that several operators use."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="traceloom-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, a laptop) a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-class Workspace:
-    """Parquet tables of one operator call. They cut lineage, survive lost executors and carry true sizes."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/traceloom/{uuid.uuid4().hex}"
-        self.count = 0
-
-    def save(self, frame: DataFrame) -> DataFrame:
-        """Write the frame and read it back."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        frame.write.parquet(path)
-        saved = self.spark.read.schema(frame.schema).parquet(path)
-        saved._traceloom_path = path
-        return saved
-
-    def drop(self, frame: DataFrame) -> None:
-        """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(frame._traceloom_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+from traceloom.workspace import Workspace  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from traceloom.workspace import Workspace
+
 
 def overlay(entries: DataFrame, item: str, obj: str, rev: str, at_least: int = 0) -> DataFrame:
     """The entry of each object as seen at a revision: that of the smallest rev (newest is 0) from it on."""
@@ -12,12 +14,21 @@ def overlay(entries: DataFrame, item: str, obj: str, rev: str, at_least: int = 0
     return entries.filter(F.col(rev) >= at_least).withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
-def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node and depth (fewest steps) from the roots, as a recursive query over edges(src, dst)."""
-    edges.createOrReplaceTempView("_edges")
-    roots.createOrReplaceTempView("_roots")
-    walked = spark.sql("WITH RECURSIVE walk(node, depth) AS (SELECT node, 0 FROM _roots UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN _edges e ON e.src = w.node WHERE w.depth < 8) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
-    return walked
+def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """node and depth (fewest steps) of all that edges(src, dst) reach from the roots, or in `most` steps.
+
+    Breadth first: each round follows the edges of the last frontier, less the nodes seen before, as a stored table.
+    """
+    ws = Workspace(spark)
+    edges = ws.save(edges.select("src", "dst").distinct())
+    frontier = ws.save(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, depth = frontier, 0
+    while (most is None or depth < most) and not frontier.isEmpty():
+        depth += 1
+        met = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
+        frontier = ws.save(met.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.union(frontier) if depth % 16 else ws.save(seen.union(frontier))
+    return seen
 
 
 def renumber(rows: DataFrame, item: str, old: str, length: str) -> DataFrame:

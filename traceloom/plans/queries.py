@@ -246,7 +246,7 @@ def revision_overlay(spark, sf_dir):
 def reachability(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     edges = n.select(F.col("n_nationkey").cast("long").alias("src"), F.pmod(F.col("n_nationkey") * 2 + 1, F.lit(25)).cast("long").alias("dst"))
-    return graph.reachable(spark, edges, n.filter("n_nationkey = 3").select(F.col("n_nationkey").cast("long").alias("node")))
+    return graph.reachable(spark, edges, n.filter("n_nationkey = 3").select(F.col("n_nationkey").cast("long").alias("node")), most=8)  # as its SQL
 
 
 def renumber_offsets(spark, sf_dir):
