@@ -143,7 +143,8 @@ def assign_groups(groups: DataFrame, shards: int = 8, capacity: int | None = Non
     All others are dealt into cells by hash; each cell is packed by its own task into its share of
     what every shard has left, largest first. What fits no shard of its cell, a few groups of each,
     meets in far fewer cells in the next round. The last groups, about CELL with those that waited
-    for this, are placed in any case.
+    for this, are placed in any case. With a capacity, once a round places less than half of what it
+    got, each cell opens shards of its own, and those under half full are dealt anew in later rounds.
     """
     ws = Workspace(groups.sparkSession)
     total, count = groups.agg(F.sum("weight"), F.count("*")).first()
@@ -168,8 +169,15 @@ def assign_groups(groups: DataFrame, shards: int = 8, capacity: int | None = Non
         held, light = light.filter(chance == 0), light.filter(chance != 0)
         held_weight = held.agg(F.sum("weight")).first()[0] or 0
         weight, number = light.agg(F.sum("weight"), F.count("*")).first()
+    opening = False
     while number > CELL // 2:
-        room, whole, parts = [max(0, x) for x in left], weight + held_weight, cells
+        room, whole, parts, came = [max(0, x) for x in left], weight + held_weight, cells, number
+
+        def fill(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+            cell = cell.sort_values(["weight", "group"], ascending=[False, True], kind="stable")
+            bins, free = _place_all(cell["weight"].tolist(), [], capacity)
+            loose = {b for b, x in enumerate(free) if 2 * x > capacity} if parts > 1 else ()
+            return pd.DataFrame({"group": cell["group"], "weight": cell["weight"], "shard": [-1 if b in loose else b for b in bins], "cell": key[0]}).astype({"shard": "int32"})
 
         def pack(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
             cell = cell.sort_values(["weight", "group"], ascending=[False, True], kind="stable")
@@ -183,12 +191,21 @@ def assign_groups(groups: DataFrame, shards: int = 8, capacity: int | None = Non
             return pd.DataFrame({"group": cell["group"], "weight": cell["weight"], "shard": [mine[b] if b >= 0 else -1 for b in bins]}).astype({"shard": "int32"})
 
         cell = F.pmod(F.xxhash64("group", F.lit(rounds)), F.lit(cells))
-        packed = ws.save(light.groupBy(cell.alias("cell")).applyInPandas(pack, schema))
+        if opening:  # cells open shards of their own, numbered after all others
+            packed = ws.save(light.groupBy(cell.alias("cell")).applyInPandas(fill, f"{schema}, cell long"))
+            opened = packed.filter("shard >= 0").select("cell", "shard").distinct().orderBy("cell", "shard").collect()
+            number_of = spark.createDataFrame([(c, s, len(left) + i) for i, (c, s) in enumerate(opened)], "cell long, shard int, number int")
+            left += [capacity] * len(opened)
+            packed = ws.save(packed.join(number_of, ["cell", "shard"], "left").select("group", "weight", F.coalesce("number", F.lit(-1)).alias("shard")))
+        else:
+            packed = ws.save(light.groupBy(cell.alias("cell")).applyInPandas(pack, schema))
         for shard, used in packed.filter("shard >= 0").groupBy("shard").agg(F.sum("weight")).collect():
             left[shard] -= used
         done.append(packed.filter("shard >= 0"))
         light = packed.filter("shard < 0").select("group", "weight")
         weight, number = light.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first()
+        if capacity and not opening and 2 * number > came:  # little fits what there is
+            opening, cells = True, 2 * -(-number // CELL)
         cells, rounds = max(1, min(-(-number // CELL), cells // 2)), rounds + 1
     last = sorted(((r["weight"], r["group"]) for r in light.union(held).collect()), key=lambda r: (-r[0], bytes(r[1])))
     placed, _ = _place_all([size for size, _ in last], left, capacity)
