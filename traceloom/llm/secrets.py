@@ -37,7 +37,7 @@ RULES = (
     Rule("assign", _HEAD + "[A-Za-z0-9+/_.=-]+", 6, _HEAD, True),
     Rule("access", "AKIA[A-Z0-9]+", 20, None, True),
     Rule("hex", "[0-9a-f]{6,}", 24, None, True),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D]*", 1),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 20),
 )
