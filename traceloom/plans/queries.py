@@ -180,9 +180,9 @@ def exposure_axes(spark, sf_dir):
 
 # image containers
 def made_jpegs(spark, sf_dir):
-    """A small JPEG for every document, with a comment, EXIF or ICC segment by its id and the text's first characters as scan."""
+    """A small JPEG for every document, with a comment, EXIF or ICC segment by its id and the whole text as scan."""
     add = lambda n, marker, data: F.when(F.pmod("doc_id", F.lit(n)) == 0, F.unhex(F.lit(f"FF{marker}{len(data) + 2:04X}{data.hex()}"))).otherwise(F.unhex(F.lit("")))
-    parts = [F.unhex(F.lit("FFD8")), add(5, "E2", b"ICC_PROFILE\0x"), add(3, "E1", b"Exif\0\0stuff"), add(2, "FE", b"a note"), F.unhex(F.lit("FFDA0002")), F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 200), "UTF-8"), F.unhex(F.lit("FFD9000000000000"))]
+    parts = [F.unhex(F.lit("FFD8")), add(5, "E2", b"ICC_PROFILE\0x"), add(3, "E1", b"Exif\0\0stuff"), add(2, "FE", b"a note"), F.unhex(F.lit("FFDA0002")), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("FFD9000000000000"))]
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("content"))
 
 
