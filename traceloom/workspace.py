@@ -15,12 +15,27 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, a laptop) a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder of spark.checkpoint.dir, or that of setCheckpointDir; a temporary one only where driver and executors are one process."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if set_:
+        return set_
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Workspace:
-    """Parquet tables of one operator call. They cut lineage, survive lost executors and carry true sizes."""
+    """Parquet tables of one operator call. They cut lineage, survive lost executors and carry true sizes.
+
+    Results read them, so they stay until release(), which the caller calls once the results are written.
+    """
+
+    made: set[str] = set()
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -30,6 +45,7 @@ class Workspace:
     def save(self, frame: DataFrame) -> DataFrame:
         """Write the frame and read it back."""
         self.count += 1
+        Workspace.made.add(self.root)
         path = f"{self.root}/{self.count}"
         frame.write.parquet(path)
         saved = self.spark.read.schema(frame.schema).parquet(path)
@@ -38,5 +54,12 @@ class Workspace:
 
     def drop(self, frame: DataFrame) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(frame._traceloom_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, frame._traceloom_path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables of all operator calls so far; their results must have been written. Returns how many calls had any."""
+    done = len(Workspace.made)
+    while Workspace.made:
+        _delete(spark, Workspace.made.pop())
+    return done
