@@ -16,9 +16,9 @@ from .simhash import _with_end
 
 #: Words of a shingle, the Jaccard similarity of near-duplicates, and words of a paragraph at least.
 SHINGLE, SIMILAR, LEAST_WORDS = 5, 0.8, 45
-#: Bands of rows: at similarity 0.8 a pair meets in one of 14 bands of 4 with probability 0.9994.
-BANDS, ROWS = 14, 4
-#: Paragraphs of one cluster of candidates that one task compares; larger clusters are compared in blocks.
+#: Bands of rows: at similarity 0.8 a pair meets in one of 9 bands of 3 with probability 0.998, at 0.9 surely.
+BANDS, ROWS = 9, 3
+#: Paragraphs of one bucket that one task compares; larger buckets are compared in blocks.
 BLOCK = 2048
 #: Shingles whose minima are taken at a time.
 CHUNK = 1 << 18
@@ -104,7 +104,7 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[
 
 
 def verified_links(clusters: DataFrame) -> DataFrame:
-    """clusters(cluster, n, id, shingles): links (a, b) of ids with exact Jaccard similarity of at least SIMILAR."""
+    """clusters(cluster, n, id, shingles): links (a, b) of ids of a bucket with exact Jaccard similarity of at least SIMILAR."""
     dealt = clusters.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "id", "shingles")
@@ -141,18 +141,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     ws = Workspace(docs.sparkSession)
     marked = ws.save(with_bands(paragraph_shingles(docs, id_col, text_col)))
-    distinct = ws.save(marked.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
-    where = ws.save(marked.select("doc_id", "paragraph", "n_words", "id"))
-    ws.drop(marked)
-    index = distinct.select("id", F.posexplode("bands").alias("band", "key"))
-    met = index.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    candidates = components(index.join(met, ["band", "key"]).filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    candidates = ws.save(candidates.select(F.col("node").alias("id"), F.col("component").alias("cluster")))
-    sizes = candidates.groupBy("cluster").agg(F.count("*").alias("n"))
-    links = ws.save(verified_links(candidates.join(sizes, "cluster").join(distinct.select("id", "shingles"), "id")))
+    where = marked.select("doc_id", "paragraph", "n_words", "id")
+    keys = ws.save(marked.groupBy("id").agg(F.first("bands").alias("bands")))  # equal paragraphs have equal bands
+    index = keys.select("id", F.posexplode("bands").alias("band", "key"))
+    met = index.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("n > 1")
+    # near copies meet in most bands: of the buckets with the same members, one is compared
+    buckets = ws.save(met.groupBy("n", "least", "most", "sum").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n"))
+    members = ws.save(index.join(buckets, ["band", "key"]).select(F.xxhash64("band", "key").alias("cluster"), "n", "id"))
+    ws.drop(keys)
+    shingles = marked.select("id", "shingles").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    links = ws.save(verified_links(members.join(shingles, "id")))
+    ws.drop(members)
     near = ws.save(components(links).select(F.col("node").alias("id"), "component"))
     occurrence = where.join(near, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
     occurrence = ws.save(occurrence.select("doc_id", "paragraph", "n_words", "class_id"))
+    ws.drop(marked)
     classes = occurrence.groupBy("class_id").agg(F.count("*").alias("occurrences"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph")).alias("first")).filter("low < high")
     joined = occurrence.join(classes, "class_id")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))

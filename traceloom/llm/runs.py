@@ -11,7 +11,7 @@ from .components import components
 from .shared import Workspace, whole_text
 
 #: Words of a run at least, and of the windows by which runs are found: of any RUN - WINDOW + 1 successive ones, the least is chosen.
-RUN, WINDOW = 50, 25
+RUN, WINDOW = 50, 26
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -65,6 +65,26 @@ def chosen(words: np.ndarray) -> np.ndarray:
     return np.unique(among.argmin(1) + np.arange(len(among)))
 
 
+def looked_at(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows of RUN words around shared places, and numbers that rise by one where no end of a run can lie between.
+
+    Places that are shared and follow each other among the chosen ones are a chain. All windows that
+    hold its first or last place are looked at; between these, only those that start at a place.
+    """
+    number = np.searchsorted(chosen(words), places)
+    first = np.concatenate([[True], np.diff(number) > 1])
+    ends = np.unique(np.concatenate([places[first], places[np.append(first[1:], True)]]))
+    starts = np.unique(np.concatenate([places, (ends[:, None] - np.arange(RUN - WINDOW + 1)).ravel()]))
+    starts = starts[(starts >= 0) & (starts <= len(words) - RUN)]
+    if not len(starts):
+        return starts, starts
+    inside = np.zeros(len(words) + 1, np.int64)  # how many chains cover the step to a word
+    np.add.at(inside, places[first] + 1, 1)
+    np.add.at(inside, places[np.append(first[1:], True)] + 1, -1)
+    covered = np.cumsum(inside)[starts[1:]] > 0
+    return starts, np.cumsum(np.concatenate([[0], np.where(covered | (np.diff(starts) == 1), 1, 2)]))
+
+
 def shared_hashes(spots: DataFrame) -> DataFrame:
     """The hashes that documents of two ids have."""
     return spots.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
@@ -73,60 +93,66 @@ def shared_hashes(spots: DataFrame) -> DataFrame:
 def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of at least RUN words that documents of different ids share word for word, whatever their lines.
 
-    Any such run holds a chosen window in either document. Around those that are shared, all windows
-    of RUN words are taken, and those that are shared again, joined where they follow each other, are
-    the runs; so the work grows with the words, not with pairs. Runs with a common window, or a chain
-    of such, are one class. Returns doc_id, paragraph and first_word (of the run's start, from 0),
-    n_words, class_id, occurrences, kept (true for the first by doc_id and word).
+    Any such run holds a chosen window in either document. Around those that are shared, windows of
+    RUN words are looked at, and those that are shared again, joined where they follow each other,
+    are the runs; so the work grows with the words, not with pairs. Where a long run goes over from
+    one other document to the next, up to RUN - WINDOW words at the change may be left out. Runs with a common
+    window, or a chain of such, are one class. Returns doc_id, paragraph and first_word (of the run's
+    start, from 0), n_words, class_id, occurrences, kept (true for the first by doc_id and word).
+    Rows of equal id and text count once. Null texts have no words; null ids don't make a run shared.
     """
     ws = Workspace(docs.sparkSession)
-    texts = ws.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")))
+    text = whole_text(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
     def choose(batches):
         for batch in batches:
-            rows, ids, hashes = [], [], []
-            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words, _ = word_hashes(text)
+            ids, marks, counts, found = [], [], [], [np.empty((2, 0), np.int64)]
+            for doc, mark, text in zip(*batch.columns):
+                words, _ = word_hashes(text.as_py())
                 places = chosen(words)
                 if len(places):
-                    rows += [row] * len(places)
-                    ids += [doc] * len(places)
-                    hashes.append(np.stack([places, windows(words, WINDOW)[places].view(np.int64)]))
-            place, h = np.concatenate(hashes, 1) if hashes else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(place), pa.array(h)], names=["row", "doc_id", "place", "h"])
-
-    first = ws.save(texts.mapInArrow(choose, "row long, doc_id long, place long, h long"))
-    met = first.join(shared_hashes(first), "h", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
+                    ids.append(doc.as_py())
+                    marks.append(mark.as_py())
+                    counts.append(len(places))
+                    found.append(np.stack([places, windows(words, WINDOW)[places].view(np.int64)]))
+            place, h = np.concatenate(found, 1)
+            of = pa.array(np.repeat(np.arange(len(ids)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(of), pa.array(marks, pa.int64()).take(of), pa.array(place.astype(np.int32)), pa.array(h)], names=["doc_id", "t", "place", "h"])
+
+    first = ws.save(texts.mapInArrow(choose, "doc_id long, t long, place int, h long"))
+    met = first.join(shared_hashes(first), "h", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
+    met = ws.save(met.withColumnsRenamed({"doc_id": "of", "t": "m"}))
+    ws.drop(first)
 
     def around(batches):
-        names = ["row", "doc_id", "place", "h", "line"]
+        names = ["doc_id", "t", "place", "seq", "h", "line"]
         for batch in batches:
-            out = [np.empty((5, 0), np.int64)]
-            nulls = [np.empty(0, bool)]
-            for row, doc, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-                words, lines = word_hashes(text)
-                near = np.unique(np.array(places)[:, None] - np.arange(RUN - WINDOW + 1))
-                near = near[(near >= 0) & (near <= len(words) - RUN)]
-                out.append(np.stack([np.full(len(near), row), np.full(len(near), doc or 0), near, windows(words, RUN)[near].view(np.int64), lines[near]]))
-                nulls.append(np.full(len(near), doc is None))
-            table = np.concatenate(out, 1)
-            columns = [pa.array(x) for x in table]
-            columns[1] = pa.array(table[1], mask=np.concatenate(nulls))
+            ids, marks, counts, found = [], [], [], [np.empty((4, 0), np.int64)]
+            for doc, mark, text, places in zip(*batch.columns):
+                words, lines = word_hashes(text.as_py())
+                starts, number = looked_at(words, np.sort(np.asarray(places.as_py(), np.int64)))
+                ids.append(doc.as_py())
+                marks.append(mark.as_py())
+                counts.append(len(starts))
+                found.append(np.stack([starts, number, windows(words, RUN)[starts].view(np.int64), lines[starts]]))
+            place, seq, h, line = np.concatenate(found, 1)
+            of = pa.array(np.repeat(np.arange(len(ids)), counts))
+            columns = [pa.array(ids, pa.int64()).take(of), pa.array(marks, pa.int64()).take(of), *(pa.array(x.astype(np.int32)) for x in (place, seq)), pa.array(h), pa.array(line.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spots = ws.save(texts.join(met, "row").mapInArrow(around, "row long, doc_id long, place long, h long, line long"))
-    ws.drop(first)
-    ws.drop(texts)
-    island = F.col("place") - F.row_number().over(Window.partitionBy("row").orderBy("place"))
+    near = texts.join(met, (F.col("t") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "t", "text", "places")
+    spots = ws.save(near.mapInArrow(around, "doc_id long, t long, place int, seq int, h long, line int"))
+    island = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id", "t").orderBy("seq"))
     hits = spots.join(shared_hashes(spots), "h", "left_semi").withColumn("island", island)
-    hits = ws.save(hits.withColumn("least", F.min("h").over(Window.partitionBy("row", "island"))))
+    hits = ws.save(hits.withColumn("least", F.min("h").over(Window.partitionBy("doc_id", "t", "island"))))
     ws.drop(spots)
     apart = hits.groupBy("h").agg(F.min("least").alias("b"), F.max("least").alias("most")).filter("b < most")
     links = hits.join(apart, "h").filter("least <> b").select(F.col("least").alias("a"), "b").distinct()
     classes = ws.save(components(links).select(F.col("node").alias("least"), "component"))
-    runs = hits.groupBy("row", "doc_id", "island", "least").agg(F.min("place").alias("first_word"), F.min("line").cast("int").alias("paragraph"), (F.count("*") + RUN - 1).cast("int").alias("n_words"))
+    runs = hits.groupBy("doc_id", "t", "island", "least").agg(F.min("place").cast("long").alias("first_word"), F.min("line").alias("paragraph"), (F.max("place") - F.min("place") + RUN).alias("n_words"))
     runs = ws.save(runs.join(classes, "least", "left").withColumn("class_id", F.coalesce("component", "least")))
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "first_word", "row")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "first_word", "t")
     counts = runs.groupBy("class_id").agg(F.count("*").alias("occurrences"), F.min(rank).alias("first"))
-    kept = (F.col("row") == F.col("first.row")) & (F.col("first_word") == F.col("first.first_word"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("first_word") == F.col("first.first_word"))
     return runs.join(counts, "class_id").select("doc_id", "paragraph", "n_words", "class_id", "occurrences", kept.alias("kept"), "first_word")
