@@ -29,19 +29,20 @@ def _letters() -> np.ndarray:
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the text's n-grams of 1 to 3 letters; all between letters is one blank."""
-    letters, parts = _letters(), []
-    for at in range(0, len(text), CHUNK):  # n-grams across chunks are left out: two in a million characters
-        points = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-        points = np.where(letters[points], points, 32)
-        points = np.concatenate([[32], points, [32]])
+    letters, parts, tail = _letters(), [], np.array([32])
+    text = text.lower() + " "
+    for at in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        points = np.concatenate([tail, np.where(letters[points], points, 32)])
         points = points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]
-        two = points[:-1] << 21 | points[1:]
-        codes, counts = np.unique(np.concatenate([points[points != 32], two, two[:-1] << 21 | points[2:]]), return_counts=True)
-        parts.append((codes, counts))
+        # n-grams that end in this chunk; they may begin in the last two letters of the one before
+        old = len(tail)
+        one, two = points[old:], points[:-1] << 21 | points[1:]
+        three = two[:-1] << 21 | points[2:]
+        parts.append(np.unique(np.concatenate([one[one != 32], two[old - 1 :], three[max(0, old - 2) :]]), return_counts=True))
+        tail = points[-2:]
     if len(parts) == 1:
         return parts[0]
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
     return codes, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
 
@@ -54,12 +55,16 @@ def learn_profiles(docs: DataFrame, lang_col: str, text_col: str, id_col: str, m
     """The most frequent n-grams of each language, most frequent first.
 
     Learnt from at most about `most` labelled documents of each language, which a seeded hash of the
-    id picks from all of them; counted as a Spark aggregation.
+    id picks from all of them; counted as a Spark aggregation. The languages, and as many counts, are
+    held by the driver, as are their profiles: languages are a list that people keep, not data that grows.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    counts = labelled.groupBy("lang").count()
-    chance = F.pmod(F.xxhash64(F.lit(11), F.col("id").cast("string")), F.lit(1_000_000)) < F.lit(1_000_000.0) * most / F.col("count")
-    sample = labelled.join(counts, "lang").filter(chance).select("lang", "text")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    # a filter, not a join: texts stay in their partitions, and only tallies of n-grams are shuffled
+    part = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, most / n)]), F.col("lang"))
+    sample = labelled.filter(F.pmod(F.xxhash64(F.lit(11), F.col("id").cast("string")), F.lit(1_000_000)) < F.lit(1_000_000.0) * part).select("lang", "text")
 
     def count(batches):
         for pdf in batches:
