@@ -9,6 +9,7 @@ import zlib
 from bisect import bisect_left, insort
 from random import Random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from .shared import Workspace, whole_text
 
 #: Pieces that one population packs; islands of such a cell; its epochs, with migration between them.
 CELL, ISLANDS, EPOCHS = 1024, 2, 2
-#: Individuals of an island, and generations of an epoch.
-POPULATION, GENERATIONS = 4, 2
+#: Individuals of an island, and generations of an epoch. A cell at its lower bound takes none.
+POPULATION, GENERATIONS = 8, 12
+#: Displaced pieces that are tried in the place of placed ones at a time, and rounds of this.
+DISPLACED, ROUNDS = 96, 6
 #: Sequences filled to less than this are opened again and packed with those of other cells.
 WELL_FILLED = 0.97
 #: Words whose ids a worker keeps.
@@ -129,11 +132,72 @@ def best_fit_into(sizes, items, bins, fills, capacity):
     return bins, fills
 
 
+def least_bins(sizes, capacity):
+    """A lower bound of the bins: the sum over the capacity, or more where pieces over half of it need bins of their own."""
+    half = sorted((s for s in sizes if 2 * s > capacity), reverse=True)
+    small = sorted((s for s in sizes if 2 * s <= capacity), reverse=True)
+    best, total, k, own = max(len(half), -(-sum(sizes) // capacity)), 0, len(half), 0
+    for least in small:  # pieces below `least` are left out, and so is room that only they could fill
+        total += least
+        while k and half[k - 1] <= capacity - least:
+            k -= 1
+            own += half[k]
+        room = (len(half) - k) * capacity - own
+        best = max(best, len(half) + max(0, -(-(total - room) // capacity)))
+    return best
+
+
 def fitness(fills, capacity):
     """Falkenauer's: the mean of squared fills; few, full bins score high."""
     return sum((f / capacity) ** 2 for f in fills) / max(1, len(fills))
 
 
+def _sums(sizes, groups, sorted_=False):
+    """Arrays (sum, first, second) of all single pieces (second is -1) and of the pairs given."""
+    one = np.array([(sizes[i], i, -1) for i in groups[0]] + [(sizes[i] + sizes[j], i, j) for i, j in groups[1]], np.int64).reshape(-1, 3)
+    return one[np.argsort(one[:, 0], kind="stable")] if sorted_ else one
+
+
+def exchange(sizes, loose, bins, fills, capacity, rng):
+    """Put one or two loose pieces in the place of one or two placed ones wherever that fills a bin more; what they displace is loose instead.
+
+    Dominance: a fuller bin with fewer, larger pieces leaves the smaller ones, which are easier to place.
+    """
+    for _ in range(ROUNDS):
+        free = capacity - np.array(fills, np.int64)
+        if not loose or not (free > 0).any():
+            break
+        some = loose if len(loose) <= DISPLACED else rng.sample(loose, DISPLACED)
+        into = _sums(sizes, (some, [(i, j) for k, i in enumerate(some) for j in some[k + 1 :] if sizes[i] + sizes[j] <= capacity]), True)
+        singles, pairs, owner = [], [], []
+        for b, items in enumerate(bins):  # each piece, and each with the next one of a shuffled bin
+            if free[b] > 0:
+                order = rng.sample(items, len(items))
+                singles += [(i, b) for i in items]
+                pairs += [(i, j, b) for i, j in zip(order, order[1:])]
+        out = _sums(sizes, ([i for i, _ in singles], [(i, j) for i, j, _ in pairs]))
+        owner = np.array([b for _, b in singles] + [b for *_, b in pairs], np.int64)
+        best = np.searchsorted(into[:, 0], out[:, 0] + free[owner], "right") - 1
+        gain = np.where(best >= 0, into[best, 0] - out[:, 0], 0)
+        used, changed = set(), set()
+        for k in np.argsort(-gain, kind="stable").tolist():
+            if gain[k] <= 0:
+                break
+            b, new = int(owner[k]), [int(x) for x in into[best[k], 1:] if x >= 0]
+            if b in changed or not used.isdisjoint(new):
+                continue
+            old = [int(x) for x in out[k, 1:] if x >= 0]
+            bins[b] = [i for i in bins[b] if i not in old] + new
+            fills[b] += int(gain[k])
+            used.update(new)
+            changed.add(b)
+            loose = loose + old
+        if not changed:
+            break
+        loose = [i for i in loose if i not in used]
+    return loose
+
+
 def crossover(one, two, sizes, capacity, rng):
     """Inject well-filled bins of two into one; bins of one that share a piece with them go, and what they alone held is placed anew."""
     fills = [sum(sizes[i] for i in b) for b in two]
@@ -151,24 +215,41 @@ def crossover(one, two, sizes, capacity, rng):
     for b in sorted(worst, reverse=True):
         loose += bins.pop(b)
         fills.pop(b)
+    loose = exchange(sizes, loose, bins, fills, capacity, rng)
     return best_fit_into(sizes, loose, bins, fills, capacity)[0]
 
 
+def shared_part(one, two):
+    """The part of the bins of one that two has as well."""
+    have = {tuple(sorted(b)) for b in two}
+    return sum(tuple(sorted(b)) in have for b in one) / max(1, len(one))
+
+
 def evolve(sizes, population, capacity, generations, size, seed):
-    """Run an island for some generations; returns its population, best first."""
+    """Run an island for some generations; returns its population, best first.
+
+    The first individual is plain best fit decreasing. If it has as many bins as the sizes need at
+    least, it is the whole population: nothing can be gained.
+    """
     rng = Random(seed)
     score = lambda bins: fitness([sum(sizes[i] for i in b) for b in bins], capacity)
-    while len(population) < size:
+    least = least_bins(sizes, capacity)
+    while len(population) < size and not (population and len(population[0]) <= least):
         noisy = [s * (1 + 0.1 * rng.random() * bool(population or seed % 2)) for s in sizes]
         order = sorted(range(len(sizes)), key=lambda i: -noisy[i])
         bins, fills = [], []
-        for run in (order[k : k + 64] for k in range(0, len(order), 64)):
+        for run in (order[k : k + 64] for k in range(0, len(order), 64)) if population or seed % 2 else [order]:
             best_fit_into(sizes, run, bins, fills, capacity)
         population.append(bins)
     ranked = sorted(((score(b), b) for b in population), key=lambda x: -x[0])
     for _ in range(generations):
+        if len(ranked[0][1]) <= least:
+            break
         for _ in range(2):
-            one, two = sorted(rng.sample(range(len(ranked)), 2)) if len(ranked) > 1 else (0, 0)
+            some = rng.sample(range(len(ranked)), min(4, len(ranked)))
+            one = min(some)
+            others = [k for k in some if k != one] or [one]
+            two = min(others, key=lambda k: shared_part(ranked[one][1], ranked[k][1]))  # the least alike of three
             child = crossover(ranked[one][1], ranked[two][1], sizes, capacity, rng)
             ranked.append((score(child), child))
         ranked = sorted(ranked, key=lambda x: -x[0])[:size]
