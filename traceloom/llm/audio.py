@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .shared import whole_text
 
-#: Bytes of an ADPCM block (a header of 4, then two samples a byte), and samples a second.
-ADPCM_BLOCK, RATE = 36, 8000
-#: Bytes decoded at a time; longer payloads are decoded in such runs, whole ADPCM blocks each.
+#: Bytes of an ADPCM block (a header of 4, then two samples a byte), samples a second, and those of stored PCM.
+ADPCM_BLOCK, RATE, TARGET = 36, 8000, 16000
+#: Bytes decoded at a time; longer payloads are decoded in such runs, whole ADPCM blocks each, and joined without a seam.
 RUN = ADPCM_BLOCK * 29_127
 #: Format numbers of the RIFF container.
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
@@ -47,7 +48,7 @@ def decode_adpcm(data: np.ndarray) -> np.ndarray:
     blocks = data.reshape(-1, ADPCM_BLOCK)
     value = (blocks[:, 0].astype(np.int32) | blocks[:, 1].astype(np.int8).astype(np.int32) << 8)
     index = np.minimum(blocks[:, 2], 88).astype(np.int32)
-    codes = np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], 2).reshape(len(blocks), -1)
+    codes = np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], 2).reshape(len(blocks), 2 * (ADPCM_BLOCK - 4))
     out = np.empty((len(blocks), codes.shape[1] + 1), np.int16)
     out[:, 0] = value
     for k in range(codes.shape[1]):
@@ -67,13 +68,30 @@ def decode(data: np.ndarray, codec: str) -> np.ndarray:
     return (MULAW if codec == "mulaw" else ALAW)[data]
 
 
-def doubled(samples: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The samples at twice the rate, with the mean between two neighbours; a run, which ends before ends[i], holds its last."""
-    after = np.append(samples[1:], samples[-1:]).astype(np.int32)
-    after[ends - 1] = samples[ends - 1]
-    out = np.empty(2 * len(samples), np.int16)
-    out[0::2], out[1::2] = samples, (samples + after) >> 1
-    return out
+def resampled(samples: np.ndarray, after: int | None, rate: int, target: int, first: int = 0) -> np.ndarray:
+    """The samples at another rate, on straight lines between neighbours.
+
+    `first` is the number of the first sample in its stream, `after` the one that follows the last
+    (None: the stream ends, and the last is held). So the runs of a stream give what the whole does.
+    """
+    low = -(-first * target // rate)
+    high = -(-(first + len(samples)) * target // rate)
+    at = np.arange(low, high, dtype=np.int64) * rate
+    place, part = at // target - first, at % target
+    wide = np.append(samples, samples[-1] if after is None else after).astype(np.int64)
+    return ((wide[place] * (target - part) + wide[place + 1] * part) // target).astype(np.int16)
+
+
+def pcm_runs(payload: bytes, codec: str, rate: int = RATE, target: int = TARGET):
+    """The stream's 16-bit samples at the target rate, a run at a time."""
+    unit = ADPCM_BLOCK if codec == "adpcm" else 1
+    number = 0
+    for at in range(0, len(payload), RUN):
+        samples = decode(np.frombuffer(payload[at : at + RUN], np.uint8), codec)
+        follows = decode(np.frombuffer(payload[at + RUN : at + RUN + unit], np.uint8), codec)
+        if len(samples):
+            yield resampled(samples, int(follows[0]) if len(follows) else None, rate, target, number)
+        number += len(samples)
 
 
 def wrap(payload: bytes, codec: str = "mulaw", rate: int = RATE) -> bytes:
@@ -100,85 +118,95 @@ def unwrap(media: bytes) -> tuple[str, int, bytes]:
     return codec, rate, payload
 
 
-def measured(payloads: list[bytes], codec: str) -> list[str]:
-    """For each payload a line of whole numbers about its samples at twice the rate: count, peak, zero crossings, mean square."""
-    runs, owner = [], []
-    for k, payload in enumerate(payloads):
-        for at in range(0, len(payload), RUN):
-            runs.append(payload[at : at + RUN])
-            owner.append(k)
-    count, peak, crossings, energy = (np.zeros(len(payloads), np.int64) for _ in range(4))
-    at = 0
-    while at < len(runs):
-        stop, size = at, 0
-        while stop < len(runs) and (stop == at or size + len(runs[stop]) <= RUN):
-            size += len(runs[stop])
-            stop += 1
-        samples = decode(np.frombuffer(b"".join(runs[at:stop]), np.uint8), codec)
-        lengths = np.array([len(r) for r in runs[at:stop]]) * (65 / ADPCM_BLOCK if codec == "adpcm" else 1)
-        ends = np.cumsum(lengths.round().astype(np.int64))
-        pcm = doubled(samples, ends)
-        ends = 2 * ends
-        starts = np.append(0, ends[:-1])
-        change = np.append(0, (pcm[1:] < 0) != (pcm[:-1] < 0))
-        change[starts] = 0
-        wide = pcm.astype(np.int64)
-        who = owner[at:stop]
-        np.add.at(count, who, ends - starts)
-        np.maximum.at(peak, who, np.maximum.reduceat(np.abs(wide), starts))
-        np.add.at(crossings, who, np.add.reduceat(change, starts))
-        np.add.at(energy, who, np.add.reduceat(wide * wide, starts))
-        at = stop
-    return [f"{codec}:n={n},peak={p},zc={c},ms={e // n if n else 0}" for n, p, c, e in zip(*(x.tolist() for x in (count, peak, crossings, energy)))]
-
-
-def decode_media(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """The columns of media, with pcm: 16-bit little-endian samples at twice the stored rate; null where it is null."""
+def measured(runs) -> str:
+    """Whole numbers about a stream of samples: count, peak, zero crossings, mean square."""
+    count, peak, crossings, energy, last = 0, 0, 0, 0, None
+    for pcm in runs:
+        wide, negative = pcm.astype(np.int64), pcm < 0
+        count += len(pcm)
+        peak = max(peak, int(np.abs(wide).max()))
+        crossings += int((negative[1:] != negative[:-1]).sum()) + int(last is not None and last != negative[0])
+        energy += int(wide @ wide)
+        last = negative[-1]
+    return f"n={count},peak={peak},zc={crossings},ms={energy // count if count else 0}"
+
+
+def decode_media(media: DataFrame, media_col: str = "media", target: int = TARGET) -> DataFrame:
+    """The columns of media, with pcm: 16-bit little-endian samples at the target rate; null where it is null."""
 
     @F.pandas_udf("binary")
     def pcm(column):
         def one(data):
             if data is None:
                 return None
-            codec, _, payload = unwrap(data)
-            samples = decode(np.frombuffer(payload, np.uint8), codec)
-            return doubled(samples, np.array([len(samples)])).astype("<i2").tobytes() if len(samples) else b""
+            codec, rate, payload = unwrap(data)
+            return b"".join(run.astype("<i2").tobytes() for run in pcm_runs(payload, codec, rate, target))
 
         return column.map(one)
 
     return media.withColumn("pcm", pcm(media_col))
 
 
-def documents_as_audio(docs: DataFrame, unit: int = 576, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
-    """Store every text's bytes as mu-law audio, read them back and measure them.
+def documents_as_audio(docs: DataFrame, unit: int = 576, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False, target: int = TARGET) -> DataFrame:
+    """Store every text's bytes as mu-law audio, read them back, resample them to PCM and measure them.
 
     The UTF-8 bytes, padded with 255 to a positive multiple of `unit`, are the samples of a WAVE file.
-    The payload read back from it is expanded as mu-law, as A-law and as ADPCM blocks, each brought to
-    twice the rate. Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 32 bytes),
-    media_bytes, media_sha256, feature, and media if asked for. Null and empty texts are one unit of padding. Equal
-    texts give equal values; repeated rows each have a row; an empty table gives no rows.
+    The payload read back from it is expanded by the mu-law table and brought to the target rate: the
+    PCM to store. As A-law and as ADPCM blocks it is expanded and measured likewise. Returns doc_id,
+    n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 32 bytes), media_bytes, media_sha256,
+    feature, pcm_bytes, pcm_sha256, and the columns media and pcm themselves if asked for. Null and empty
+    texts are one unit of padding. Equal texts give equal values; repeated rows each have a row; an
+    empty table gives no rows. Payloads of any length are resampled run by run.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_media]
-
-    def some(ids, texts):
-        rows, payloads = [], []
-        for doc, text in zip(ids, texts):
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256", *["media", "pcm"] * keep_media]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.binary(), pa.binary()] * keep_media]
+
+    def one(doc, data, stored, payload, decoded):
+        digest, size, kept = hashlib.sha256(), 0, []
+
+        def passed(runs):
+            nonlocal size
+            for run in runs:
+                raw = run.astype("<i2").tobytes()
+                digest.update(raw)
+                size += len(raw)
+                if keep_media:
+                    kept.append(raw)
+                yield run
+
+        features = []
+        for codec in FORMATS:
+            runs = [resampled(decoded[codec], None, RATE, target)] if decoded else pcm_runs(payload, codec, RATE, target)
+            features.append(f"{codec}:" + measured(passed(runs) if codec == "mulaw" else runs))
+        row = [doc, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), " ".join(features), size, digest.hexdigest()]
+        return row + [stored, b"".join(kept)] * keep_media
+
+    def together(rows):
+        """Rows of one batch: payloads that fit a run are decoded side by side, all their blocks at once."""
+        read = []
+        for doc, text in rows:
             data = text.as_py().encode("utf-8", "replace")
             stored = wrap(data + b"\xff" * (-len(data) % unit or (0 if data else unit)))
-            payload = unwrap(stored)[2]
-            payloads.append(payload)
-            rows.append([doc, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), None, *[stored] * keep_media])
-        for row, *features in zip(rows, *(measured(payloads, codec) for codec in FORMATS)):
-            row[7] = " ".join(features)
-        columns = list(zip(*rows)) or [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            read.append((doc, data, stored, unwrap(stored)[2]))
+        if sum(len(r[3]) for r in read) > RUN or unit % ADPCM_BLOCK:
+            return [one(*r, None) for r in read]
+        joined = np.frombuffer(b"".join(r[3] for r in read), np.uint8)
+        ends = np.cumsum([len(r[3]) for r in read])
+        parts = {c: np.split(decode(joined, c), (ends // ADPCM_BLOCK * 65 if c == "adpcm" else ends)[:-1]) for c in FORMATS}
+        return [one(*r, {c: parts[c][k] for c in FORMATS}) for k, r in enumerate(read)]
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 512):  # some megabytes of samples at a time
-                yield some(ids[at : at + 512], batch.column(1)[at : at + 512])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
+            rows, some, size = zip(batch.column(0).to_pylist(), batch.column(1)), [], 0
+            for row in chain(rows, [None]):
+                long = row is not None and row[1].as_buffer().size
+                if some and (row is None or len(some) == 256 or size + long > RUN // 2):
+                    columns = zip(*together(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                    some, size = [], 0
+                if row is not None:
+                    some.append(row)
+                    size += long
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string" + ", media binary, pcm binary" * keep_media
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
