@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, buckets, whole_text
+from .shared import Workspace, buckets, join_groups, whole_text
 
 #: Groups of at least this part of all bytes are packed first, together: there can be no more of them than this.
 HEAVY = 16384
@@ -241,8 +241,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, capacity: int | None = Non
     ws = Workspace(docs.sparkSession)
     text = whole_text(text_col)
     rows = ws.save(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group")))
-    groups = ws.save(rows.groupBy("group").agg(F.sum("size").alias("weight")))
-    shard = assign_groups(groups, shards, capacity).select("group", "shard")
-    dealt = ws.save(rows.join(shard, "group").select("doc_id", "size", "text_crc32", "shard"))
+    groups = ws.save(rows.groupBy("group").agg(F.sum("size").alias("weight"), F.count("*").alias("n")))
+    shard = assign_groups(groups.select("group", "weight"), shards, capacity).select("group", "shard")
+    shard = ws.save(groups.select("group", "n").join(shard, "group"))
+    dealt = ws.save(join_groups(rows, shard, ["group"], "n").select("doc_id", "size", "text_crc32", "shard"))
     numbered = number_within(dealt, "shard", ["doc_id", "text_crc32", "size"], dealt.count(), "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -25,3 +25,19 @@ def ascii_lower(text: Column) -> Column:
 def buckets(rows: int, per_bucket: int = 4096, most: int = 65536) -> int:
     """How many hash buckets keep about per_bucket rows each; their count is bounded, not their rows."""
     return max(1, min(most, rows // per_bucket))
+
+
+#: Groups of at least this part of all rows are joined by broadcast: there can be no more of them than this.
+MANY = 16384
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with groups, one row a key, whose `count` says how many of the rows have that key.
+
+    Keys with more than one in MANY rows, so fewer than MANY of them, come by broadcast and stay where
+    they lie; only the others are shuffled by key. rows and groups must be stored tables, as they are read twice.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.broadcast(groups.filter(F.col(count) > total // MANY + 1).drop(count))
+    cold = groups.filter(F.col(count) <= total // MANY + 1).drop(count)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))

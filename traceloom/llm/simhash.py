@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, ascii_lower, whole_text
+from .shared import Workspace, ascii_lower, join_groups, whole_text
 
 #: Bits in which linked fingerprints may differ; bytes of 8 that they then surely share.
 DISTANCE = 3
@@ -136,7 +136,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
     large (three bytes up to 2^24 fingerprints, four up to 2^32, then five) that unrelated
     fingerprints rarely meet. Within a posting, the shared bytes of pairs are tallied, pairs below
     the minimum go, and the rest are verified. Only links that connect something new are returned,
-    fewer than the fingerprints of a posting; a long posting is dealt into blocks, compared two by two.
+    fewer than the fingerprints of a posting. A posting of more than BLOCK is cut by the further
+    positions that its pairs must share; what is still long is dealt into blocks, compared two by two.
     """
     ws = Workspace(distinct.sparkSession)
     n = distinct.count()
@@ -148,8 +149,17 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
     entries = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(mask(s)).alias("key")) for i, s in enumerate(sets)]))
     index = distinct.select("fp", entries.alias("e")).select("fp", "e.s", "e.key")
-    met = index.groupBy("s", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = index.join(met, ["s", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    sizes = lambda rows: rows.groupBy("s", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = ws.save(sizes(index))
+    of = index.join(met, ["s", "key"])
+    if len(sets[0]) < SHARED and not met.filter(F.col("n") > BLOCK).isEmpty():
+        # pairs of a long posting share further positions: these cut it into smaller ones, all of SHARED positions
+        further = [[sorted({*s, *more}) for more in combinations(sorted(set(range(8)) - set(s)), SHARED - len(s))] for s in sets]
+        masks = F.element_at(F.array(*[F.array(*map(mask, each)) for each in further]), F.col("s") + 1)
+        number = len(sets) + F.col("s") * F.lit(len(further[0])) + F.col("c")
+        finer = of.filter(F.col("n") > BLOCK).select("fp", "s", F.posexplode(masks).alias("c", "m")).select("fp", number.alias("s"), F.col("fp").bitwiseAND(F.col("m")).alias("key"))
+        of = of.filter(F.col("n") <= BLOCK).unionByName(finer.join(ws.save(sizes(finer)), ["s", "key"]))
+    dealt = of.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("s", "key", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -191,10 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ws = Workspace(docs.sparkSession)
     marked = ws.save(fingerprints(docs, id_col, text_col, words))
-    distinct = ws.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = ws.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     nodes = ws.save(components(near_links(distinct.select("fp"))))
     member = nodes.join(distinct, nodes["node"] == distinct["fp"]).select("fp", "component", "first")
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     of = member.join(least, "component").select("fp", "least")
-    named = distinct.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = ws.save(distinct.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"))
+    return join_groups(marked, named, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
