@@ -11,27 +11,19 @@ from .shared import Workspace, buckets, whole_text
 WIDTH = 8
 #: Cells in each part of the larger sketches, and the first bit of a digest that places it in them.
 LARGER = ((8, 9), (16, 18), (32, 24))
-#: Characters up to which a text is cut at sentence ends too, where one rule for all lengths isn't asked for.
-SHORT = 1000
 #: Paragraphs of a text that one region of a larger sketch holds on average.
 REGION = 6
 #: Texts of more paragraphs get a row of their own for each region.
 LONG = 6144
 #: Rounds of peeling; each empties all cells that hold one digest.
 ROUNDS = 12
-#: Documents of a bucket, within which the next document is found.
-NEIGHBOURS = 64
+#: Documents of a bucket, within which the next document is found; quantiles of the ids that bound buckets.
+NEIGHBOURS, QUANTILES = 64, 256
 
 
-def digests(text: Column, short: int | None = SHORT) -> Column:
-    """Distinct 64-bit digests of the text's paragraphs: its lines.
-
-    Texts of up to `short` characters, which have few lines, are cut at sentence ends and table bars
-    too; with None, texts of all lengths are, so that versions of any two lengths can be compared.
-    """
-    cut = lambda at: F.split(text, at)
-    fine = cut(r"[.!?|\n]\s*")
-    parts = fine if short is None else F.when(F.char_length(text) <= short, fine).otherwise(cut(r"\n"))
+def digests(text: Column) -> Column:
+    """Distinct 64-bit digests of the text's paragraphs: what lies between line ends, sentence ends and table bars."""
+    parts = F.split(text, r"[.!?|\n]\s*")
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
@@ -94,8 +86,8 @@ def peel(cells: Column, width: int = WIDTH, bit: int = 0) -> Column:
 
 
 def as_text(cells: Column) -> Column:
-    """The fingerprint: two, sixteen and eight hex digits for each cell."""
-    one = lambda x: F.concat(F.lpad(F.hex(x["c"].cast("long").bitwiseAND(255)), 2, "0"), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"].bitwiseAND(0xFFFFFFFF)), 8, "0"))
+    """The fingerprint: eight, sixteen and sixteen hex digits for each cell, all that subtracting and peeling need."""
+    one = lambda x: F.concat(F.lpad(F.hex(x["c"].cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"]), 16, "0"))
     return F.lower(F.array_join(F.transform(cells, one), ""))
 
 
@@ -142,42 +134,63 @@ def likeness(one: Column, two: Column, differing: Column) -> Column:
 
 def neighbours():
     """The order of documents within a bucket."""
-    return Window.partitionBy("bucket").orderBy("tail", F.desc_nulls_last("doc_id"), F.desc("text"))
+    return Window.partitionBy("bucket").orderBy("tail", F.desc_nulls_last("doc_id"), F.desc("mark"), F.desc("text"))
+
+
+def id_buckets(rows: DataFrame) -> Column:
+    """A bucket number that rises with doc_id, with about NEIGHBOURS rows each.
+
+    The ids' quantiles bound QUANTILES ranges of about as many rows, and each range is cut into equal
+    widths; so far outliers and dense spots spoil no more than their own range. Rows without an id
+    follow below all others, by ranges of their mark.
+    """
+    quantiles = F.percentile_approx("doc_id", [k / QUANTILES for k in range(1, QUANTILES)], 100 * QUANTILES)
+    low, high, count, known, cuts = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id"), quantiles).first()
+    nulls = buckets(count - known, NEIGHBOURS)
+    unknown = F.floor(F.shiftrightunsigned("mark", 47) * F.lit(nulls) / F.lit(1 << 16)).cast("long") - nulls
+    if not known:
+        return unknown
+    lows = sorted({low, *cuts})
+    each = -(-buckets(known, NEIGHBOURS) // len(lows))
+    widths = [max(1, -(-(after - first) // each)) for first, after in zip(lows, [*lows[1:], high + 1])]
+    at = sum(((F.col("doc_id") >= x).cast("int") for x in lows[1:]), F.lit(0))
+    of = lambda values: F.element_at(F.array(*[F.lit(x).cast("decimal(20,0)") for x in values]), at + 1)
+    inside = F.floor((F.col("doc_id").cast("decimal(20,0)") - of(lows)) / of(widths)).cast("long")
+    return F.when(F.col("doc_id").isNull(), unknown).otherwise(at.cast("long") * each + inside)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, next (the text of the next document by falling doc_id; after the last comes the first), bucket, place, tail.
 
-    Ids are cut into equal ranges, as many as leave NEIGHBOURS documents each where ids are spread
-    evenly, and 65536 at most; texts are shuffled once, by range. The first document of each range
-    (found by a join with the ranges, 65536 at most) also goes to the range before it, as a row with tail 1 and no next. Equal ids follow by falling text; null ids come last.
+    Texts are shuffled once, by buckets of ids. The first document of each bucket (found by a join
+    with the buckets, 65536 or little more) also goes to the bucket that it follows, as a row with tail 1 and no next. Equal
+    ids follow by falling hash of their texts; null ids come last.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // buckets(count, NEIGHBOURS)))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    rows = rows.withColumn("bucket", id_buckets(rows))
     there = rows.select("bucket").distinct()
     whole = Window.partitionBy(F.lit(1))
     to = there.withColumn("to", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(whole)))
-    top = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).join(to, "bucket").select("bucket", "top", "to")
-    first = rows.join(F.broadcast(top), "bucket").filter(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("to").agg(F.max(F.struct("doc_id", "text")).alias("head"))
-    heads = first.select(F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), F.col("to").alias("bucket"), F.lit(1).alias("tail"))
+    top = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "mark")).alias("top")).join(to, "bucket").select("bucket", "top", "to")
+    is_top = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("mark") == F.col("top.mark"))
+    first = rows.join(F.broadcast(top), "bucket").filter(is_top).groupBy("to").agg(F.max(F.struct("doc_id", "mark", "text")).alias("head"))
+    heads = first.select("head.doc_id", "head.text", "head.mark", F.col("to").alias("bucket"), F.lit(1).alias("tail"))
     every = rows.withColumn("tail", F.lit(0)).unionByName(heads)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes don't mean few tasks: the work is in the sketches
     return every.repartition(parts, "bucket").withColumn("next", F.lead("text").over(neighbours())).withColumn("place", F.row_number().over(neighbours()))
 
 
-def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int | None = SHORT) -> DataFrame:
+def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited version, and how alike they are.
 
     The edited text keeps all but the last floor(n_chars/2) code points, which the first as many of the
     next document replace (all it has, if fewer). Fingerprints are sketches of 24 cells; their difference
     is peeled. Where that fails, larger sketches are tried, by regions of the digests' range, so that
     the work grows in proportion to a text's paragraphs; texts of very many get their regions dealt out.
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next:
+    the fingerprint holds all 24 cells whole, so whatever peels can be peeled again from two of them.
     Null and empty texts have no paragraphs; two such are alike (1). A single document is followed by
     itself. Repeated rows each have a row; an empty table gives no rows.
     """
@@ -185,7 +198,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = with_next(docs, id_col, text_col)
     half = F.floor(F.char_length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next", F.lit(1), half)))
-    rows = rows.select("bucket", "place", "tail", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text"), short).alias("a"), digests(F.col("edited"), short).alias("e"))
+    rows = rows.select("bucket", "place", "tail", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"))
     rows = rows.withColumn("sa", sketch(F.col("a"))).withColumn("se", sketch(F.col("e")))
     after = Window.partitionBy("bucket").orderBy("place")
     rows = rows.withColumn("n", F.lead("a").over(after)).withColumn("sn", F.lead("sa").over(after)).filter("tail = 0")
