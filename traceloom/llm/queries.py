@@ -28,7 +28,7 @@ def op3_language(spark, sf_dir):
 
 
 def op4_fingerprints(spark, sf_dir):
-    return fingerprint_versions(read(spark, sf_dir), short=None)
+    return fingerprint_versions(read(spark, sf_dir))
 
 
 def op5_licenses(spark, sf_dir):
@@ -52,7 +52,7 @@ def op9_simhash(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
-    return mix(read(spark, sf_dir))
+    return mix(read(spark, sf_dir), block=32)
 
 
 _ALL = (op1_sharding, op2_secrets, op3_language, op4_fingerprints, op5_licenses, op6_packing, op7_passages, op8_audio, op9_simhash, op10_mixing)
