@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .license_texts import PHRASES, TEMPLATES
 from .shared import ascii_lower, whole_text
 
-#: Fixed phrases: label and words.
-PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-#: Opening or central passages of public license texts: label and words. The labels are this method's own.
-TEMPLATES = (
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-text", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-)
-#: Diagonals this near to each other are one passage with words put in or left out.
-NEIGHBOURS = 4
-#: Part of a template's k-grams that a passage must have.
-COVERED = 0.6
+#: Votes that a diagonal of a text must have, and how near diagonals of one passage are, with words put in or left out.
+VOTES, NEIGHBOURS = 2, 4
+#: Part of a template's words that a passage must hold in order, and its length against the template's at most.
+COVERED, LONGER = 0.6, 1.5
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -29,7 +22,7 @@ def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) ->
     rows = []
     for base, entries in ((True, phrases), (False, templates)):
         for label, text in entries:
-            words = text.split()
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
             k = min(3, len(words))
             for at in range(len(words) - k + 1):
                 gram = words[at : at + k] + [None] * (3 - k)
@@ -51,33 +44,50 @@ def license_hits(docs: DataFrame, key: str, text_col: str, grams: DataFrame) ->
     return rolled.join(F.broadcast(grams), same).select(key, "label", "base", "at", "grams", "k", "place")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Places of license phrases and passages of license texts in every document.
+def in_order(hits, k):
+    """Words of a template that hits (place, at), sorted by place, cover in order; k words a hit."""
+    start = F.struct(F.lit(-9).alias("place"), F.lit(-9).alias("at"), F.lit(0).alias("words"))
+
+    def step(s, h):
+        new = F.least(k, h["at"] - s["at"], h["place"] - s["place"])
+        return F.when(new > 0, F.struct(h["place"].alias("place"), h["at"].alias("at"), (s["words"] + new).alias("words"))).otherwise(s)
+
+    return F.aggregate(hits, start, step, lambda s: s["words"])
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+    """Places of license phrases, passages of license texts and whole ones in every document.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. A k-gram at
-    place p that stands at position t of a template votes for the diagonal p - t; diagonals at most
-    NEIGHBOURS apart are merged, and a passage counts if at least COVERED of the template's k-grams
-    voted and it is at most half as long again as the template. score is the largest part of a template
-    found (1 for a phrase). Null and empty texts have no words, score 0 and empty labels. Equal
-    texts are scanned as one group; repeated rows each have a row. An empty table gives no rows.
+    place p that stands at position t of a template votes for the diagonal p - t; diagonals of at least
+    VOTES votes (one for a phrase) at most NEIGHBOURS apart are merged to a passage. It counts if its k-grams, read in order, cover at least
+    COVERED of the template's words and it is at most LONGER times as long as the template. score is the
+    largest part of a template so covered (1 for a phrase), 0 where nothing counts. Null and empty texts
+    have no words, score 0 and empty labels. Repeated rows each have a row. An empty table gives no rows.
     """
     text = whole_text(text_col)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"))
-    hits = license_hits(keyed, "key", "text", template_grams(docs.sparkSession))
+    # a row's key, so that copies of one text under many ids are no hot group
+    key = F.unhex(F.md5(F.encode(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text), "UTF-8")))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), key.alias("key"))
+    hits = license_hits(keyed, "key", "text", template_grams(docs.sparkSession, phrases, templates))
     votes = hits.groupBy("key", "label", "base", "grams", "k", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"))
+    votes = votes.filter(F.col("base") | (F.size("at") >= VOTES))
     line = Window.partitionBy("key", "label", "base").orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= F.when(F.col("base"), 0).otherwise(NEIGHBOURS), 0).otherwise(1)
-    ends = F.col("diagonal") + F.array_min("at"), F.col("diagonal") + F.array_max("at")
-    spans = votes.withColumn("step", step).withColumn("passage", F.sum("step").over(line)).groupBy("key", "label", "base", "grams", "k", "passage").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"), F.min(ends[0]).alias("start"), F.max(ends[1]).alias("end"))
-    covered = F.col("found") / F.col("grams")
-    spans = spans.withColumn("covered", covered).withColumn("right", F.col("base") | ((F.col("covered") >= COVERED) & (F.col("end") - F.col("start") < 1.5 * F.col("grams"))))
+    hit = F.transform("at", lambda a: F.struct((F.col("diagonal") + a).alias("place"), a.alias("at")))
+    spans = votes.withColumn("step", step).withColumn("passage", F.sum("step").over(line)).withColumn("hits", hit)
+    spans = spans.groupBy("key", "label", "base", "grams", "k", "passage").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    words = F.col("grams") + F.col("k") - 1
+    start, end = F.col("hits")[0]["place"], F.element_at("hits", -1)["place"] + F.col("k")
+    spans = spans.select("key", "label", "base", start.alias("start"), (in_order(F.col("hits"), F.col("k")) / words).alias("covered"), ((end - start) <= LONGER * words).alias("short"))
+    spans = spans.filter((F.col("covered") >= COVERED) & F.col("short"))
     base = F.col("base")
     each = spans.groupBy("key").agg(
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("right"), F.col("label")))), ",").alias("labels"),
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max("covered").alias("score"),
     )
     words = F.regexp_count(ascii_lower(F.col("text")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
