@@ -49,9 +49,13 @@ def _of(category: str) -> str:
 ANY = f"[{char_class(' '.join(s for _, _, s in HIDDEN))}]"
 SPACES = f"[{_of('unusual-space')}]"
 _P = f"[{char_class(PICTOGRAPHIC)}]"
-#: A joiner between pictographs, a selector after one, an ideographic selector after a Han character. The
-#: {1,2} lets Java look back over characters beyond the basic plane.
-LEGITIMATE = rf"(?:(?<={_P}{{1,2}})\x{{200D}}(?={_P})|(?<={_P}{{1,2}})[\x{{FE0E}}\x{{FE0F}}]|(?<=\p{{IsHan}}{{1,2}})[\x{{E0100}}-\x{{E01EF}}])"
+_SELECTORS, _IDEOGRAPHIC = r"[\x{FE0E}\x{FE0F}]", r"[\x{E0100}-\x{E01EF}]"
+#: A joiner between pictographs, a selector after one, an ideographic selector after a Han character. The rare
+#: character comes first, so that only it is looked around. {1,2} lets Java look back over characters beyond the basic plane.
+_JOINS, _SELECTS, _VARIES = rf"(?<={_P}{{1,2}}\x{{200D}})(?={_P})", rf"{_P}{{1,2}}{_SELECTORS}", rf"\p{{IsHan}}{{1,2}}{_IDEOGRAPHIC}"
+LEGITIMATE = rf"(?:\x{{200D}}{_JOINS}|{_SELECTORS}(?<={_SELECTS})|{_IDEOGRAPHIC}(?<={_VARIES}))"
+_OTHERS = char_class(" ".join(s for c, _, s in HIDDEN if c != "unusual-space"))
+_REMOVABLE = rf"(?:[{_OTHERS}&&[^\x{{200D}}\x{{FE0E}}\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]]|\x{{200D}}(?!{_JOINS})|{_SELECTORS}(?<!{_SELECTS})|{_IDEOGRAPHIC}(?<!{_VARIES}))"
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -59,18 +63,16 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def hidden_counts(text: Column) -> dict[str, Column]:
-    """total, legitimate, removable, and a count for each category."""
-    total, legitimate = count(text, ANY), count(text, LEGITIMATE)
-    by = {"n_" + c.replace("-", "_"): count(text, f"[{_of(c)}]") for c in CATEGORIES}
-    return {"total": total, "legitimate": legitimate, "removable": total - legitimate, **by}
+    """total, legitimate, removable, and a count for each category, of what is left when all that shows is taken out."""
+    marks, legitimate = F.regexp_replace(text, f"[^{ANY[1:]}+", ""), count(text, LEGITIMATE)
+    by = {"n_" + c.replace("-", "_"): count(marks, f"[{_of(c)}]") for c in CATEGORIES}
+    return {"total": F.length(marks), "legitimate": legitimate, "removable": F.length(marks) - legitimate, **by}
 
 
 def clean_hidden(text: Column, normalize_spaces: bool = True, aggressive: bool = False) -> Column:
     """Unusual spaces become one blank each (or stay); other hidden characters go, legitimate ones only if aggressive."""
-    if normalize_spaces:
-        text = F.regexp_replace(text, SPACES, " ")
-    others = f"[{char_class(' '.join(s for c, _, s in HIDDEN if c != 'unusual-space'))}]"
-    return F.regexp_replace(text, others if aggressive else f"(?!{LEGITIMATE}){others}", "")
+    clean = F.regexp_replace(text, SPACES, " ") if normalize_spaces else text
+    return F.when(text.rlike(ANY), F.regexp_replace(clean, f"[{_OTHERS}]" if aggressive else _REMOVABLE, "")).otherwise(text)
 
 
 def classify(cp: Column, field: int) -> Column:
@@ -87,10 +89,14 @@ def classify(cp: Column, field: int) -> Column:
 def findings(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each hidden character: id, idx (code points from 0), cp, code, category, risk, legitimate."""
     some = items.filter(F.col(text_col).rlike(ANY))
-    chars = F.split(text_col, "")
     pictograph = lambda c: F.coalesce(c.rlike(f"^{_P}$"), F.lit(False))
-    each = F.transform(chars, lambda c, i: F.struct(i.alias("idx"), c.alias("c"), F.get(chars, i - 1).alias("before"), F.get(chars, i + 1).alias("after")))
-    hidden = some.select(id_col, F.explode(F.filter(each, lambda x: x["c"].rlike(ANY))).alias("x")).select(id_col, "x.*", F.ascii("x.c").alias("cp"))
+    shows = lambda c: F.ascii(c).between(0x20, 0x7E)
+
+    def found(chars):  # the text is split once: chars is bound by the outer transform
+        at = lambda c, i: F.when(~shows(c) & c.rlike(ANY), F.struct(i.alias("idx"), F.get(chars, i - 1).alias("before"), F.get(chars, i + 1).alias("after"), F.ascii(c).alias("cp")))
+        return F.filter(F.transform(chars, at), lambda x: x.isNotNull())
+
+    hidden = some.select(id_col, F.explode(F.transform(F.array(F.split(text_col, "")), found)[0]).alias("x")).select(id_col, "x.*")
     joiner = (F.col("cp") == 0x200D) & pictograph(F.col("before")) & pictograph(F.col("after"))
     selector = F.col("cp").isin(0xFE0E, 0xFE0F) & pictograph(F.col("before"))
     ideographic = F.col("cp").between(0xE0100, 0xE01EF) & F.coalesce(F.col("before").rlike(r"^\p{IsHan}$"), F.lit(False))

@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
     "lint_summary": f"{LINTED} SELECT count(*) FILTER (level = 'ERROR') AS errors, count(*) FILTER (level = 'WARN') AS warnings, count(DISTINCT doc_id) AS items FROM found",
     "limiter_fixed_bucket": "WITH a AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type, floor(epoch(ts) / 3600) ORDER BY ts, event_id) > 2 AS over FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY event_type, floor(epoch(ts) / 86400), over ORDER BY ts, event_id) > 10 AS day FROM a) SELECT event_id, NOT over AND NOT day AS admitted, CASE WHEN over THEN 3600 WHEN day THEN 86400 END::INT AS denied_by FROM b",
     "revision_overlay": "WITH o AS (SELECT o_custkey, o_orderkey % 5 AS obj, (o_orderkey * 7919) % 1000003 AS rev, o_orderkey FROM orders) SELECT o_custkey, obj, min(rev) AS rev, arg_min(o_orderkey, rev) AS o_orderkey FROM o WHERE rev >= 1000 GROUP BY o_custkey, obj",
-    "reachability": "WITH RECURSIVE walk(node, depth) AS (SELECT 3::BIGINT, 0 UNION ALL SELECT (node * 2 + 1) % 25, depth + 1 FROM walk WHERE depth < 8) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node",
+    "reachability": "WITH RECURSIVE walk(node, depth) AS (SELECT 3::BIGINT, 0 UNION ALL SELECT (node * 2 + 1) % 25, depth + 1 FROM walk WHERE depth < (SELECT count(*) FROM nation)) SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node",
     "renumber_offsets": "SELECT o_custkey, o_orderkey, row_number() OVER w::INT AS new_number, coalesce(sum(o_orderkey % 97) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "interval_apply": "SELECT doc_id, md5(substring(text, 1, (doc_id % 17)::INT + 2) || substring(text, (doc_id % 17)::INT + 10, 0) || substring(text, (doc_id % 17)::INT + 13)) AS left_over FROM documents",
     "related_links": "WITH l AS (SELECT p_partkey, unnest([0, 1, 2])::INT AS pos, unnest([p_partkey + 1, p_partkey * 2, p_partkey - 1]) AS t FROM part) SELECT l.p_partkey, pos, p.p_name AS title FROM l JOIN part p ON p.p_partkey = l.t",

@@ -216,7 +216,7 @@ def count_buckets(spark, sf_dir):
 
 # lint
 def lint_documents(spark, sf_dir):
-    return lint(markdown_documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"), "doc_id", "md").groupBy("level", "rule").agg(F.count("*").alias("n"))
+    return lint(markdown_documents(spark, sf_dir), "doc_id", "md").groupBy("level", "rule").agg(F.count("*").alias("n"))
 
 
 def lint_duplicates(spark, sf_dir):
@@ -246,7 +246,7 @@ def revision_overlay(spark, sf_dir):
 def reachability(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     edges = n.select(F.col("n_nationkey").cast("long").alias("src"), F.pmod(F.col("n_nationkey") * 2 + 1, F.lit(25)).cast("long").alias("dst"))
-    return graph.reachable(spark, edges, n.filter("n_nationkey = 3").select(F.col("n_nationkey").cast("long").alias("node")), most=8)  # as its SQL
+    return graph.reachable(spark, edges, n.filter("n_nationkey = 3").select(F.col("n_nationkey").cast("long").alias("node")))
 
 
 def renumber_offsets(spark, sf_dir):
