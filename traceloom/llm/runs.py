@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, whole_text
+from .shared import Workspace, join_groups, whole_text
 
 #: Words of a run at least, and of the windows by which runs are found: of any RUN - WINDOW + 1 successive ones, the least is chosen.
 RUN, WINDOW = 50, 26
@@ -86,8 +86,8 @@ def looked_at(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def shared_hashes(spots: DataFrame) -> DataFrame:
-    """The hashes that documents of two ids have."""
-    return spots.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
+    """The hashes that documents of two ids have, and how many times each occurs (n)."""
+    return spots.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("h", "n")
 
 
 def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,7 +121,7 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(of), pa.array(marks, pa.int64()).take(of), pa.array(place.astype(np.int32)), pa.array(h)], names=["doc_id", "t", "place", "h"])
 
     first = ws.save(texts.mapInArrow(choose, "doc_id long, t long, place int, h long"))
-    met = first.join(shared_hashes(first), "h", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
+    met = join_groups(first, ws.save(shared_hashes(first)), ["h"], "n").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
     met = ws.save(met.withColumnsRenamed({"doc_id": "of", "t": "m"}))
     ws.drop(first)
 
@@ -144,11 +144,11 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = texts.join(met, (F.col("t") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "t", "text", "places")
     spots = ws.save(near.mapInArrow(around, "doc_id long, t long, place int, seq int, h long, line int"))
     island = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id", "t").orderBy("seq"))
-    hits = spots.join(shared_hashes(spots), "h", "left_semi").withColumn("island", island)
+    hits = join_groups(spots, ws.save(shared_hashes(spots)), ["h"], "n").withColumn("island", island)
     hits = ws.save(hits.withColumn("least", F.min("h").over(Window.partitionBy("doc_id", "t", "island"))))
     ws.drop(spots)
-    apart = hits.groupBy("h").agg(F.min("least").alias("b"), F.max("least").alias("most")).filter("b < most")
-    links = hits.join(apart, "h").filter("least <> b").select(F.col("least").alias("a"), "b").distinct()
+    apart = hits.groupBy("h").agg(F.min("least").alias("b"), F.max("least").alias("most"), F.count("*").alias("n")).filter("b < most").drop("most")
+    links = join_groups(hits, ws.save(apart), ["h"], "n").filter("least <> b").select(F.col("least").alias("a"), "b").distinct()
     classes = ws.save(components(links).select(F.col("node").alias("least"), "component"))
     runs = hits.groupBy("doc_id", "t", "island", "least").agg(F.min("place").cast("long").alias("first_word"), F.min("line").alias("paragraph"), (F.max("place") - F.min("place") + RUN).alias("n_words"))
     runs = ws.save(runs.join(classes, "least", "left").withColumn("class_id", F.coalesce("component", "least")))
