@@ -153,8 +153,9 @@ def id_buckets(rows: DataFrame) -> Column:
     lows = sorted({low, *cuts})
     each = -(-buckets(known, NEIGHBOURS) // len(lows))
     widths = [max(1, -(-(after - first) // each)) for first, after in zip(lows, [*lows[1:], high + 1])]
-    at = sum(((F.col("doc_id") >= x).cast("int") for x in lows[1:]), F.lit(0))
-    of = lambda values: F.element_at(F.array(*[F.lit(x).cast("decimal(20,0)") for x in values]), at + 1)
+    listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    at = F.size(F.filter(listed(lows[1:], "bigint"), lambda x: x <= F.col("doc_id"))) if lows[1:] else F.lit(0)
+    of = lambda values: F.element_at(listed(values, "decimal(20,0)"), at + 1)
     inside = F.floor((F.col("doc_id").cast("decimal(20,0)") - of(lows)) / of(widths)).cast("long")
     return F.when(F.col("doc_id").isNull(), unknown).otherwise(at.cast("long") * each + inside)
 
@@ -170,10 +171,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     rows = rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 1))
     rows = rows.withColumn("bucket", id_buckets(rows))
-    there = rows.select("bucket").distinct()
+    bare = Workspace(spark).save(rows.select("doc_id", "mark", "bucket"))
+    there = bare.select("bucket").distinct()
     whole = Window.partitionBy(F.lit(1))
     to = there.withColumn("to", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(whole)))
-    top = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "mark")).alias("top")).join(to, "bucket").select("bucket", "top", "to")
+    top = bare.groupBy("bucket").agg(F.max(F.struct("doc_id", "mark")).alias("top")).join(to, "bucket").select("bucket", "top", "to")
     is_top = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("mark") == F.col("top.mark"))
     first = rows.join(F.broadcast(top), "bucket").filter(is_top).groupBy("to").agg(F.max(F.struct("doc_id", "mark", "text")).alias("head"))
     heads = first.select("head.doc_id", "head.text", "head.mark", F.col("to").alias("bucket"), F.lit(1).alias("tail"))
