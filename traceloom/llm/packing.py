@@ -19,7 +19,7 @@ from .shared import Workspace, whole_text
 #: Pieces that one population packs; islands of such a cell; its epochs, with migration between them.
 CELL, ISLANDS, EPOCHS = 1024, 2, 2
 #: Individuals of an island, and generations of an epoch. A cell at its lower bound takes none.
-POPULATION, GENERATIONS = 8, 12
+POPULATION, GENERATIONS = 8, 6
 #: Displaced pieces that are tried in the place of placed ones at a time, and rounds of this.
 DISPLACED, ROUNDS = 96, 6
 #: Sequences filled to less than this are opened again and packed with those of other cells.
@@ -152,10 +152,11 @@ def fitness(fills, capacity):
     return sum((f / capacity) ** 2 for f in fills) / max(1, len(fills))
 
 
-def _sums(sizes, groups, sorted_=False):
-    """Arrays (sum, first, second) of all single pieces (second is -1) and of the pairs given."""
-    one = np.array([(sizes[i], i, -1) for i in groups[0]] + [(sizes[i] + sizes[j], i, j) for i, j in groups[1]], np.int64).reshape(-1, 3)
-    return one[np.argsort(one[:, 0], kind="stable")] if sorted_ else one
+def _with_pairs(numbers, sizes, first, second):
+    """Arrays (sum, first, second) of single pieces (second is -1) and of pairs of them, given by their places among the numbers."""
+    one, two = numbers[first], numbers[second]
+    sums = np.concatenate([sizes[numbers], sizes[one] + sizes[two]])
+    return sums, np.concatenate([numbers, one]), np.concatenate([np.full(len(numbers), -1), two])
 
 
 def exchange(sizes, loose, bins, fills, capacity, rng):
@@ -163,30 +164,31 @@ def exchange(sizes, loose, bins, fills, capacity, rng):
 
     Dominance: a fuller bin with fewer, larger pieces leaves the smaller ones, which are easier to place.
     """
+    sizes, mix = np.asarray(sizes, np.int64), np.random.default_rng(rng.getrandbits(32))
     for _ in range(ROUNDS):
         free = capacity - np.array(fills, np.int64)
         if not loose or not (free > 0).any():
             break
-        some = loose if len(loose) <= DISPLACED else rng.sample(loose, DISPLACED)
-        into = _sums(sizes, (some, [(i, j) for k, i in enumerate(some) for j in some[k + 1 :] if sizes[i] + sizes[j] <= capacity]), True)
-        singles, pairs, owner = [], [], []
-        for b, items in enumerate(bins):  # each piece, and each with the next one of a shuffled bin
-            if free[b] > 0:
-                order = rng.sample(items, len(items))
-                singles += [(i, b) for i in items]
-                pairs += [(i, j, b) for i, j in zip(order, order[1:])]
-        out = _sums(sizes, ([i for i, _ in singles], [(i, j) for i, j, _ in pairs]))
-        owner = np.array([b for _, b in singles] + [b for *_, b in pairs], np.int64)
-        best = np.searchsorted(into[:, 0], out[:, 0] + free[owner], "right") - 1
-        gain = np.where(best >= 0, into[best, 0] - out[:, 0], 0)
+        some = np.array(loose if len(loose) <= DISPLACED else rng.sample(loose, DISPLACED), np.int64)
+        total, new_one, new_two = _with_pairs(some, sizes, *np.triu_indices(len(some), 1))
+        order = np.argsort(total, kind="stable")
+        total, new_one, new_two = total[order], new_one[order], new_two[order]
+        owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+        placed = np.concatenate([np.array(b, np.int64) for b in bins])
+        shuffled = np.lexsort((mix.random(len(owner)), owner))  # each piece is paired with the next one of its shuffled bin
+        placed = placed[shuffled][free[owner] > 0]
+        owner = owner[free[owner] > 0]
+        next_ = np.flatnonzero(owner[1:] == owner[:-1])
+        out, old_one, old_two = _with_pairs(placed, sizes, next_, next_ + 1)
+        owner = np.concatenate([owner, owner[next_]])
+        best = np.searchsorted(total, out + free[owner], "right") - 1
+        gain = np.where(best >= 0, total[best] - out, 0)
         used, changed = set(), set()
-        for k in np.argsort(-gain, kind="stable").tolist():
-            if gain[k] <= 0:
-                break
-            b, new = int(owner[k]), [int(x) for x in into[best[k], 1:] if x >= 0]
+        for k in np.argsort(-gain, kind="stable")[: np.count_nonzero(gain > 0)].tolist():
+            b, new = int(owner[k]), [int(x) for x in (new_one[best[k]], new_two[best[k]]) if x >= 0]
             if b in changed or not used.isdisjoint(new):
                 continue
-            old = [int(x) for x in out[k, 1:] if x >= 0]
+            old = [int(x) for x in (old_one[k], old_two[k]) if x >= 0]
             bins[b] = [i for i in bins[b] if i not in old] + new
             fills[b] += int(gain[k])
             used.update(new)
