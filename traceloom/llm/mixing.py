@@ -99,7 +99,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     source of its own, the last; documents without words take 0. Repeated rows are separate
     documents. An empty table gives no rows.
     """
-    ws = Workspace(docs.sparkSession)
+    spark = docs.sparkSession
+    ws = Workspace(spark)
     skey = source_key(source_col)
     key = seeded(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")), whole_text(text_col))
     rows = ws.save(docs.select(F.col(id_col).alias("doc_id"), skey.alias("skey"), word_count(whole_text(text_col)).alias("size"), key.alias("_key")))
@@ -111,9 +112,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     shard = quota.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_blocks") - 1) / SHARD_BLOCKS))))
     shard = shard.withColumn("_in", F.least(F.lit(SHARD_BLOCKS).cast("long"), F.col("_blocks") - F.col("_shard") * SHARD_BLOCKS))
     shard = sainte_lague(shard, ["skey"], "_shard", "_in", "_extra", "_in", limited=False)
+    # spread by hand, and stored: a few rows become very many, which neither their size now nor a planner's guess tells
+    spread = quota.agg(F.coalesce(F.sum("_blocks"), F.lit(0))).first()[0] // (64 * SHARD_BLOCKS)
+    shard = shard.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(65536, spread)), "skey", "_shard")
     block_no = shard.withColumn("_block", F.explode(F.sequence(F.col("_shard") * SHARD_BLOCKS, F.col("_shard") * SHARD_BLOCKS + F.col("_in") - 1)))
     chance = Window.partitionBy("skey", "_shard").orderBy(seeded(seed, F.col("skey"), F.col("_block").cast("string")), "_block")
-    chosen = block_no.withColumn("_rank", F.row_number().over(chance)).filter("_rank <= _seats").select("skey", "_block")
+    chosen = ws.save(block_no.withColumn("_rank", F.row_number().over(chance)).filter("_rank <= _seats").select("skey", "_block"))
     # places of documents in the stream of their source
     bucket = F.pmod("_key", F.lit(buckets(count, ORDERED)))
     full = rows.filter("size > 0").withColumn("_bucket", bucket)
