@@ -32,3 +32,44 @@ def histogram(rows: DataFrame, label: Column) -> DataFrame:
 def gate(rows: DataFrame, bad: Column, most: float = 0.10) -> DataFrame:
     share = F.count_if(bad) / F.count("*")
     return rows.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.when(share <= most, "pass").otherwise("fail").alias("verdict"))
+
+
+# What a refusal says, in lower case, and its name; the first that fits counts.
+REFUSALS = (
+    ("encrypted", "encrypted"), ("cannot rebuild safely", "unsupported structure"), ("did not parse back", "output did not parse"), ("revisions rather than one", "output had extra revisions"),
+    ("metadata survived", "metadata survived"), ("xmp packet survived", "xmp survived"), ("still present in the rebuilt", "value found in output bytes"),
+)
+
+
+def refusal(warnings: Column) -> Column:
+    """The bucket of a refusal by its warnings (an array of texts)."""
+    said, out = F.lower(F.array_join(warnings, " ")), F.lit("other")
+    for words, name in reversed(REFUSALS):
+        out = F.when(F.contains(said, F.lit(words)), name).otherwise(out)
+    return out
+
+
+def most_frequent(counts: DataFrame, n: str = "n", label: str = "label") -> DataFrame:
+    """A histogram's rows, the most frequent first, ties by label."""
+    return counts.orderBy(F.desc(n), label)
+
+
+def preservation(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """Of rows with digest arrays before and after (one a page): files, same number of pages, same contents, lost (no digests after)."""
+    same = F.coalesce(F.size(before) == F.size(after), F.lit(False))
+    return rows.agg(F.count("*").alias("files"), F.count_if(same).alias("same_pages"), F.count_if(F.col(before).eqNullSafe(F.col(after))).alias("same_contents"), F.count_if(F.col(after).isNull()).alias("lost"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """12.3%, and 0.0% of nothing."""
+    return F.when(whole > 0, F.format_string("%.1f%%", 100.0 * part / whole)).otherwise("0.0%")
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """section, label, n, share: histograms (label, n) under each other, with each label's part of its section. Counts alone, no names or values of files."""
+    rows = None
+    for name, frame in sections.items():
+        whole = frame.agg(F.sum("n").alias("whole"))
+        part = frame.crossJoin(F.broadcast(whole)).select(F.lit(name).alias("section"), "label", "n", percent(F.col("n"), F.col("whole")).alias("share"))  # one row of whole
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .detect import detect_format
+from .exif import orientation_block, turned, with_exif
 from .verify import compare, status
 
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(x, T.IntegerType()) for x in ("start", "data", "stop")], T.StructField("head", T.BinaryType())]))
@@ -90,22 +91,29 @@ def walk(content: pd.Series, format_: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.BinaryType())
-def put_together(content: pd.Series, format_: pd.Series, kept: pd.Series) -> pd.Series:
-    """The file's signature and its kept segments; a WebP's size and its flags of what is gone follow."""
+def put_together(content: pd.Series, format_: pd.Series, kept: pd.Series, extra: pd.Series) -> pd.Series:
+    """The file's signature, its kept segments and one more, if any, at its place; a PNG's end, a WebP's size and its flags of what is gone follow."""
 
-    def one(data, kind, segments):
+    def one(data, kind, segments, more):
         if segments is None:
             return None
         head = {"jpeg": 2, "png": 8, "webp": 12}[kind]
-        parts = [data[:head], *(data[s["start"] : s["stop"]] for s in segments)]
+        tags = [s["tag"] for s in segments]
+        parts = [data[s["start"] : s["stop"]] for s in segments]
         if kind == "webp":
-            for k, s in enumerate(segments, 1):
-                if s["tag"] == "VP8X" and len(parts[k]) > 8:
-                    parts[k] = parts[k][:8] + bytes([parts[k][8] & ~0x0C]) + parts[k][9:]
-            parts[0] = b"RIFF" + struct.pack("<I", 4 + sum(map(len, parts[1:]))) + b"WEBP"
-        return b"".join(parts)
+            for k, part in enumerate(parts):
+                if tags[k] == "VP8X" and len(part) > 8:
+                    parts[k] = part[:8] + bytes([part[8] & ~0x0C | 0x08 * bool(more)]) + part[9:]
+            parts += [more] * bool(more)
+            return b"RIFF" + struct.pack("<I", 4 + sum(map(len, parts))) + b"WEBP" + b"".join(parts)
+        if kind == "png" and "IEND" not in tags:
+            parts.append(b"\0\0\0\0IEND\xae\x42\x60\x82")
+        if more:  # after JFIF, or after the header
+            first = {"jpeg": "E0", "png": "IHDR"}[kind]
+            parts.insert(1 if tags[:1] == [first] else 0, more)
+        return data[:head] + b"".join(parts)
 
-    return pd.Series([one(*x) for x in zip(content, format_, kept)], dtype=object)
+    return pd.Series([one(*x) for x in zip(content, format_, kept, extra)], dtype=object)
 
 
 def once(udf):
@@ -146,10 +154,31 @@ def image_segments(items: DataFrame, id_col: str = "item_id", content_col: str =
     return rows.withColumn("valid", valid)
 
 
-def clean_images(segmented: DataFrame) -> DataFrame:
-    """image_segments' rows with cleaned: the file without what isn't kept, image data byte for byte; null if not valid."""
+def orientation_part(format_: Column, orientation: Column) -> Column:
+    """A segment or chunk that holds the orientation alone, for images that must be turned; null for others."""
+    block = orientation_block(orientation)
+    size, small = lambda n: F.unhex(F.lpad(F.hex(F.lit(n)), 8, "0")), F.unhex(F.lit("1A000000"))
+    typed = F.concat(F.encode(F.lit("eXIf"), "US-ASCII"), block)
+    crc = F.unhex(F.lpad(F.hex(F.crc32(typed)), 8, "0"))
+    jpeg = F.concat(F.unhex(F.lit("FFE1" "0022" "457869660000")), block)
+    return F.when(turned(orientation), F.when(format_ == "jpeg", jpeg).when(format_ == "png", F.concat(size(26), typed, crc)).when(format_ == "webp", F.concat(F.encode(F.lit("EXIF"), "US-ASCII"), small, block)))
+
+
+def clean_images(segmented: DataFrame, keep_orientation: bool = False) -> DataFrame:
+    """image_segments' rows with cleaned: the file without what isn't kept, image data byte for byte; null if not valid.
+
+    With keep_orientation, an image that must be turned gets an EXIF block of that one field (column orientation).
+    """
     kept = F.when(F.col("valid"), F.filter("segments", lambda s: s["keep"]))
-    return segmented.withColumn("cleaned", once(put_together)("content", "format", kept))
+    if not keep_orientation:
+        return segmented.withColumn("cleaned", once(put_together)("content", "format", kept, F.lit(None).cast("binary")))
+    blocks = F.filter("segments", lambda s: s["kind"].isin("exif", "eXIf", "EXIF"))
+    last = F.get(blocks, F.size(blocks) - 1)
+    data = F.substring("content", last["data"] + 1, last["stop"] - last["data"])
+    tiff = F.when(F.startswith(F.hex(data), F.lit("457869660000")), F.substring(data, 7, F.octet_length(data))).otherwise(data)
+    rows = with_exif(segmented.withColumn("_tiff", tiff), "_tiff", "_exif").withColumn("orientation", F.col("_exif.orientation"))
+    rows = rows.withColumn("cleaned", once(put_together)("content", "format", kept, orientation_part(F.col("format"), F.col("orientation"))))
+    return rows.drop("_tiff", "_exif")
 
 
 def image_facts(segmented: DataFrame) -> DataFrame:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hidden import clean_hidden
 from ..functions.texts import trim_space
-from ..plans.dims import REMOVED_ROLES, role_of
-
-KEY_LINE = r"\A(\s*)([A-Za-z_][A-Za-z0-9_.-]*)\s*:(.*)\z"
-BLOCK = r"(?s)\A(---[ \t]*\r?\n)(.*?\r?\n)((?:---|\.\.\.)[ \t]*(?:\r?\n|\z))"
-UNSAFE = r"(?m)(?:(?:^|\s)[&*][A-Za-z_]|^\s*<<\s*:)"
-COMMENT_GATE = r"(?i)generat|created\s+with|produced\s+by|exported|written\s+by|\bai\b|model|prompt"
+from ..plans.dims import REMOVED_ROLES, ROLES, role_of
+
+#: Lines between fences at the very start: opening fence, block, closing fence.
+BLOCK = r"(?dms)\A(-{3}[ \t]*\r?\n)(.+?)(^(?:-{3}|\.{3})[ \t]*(?:\r?\n|\z))"
+#: Indent, name and value of a line that sets a key.
+KEY_LINE = r"(?s)\A(\s*)([A-Za-z_][\w.\-]*)\s*:(.*)\z"
+# What comments say that tell how something was made.
+COMMENT_GATE = r"generat|created\s+with|produced\s+by|exported|written\s+by|\bai\b|model|prompt"
 COMMENT = r"(?s)<!--(.*?)-->"
-JSON_LD = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
+#: A comment that speaks of these, up to its own end.
+TOLD_COMMENT = rf"<!--(?:(?!-->).)*?(?:{COMMENT_GATE}).*?-->"
+JSON_LD = r"""<script(?=[^>]*?\stype\s*=\s*["']?application/ld\+json)[^>]*>(.*?)</script\s*>"""
+_NAMES = "|".join(key for keys in ROLES.values() for key in sorted(keys.split(), key=len, reverse=True))
+#: A meta tag whose name has a role.
+TOLD_META = rf"""<meta(?=[^>]*?\sname\s*=\s*["']?(?:{_NAMES})["'\s/>])[^>]*>"""
 
 
 def front_matter(text: Column) -> Column:
@@ -21,52 +29,123 @@ def front_matter(text: Column) -> Column:
     return F.regexp_extract(text, BLOCK, 2)
 
 
-def front_matter_keys(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each key line: id, line, indent, key, value, role, last (the line before the next key as shallow), unsafe.
+def unsafe(block: Column) -> Column:
+    """YAML anchors, aliases or merge keys, by which one entry depends on another."""
+    return block.rlike(r"(?<!\S)[&*][A-Za-z_]") | block.rlike(r"(?dm)^\s*<<\s*:")
+
+
+def lines_of(block: Column) -> Column:
+    """The lines with the ends that they have."""
+    return F.regexp_extract_all(block, F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
+
 
-    The extent of a key is found by a self-join on the item's key lines, of which there are few.
+def entries(block: Column) -> Column:
+    """An array of the block's keys: line, indent, name, path, value, last (the line before the next key as shallow).
+
+    Two passes over the key lines, forwards for paths and backwards for extents. Each carries a stack
+    of keys of rising indent, so the work grows with the keys and the depth of nesting.
     """
+    value = lambda x: trim_space(F.regexp_extract(x, KEY_LINE, 3))
+    found = F.transform(lines_of(block), lambda x, i: F.when(x.rlike(KEY_LINE), F.struct(i.alias("line"), F.length(F.regexp_extract(x, KEY_LINE, 1)).alias("indent"), F.regexp_extract(x, KEY_LINE, 2).alias("name"), value(x).alias("value"))))
+    keys = F.filter(found, lambda k: k.isNotNull())
+    level, key = "array<struct<line:int,indent:int,name:string>>", "array<struct<line:int,indent:int,name:string,path:string,value:string,last:int>>"
+    state = lambda stack, out: F.struct(stack.cast(level).alias("stack"), out.cast(key).alias("out"))
+    own = lambda k: F.array(F.struct(k["line"].alias("line"), k["indent"].alias("indent"), k["name"].alias("name")))
+    whole = lambda k, path, last: F.struct(*[k[x].alias(x) for x in ("line", "indent", "name")], path.alias("path"), k["value"].alias("value"), last.alias("last"))
+
+    def down(s, k):
+        stack = F.concat(F.filter(s["stack"], lambda x: x["indent"] < k["indent"]), own(k))
+        path = F.array_join(F.transform(stack, lambda x: x["name"]), ".")
+        return state(stack, F.concat(s["out"], F.array(whole(k, path, F.lit(None).cast("int")))))
+
+    def up(s, k):
+        after = F.filter(s["stack"], lambda x: x["indent"] <= k["indent"])  # the nearest is the last
+        last = F.coalesce(F.get(after, F.size(after) - 1)["line"], F.size(lines_of(block))) - 1
+        stack = F.concat(F.filter(after, lambda x: x["indent"] < k["indent"]), own(k))
+        return state(stack, F.concat(F.array(whole(k, k["path"], last)), s["out"]))
+
+    start = state(F.array(), F.array())
+    with_path = F.aggregate(keys, start, down, lambda s: s["out"])
+    return F.aggregate(F.reverse(with_path), start, up, lambda s: s["out"])
+
+
+def front_matter_keys(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each key line: id, line, indent, key, path, value, role, last (the line before the next key as shallow), unsafe."""
     block = front_matter(F.col(text_col))
-    lines = items.filter(F.col(text_col).rlike(BLOCK)).select(id_col, block.rlike(UNSAFE).alias("unsafe"), F.posexplode(F.split(F.regexp_replace(block, r"\r?\n\z", ""), r"\r?\n")).alias("line", "content"))
-    keys = lines.withColumn("n", F.count("*").over(Window.partitionBy(id_col))).filter(F.col("content").rlike(KEY_LINE))
-    keys = keys.select(id_col, "line", F.length(F.regexp_extract("content", KEY_LINE, 1)).alias("indent"), F.lower(F.regexp_extract("content", KEY_LINE, 2)).alias("key"), trim_space(F.regexp_extract("content", KEY_LINE, 3)).alias("value"), "unsafe", "n")
-    later = F.collect_list(F.struct("line", "indent")).over(Window.partitionBy(id_col).orderBy("line").rowsBetween(1, Window.unboundedFollowing))
-    stop = F.array_min(F.transform(F.filter(later, lambda x: x["indent"] <= F.col("indent")), lambda x: x["line"]))
-    keys = keys.withColumn("last", F.coalesce(stop, F.col("n")) - 1)
-    return keys.select(id_col, "line", "indent", "key", "value", role_of(F.col("key")).alias("role"), "last", "unsafe")
+    rows = items.filter(F.col(text_col).rlike(BLOCK)).select(id_col, unsafe(block).alias("unsafe"), F.explode(entries(block)).alias("k"))
+    key = F.lower("k.name")
+    return rows.select(id_col, "k.line", "k.indent", key.alias("key"), "k.path", "k.value", role_of(key).alias("role"), "k.last", "unsafe")
+
+
+def _without_entries(block: Column, gone: Column) -> Column:
+    """The block's lines that no entry of `gone` covers."""
+    covered = lambda i: F.exists(gone, lambda k: i.between(k["line"], k["last"]))
+    return F.array_join(F.filter(lines_of(block), lambda x, i: ~covered(i)), "")
+
+
+def _front_cleaned(text: Column, keys: Column) -> tuple[Column, Column]:
+    """Front matter (fences and all) without the entries of removed roles, '' where no key is left; and the body."""
+    block = front_matter(text)
+    gone = F.filter(keys, lambda k: role_of(F.lower(k["name"])).isin(*REMOVED_ROLES))
+    whole = F.concat(F.regexp_extract(text, BLOCK, 1), block, F.regexp_extract(text, BLOCK, 3))
+    left = F.concat(F.regexp_extract(text, BLOCK, 1), _without_entries(block, gone), F.regexp_extract(text, BLOCK, 3))
+    none_left = (F.size(keys) > 0) & (F.size(gone) == F.size(keys))
+    front = F.when(~text.rlike(BLOCK), "").when(unsafe(block) | (F.size(gone) == 0), whole).when(none_left, "").otherwise(left)
+    return front, F.when(text.rlike(BLOCK), F.substring(text, F.length(whole) + 1, F.length(text))).otherwise(text)
 
 
 def clean_front_matter(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and cleaned: without the entries of removed roles; without fences where nothing of them is left.
+    """id and cleaned: without the entries of removed roles; without fences where no key would be left.
 
     Unsafe blocks stay as they are. Lines within a removed entry go with it, whoever else claims them.
+    Line ends and fences stay as they were.
     """
-    removed = front_matter_keys(items, id_col, text_col).filter(F.col("role").isin(*REMOVED_ROLES) & ~F.col("unsafe"))
-    gone = removed.groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("line", "last")))).alias("gone"))
-    joined = items.select(id_col, text_col).join(gone, id_col, "left")
-    lines = F.split(F.regexp_replace(front_matter(F.col(text_col)), r"\r?\n\z", ""), r"\r?\n")
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    body = F.regexp_replace(text_col, BLOCK, "")
-    survivors = F.exists(left, lambda x: x.rlike(KEY_LINE))
-    fenced = F.concat(F.lit("---\n"), F.array_join(left, "\n"), F.lit("\n---\n"), body)
-    return joined.select(id_col, F.when(F.col("gone").isNull(), F.col(text_col)).when(survivors, fenced).otherwise(body).alias("cleaned"))
+    rows = items.select(id_col, text_col, entries(front_matter(F.col(text_col))).alias("keys"))
+    front, body = _front_cleaned(F.col(text_col), F.col("keys"))
+    return rows.select(id_col, F.concat(front, body).alias("cleaned"))
+
+
+def clean_markdown(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, cleaned, removed_keys (paths), comments, json_ld, meta_tags (how many of each go) and hidden (characters that go).
+
+    Front matter as clean_front_matter; of the body, the comments that tell how it was made, JSON-LD
+    scripts and meta tags whose name has a role go, leftmost first; then hidden characters. A null text gives nulls.
+    """
+    rows = items.select(id_col, F.col(text_col).alias("_text"), entries(front_matter(F.col(text_col))).alias("keys"))
+    front, body = _front_cleaned(F.col("_text"), F.col("keys"))
+    gone = F.filter("keys", lambda k: role_of(F.lower(k["name"])).isin(*REMOVED_ROLES))
+    safe = ~unsafe(front_matter(F.col("_text")))
+    rows = rows.select(id_col, front.alias("front"), body.alias("body"), F.when(safe, F.transform(gone, lambda k: k["path"])).otherwise(F.array().cast("array<string>")).alias("removed_keys"))
+    edits = rf"(?is){TOLD_COMMENT}|{JSON_LD}|{TOLD_META}"
+    deleted = F.regexp_extract_all("body", F.lit(edits), F.lit(0))
+    rows = rows.withColumns({"deleted": deleted, "stripped": F.concat("front", F.regexp_replace("body", edits, ""))})
+    of = lambda start: F.size(F.filter("deleted", lambda d: F.lower(d).startswith(start)))
+    cleaned = clean_hidden(F.col("stripped"))
+    kept_spaces = clean_hidden(F.col("stripped"), normalize_spaces=False)
+    return rows.select(id_col, cleaned.alias("cleaned"), "removed_keys", of("<!--").alias("comments"), of("<script").alias("json_ld"), of("<meta").alias("meta_tags"), (F.length("stripped") - F.length(kept_spaces)).alias("hidden"))
 
 
 def comments(html: Column, gated: bool = True) -> Column:
     """The comments' texts; gated: only those that speak of how something was made."""
     found = F.transform(F.regexp_extract_all(html, F.lit(COMMENT), F.lit(1)), trim_space)
-    return F.filter(found, lambda c: c.rlike(COMMENT_GATE)) if gated else found
+    return F.filter(found, lambda c: c.rlike(f"(?i){COMMENT_GATE}")) if gated else found
 
 
 def json_ld(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)), trim_space)
+    return F.transform(F.regexp_extract_all(html, F.lit(f"(?is){JSON_LD}"), F.lit(1)), trim_space)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, in double, single or no quotes; '' where it has none."""
+    pattern = rf"""(?i)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
 
 def meta_tags(html: Column) -> Column:
     """name, content and role of each meta tag whose name has a role."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
-    name = lambda t: F.lower(F.regexp_extract(t, r"""(?i)\bname\s*=\s*["']([^"']+)["']""", 1))
-    each = F.transform(tags, lambda t: F.struct(name(t).alias("name"), F.regexp_extract(t, r"""(?i)\bcontent\s*=\s*["']([^"']*)["']""", 1).alias("content"), role_of(name(t)).alias("role")))
+    name = lambda t: F.lower(attribute(t, "name"))
+    each = F.transform(tags, lambda t: F.struct(name(t).alias("name"), attribute(t, "content").alias("content"), role_of(name(t)).alias("role")))
     return F.filter(each, lambda m: (m["name"] != "") & (m["role"] != "other"))
 
 

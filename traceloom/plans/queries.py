@@ -134,7 +134,7 @@ def png_keys(spark, sf_dir):
 
 # markup
 def fm_keys(spark, sf_dir):
-    return markup.front_matter_keys(markdown_documents(spark, sf_dir), "doc_id", "md").withColumn("last", F.col("last").cast("long"))
+    return markup.front_matter_keys(markdown_documents(spark, sf_dir), "doc_id", "md").drop("path").withColumn("last", F.col("last").cast("long"))
 
 
 def fm_clean(spark, sf_dir):

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.oracles import ORACLES
-from .plans.queries import QUERIES, hidden_scan
+from .plans.oracles import ORACLES as TABLE_ORACLES
+from .plans.oracles_files import ORACLES as FILE_ORACLES
+from .plans.queries import QUERIES as TABLE_QUERIES
+from .plans.queries import hidden_scan
+from .plans.queries_files import QUERIES as FILE_QUERIES
+
+QUERIES, ORACLES = TABLE_QUERIES | FILE_QUERIES, TABLE_ORACLES | FILE_ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
