@@ -19,7 +19,7 @@ from .shared import Workspace, whole_text
 #: Pieces that one population packs; islands of such a cell; its epochs, with migration between them.
 CELL, ISLANDS, EPOCHS = 1024, 2, 2
 #: Individuals of an island, and generations of an epoch. A cell at its lower bound takes none.
-POPULATION, GENERATIONS = 8, 6
+POPULATION, GENERATIONS = 6, 4
 #: Displaced pieces that are tried in the place of placed ones at a time, and rounds of this.
 DISPLACED, ROUNDS = 96, 6
 #: Sequences filled to less than this are opened again and packed with those of other cells.
