@@ -75,13 +75,13 @@ ORACLES: dict[str, str] = {
  o AS (SELECT *, CASE WHEN before_status = 'unable_to_verify' OR after_status = 'unable_to_verify' THEN 'unverifiable' WHEN before_status <> 'detected' THEN 'absent' WHEN after_status = 'not_detected' THEN 'removed' WHEN NOT remove THEN 'kept' WHEN signal_id IN ('iptc', 'c2pa', 'embedded-text') THEN 'kept' ELSE 'remaining' END AS outcome FROM j)
  SELECT item_id, coalesce(string_agg(signal_id, ',' ORDER BY ord) FILTER (outcome = 'removed'), '') AS removed, coalesce(string_agg(signal_id, ',' ORDER BY ord) FILTER (outcome IN ('remaining', 'unverifiable', 'kept')), '') AS remaining, coalesce(string_agg(signal_id, ',' ORDER BY ord) FILTER (outcome = 'remaining'), '') AS stubborn,
  count(*) FILTER (before_status = 'detected') AS before, count(*) FILTER (outcome = 'removed') AS gone FROM o GROUP BY item_id""",
-    "lint_guides": """WITH g AS (SELECT doc_id AS d, doc_id % 17 = 0 AS none, 1 AS title, 2 AS l_title, 3 AS l_desc, 4 AS l_sum FROM documents), p AS (SELECT d, none, 4 + (d % 5 <> 0)::INT AS l_order FROM g),
+    "lint_guides": """WITH g AS (SELECT doc_id AS d, doc_id % 17 = 0 AS none, 1 AS title, 2 AS l_title, 3 AS l_desc, 4 AS l_sum FROM documents), p AS (SELECT d, none, 5 + (d % 5 <> 0)::INT AS l_order FROM g),
  n AS (SELECT *, CASE WHEN d % 7 = 0 OR d % 11 = 0 THEN l_order + 1 END AS l_type, l_order + (d % 7 = 0 OR d % 11 = 0)::INT AS a FROM p), o AS (SELECT *, a + (d % 4 = 0)::INT AS b FROM n), r AS (SELECT *, b + 3 * (d % 6 = 0)::INT AS c FROM o),
  s AS (SELECT *, c + (d % 9 = 0)::INT AS e FROM r), t AS (SELECT *, e + (d % 10 = 0)::INT AS f FROM s), u AS (SELECT *, f + (d % 8 = 0)::INT AS h FROM t), v AS (SELECT *, h + (d % 12 = 0)::INT + 2 AS body FROM u),
  x AS (SELECT d, none, unnest([
  {'w': d % 5 = 0, 'line': 1, 'level': 'ERROR', 'rule': 'missing publishDate', 'detail': NULL}, {'w': d % 7 <> 0 AND d % 11 = 0, 'line': l_type, 'level': 'ERROR', 'rule': 'contentType', 'detail': 'essay'}, {'w': d % 7 = 0, 'line': l_type, 'level': 'ERROR', 'rule': 'lastTested', 'detail': NULL},
  {'w': d % 2 <> 0, 'line': 3, 'level': 'ERROR', 'rule': 'description length', 'detail': '5'}, {'w': d % 2 <> 0 AND d % 3 = 0, 'line': 4, 'level': 'ERROR', 'rule': 'summary is description', 'detail': NULL}, {'w': d % 4 = 0, 'line': b, 'level': 'ERROR', 'rule': 'metaTitle length', 'detail': '66'},
- {'w': true, 'line': body, 'level': 'WARN', 'rule': 'few words', 'detail': CASE WHEN d % 3 = 0 THEN '9' ELSE '9' END}, {'w': false, 'line': body, 'level': 'ERROR', 'rule': 'no internal link', 'detail': NULL}, {'w': d % 6 = 0, 'line': b + 1, 'level': 'WARN', 'rule': 'few questions', 'detail': '1'},
+ {'w': true, 'line': body, 'level': 'WARN', 'rule': 'few words', 'detail': '10'}, {'w': false, 'line': body, 'level': 'ERROR', 'rule': 'no internal link', 'detail': NULL}, {'w': d % 6 = 0, 'line': b + 1, 'level': 'WARN', 'rule': 'few questions', 'detail': '1'},
  {'w': d % 12 <> 0, 'line': 1, 'level': 'WARN', 'rule': 'nothing related', 'detail': NULL}, {'w': d % 9 = 0, 'line': e, 'level': 'ERROR', 'rule': 'unquoted colon', 'detail': 'note'}, {'w': d % 10 = 0, 'line': f, 'level': 'ERROR', 'rule': 'apostrophe', 'detail': 'quote'}, {'w': d % 8 = 0, 'line': h, 'level': 'WARN', 'rule': 'unrecognised line', 'detail': NULL},
  {'w': d % 3 = 0, 'line': body + 1, 'level': 'WARN', 'rule': 'claim', 'detail': '''undetectable'''}, {'w': d % 3 = 0, 'line': body + 1, 'level': 'ERROR', 'rule': 'US spelling', 'detail': 'behavior'}, {'w': d % 2 <> 0, 'line': body, 'level': 'ERROR', 'rule': 'raw slug', 'detail': '[/x]('}]) AS k FROM v)
  SELECT d AS doc_id, k.line::INT AS line, k.level AS level, k.rule AS rule, k.detail AS detail FROM x WHERE k.w AND NOT none UNION ALL SELECT d, 1, 'ERROR', 'no front matter', NULL FROM g WHERE none""",
