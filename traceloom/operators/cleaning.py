@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.workspace import Workspace
+
 from .containers import clean_images, image_segments
 from .detect import MAX_BYTES, detect_format, error_code
 from .markup import clean_markdown
@@ -37,7 +39,9 @@ def clean_files(items: DataFrame, id_col: str = "item_id", content_col: str = "c
 
     Each format is filtered and cleaned as a plan of its own. Null contents are unknown.
     """
-    rows = items.select(F.col(id_col).alias("item_id"), F.col(content_col).alias("content")).withColumn("format", F.coalesce(detect_format(F.col("content")), F.lit("unknown")))
+    rows = items.select(F.col(id_col).alias("item_id"), F.col(content_col).alias("content"))
+    rows = rows.withColumn("format", F.coalesce(detect_format(F.col("content")), F.lit("unknown")))
+    rows = Workspace(items.sparkSession).save(rows)  # read once for each format
     known = [f for formats in CLEANERS for f in formats]
     fits = F.col("format").isin(*known) & (F.octet_length("content") <= MAX_BYTES)
     code = F.coalesce(error_code(F.coalesce(F.octet_length("content"), F.lit(0)), F.col("format"), known), F.lit("unsupported-format"))

@@ -70,7 +70,7 @@ ORACLES: dict[str, str] = {
  bool_or(doc_id % 3 = 0) AS extended, count(*) FILTER (doc_id % 4 = 0)::INT AS texts, count(*) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0) AS carriers FROM documents GROUP BY doc_id // 10""",
     "files_clean": """WITH k AS (SELECT doc_id, ['jpeg', 'png', 'svg', 'markdown', 'gif'][(doc_id % 5 + 1)::INT] AS format, doc_id % 9 AS o FROM documents),
  c AS (SELECT format, CASE WHEN format = 'gif' THEN 'unsupported-format' END AS reason, CASE WHEN o BETWEEN 2 AND 8 AND ((format = 'jpeg' AND doc_id % 2 = 0) OR (format = 'png' AND doc_id % 11 = 0)) THEN o END::BIGINT AS orientation, CASE WHEN format IN ('jpeg', 'png') THEN 0 END::INT AS records, CASE WHEN format IN ('jpeg', 'png') THEN false END AS xmp FROM k)
- SELECT *, count(*) AS files, CASE WHEN format = 'gif' THEN 0 ELSE count(*) END AS cleaned FROM c GROUP BY ALL""",
+ SELECT *, count(*) AS files, count(*) FILTER (format <> 'gif') AS cleaned FROM c GROUP BY ALL""",
     "outcome_lists": f"""WITH {SIGNAL_TABLE}, {facts('b', 0)}, {facts('a', 2)}, j AS (SELECT b.item_id, b.signal_id, b.ord, b.remove, b.status AS before_status, coalesce(a.status, 'unknown') AS after_status FROM b LEFT JOIN a ON a.item_id = b.item_id AND a.signal_id = b.signal_id AND (a.item_id + a.ord) % 13 <> 0),
  o AS (SELECT *, CASE WHEN before_status = 'unable_to_verify' OR after_status = 'unable_to_verify' THEN 'unverifiable' WHEN before_status <> 'detected' THEN 'absent' WHEN after_status = 'not_detected' THEN 'removed' WHEN NOT remove THEN 'kept' WHEN signal_id IN ('iptc', 'c2pa', 'embedded-text') THEN 'kept' ELSE 'remaining' END AS outcome FROM j)
  SELECT item_id, coalesce(string_agg(signal_id, ',' ORDER BY ord) FILTER (outcome = 'removed'), '') AS removed, coalesce(string_agg(signal_id, ',' ORDER BY ord) FILTER (outcome IN ('remaining', 'unverifiable', 'kept')), '') AS remaining, coalesce(string_agg(signal_id, ',' ORDER BY ord) FILTER (outcome = 'remaining'), '') AS stubborn,

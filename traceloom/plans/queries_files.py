@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traceloom.workspace import Workspace
+
 from ..functions.xmp import FIELDS, with_xmp
 from ..operators import audit, guides, markup, scan, svg
 from ..operators.cleaning import clean_files
@@ -95,7 +97,8 @@ def files_clean(spark, sf_dir):
     """Every document as one of five kinds of file by id, each cleaned by its own cleaner."""
     kind = F.pmod(key(), F.lit(5))
     content = F.when(kind == 0, made.jpeg(key())).when(kind == 1, made.png(key())).when(kind == 2, made.svg(key())).when(kind == 3, made.utf8(made.guide(key()))).otherwise(made.raw(b"GIF89a" + bytes(9)))
-    out = clean_files(documents(spark, sf_dir).select(key().alias("item_id"), content.alias("content")))
+    ws = Workspace(spark)
+    out = ws.save(clean_files(ws.save(documents(spark, sf_dir).select(key().alias("item_id"), content.alias("content")))))
     again = image_records(out.filter("format in ('jpeg', 'png')").select("item_id", F.col("cleaned").alias("content")))
     left = again.select("item_id", F.col("exif.orientation").alias("orientation"), F.size("records").alias("records"), F.col("xmp").isNotNull().alias("xmp"))
     return out.join(left, "item_id", "left").groupBy("format", "reason", "orientation", "records", "xmp").agg(F.count("*").alias("files"), F.count("cleaned").alias("cleaned"))
