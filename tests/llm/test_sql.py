@@ -16,8 +16,9 @@ def same(spark, folder, name):
     plain = lambda v: round(v, 9) if isinstance(v, float) else v
     got = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=repr)
     con = duckdb.connect()
-    path = f"{folder}/documents.parquet"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    for table in ("documents", "benchmark"):
+        path = f"{folder}/{table}.parquet"
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     result = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
@@ -34,4 +35,5 @@ def test_small_tables(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_odd_rows(spark, odd, tmp_path, name):
     odd.drop("shard", "size").write.parquet(f"{tmp_path}/documents.parquet")
+    odd.selectExpr("doc_id AS item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
     same(spark, str(tmp_path), name)

@@ -70,3 +70,39 @@ WITH r AS (SELECT doc_id, coalesce('0' || source, '1') AS skey, len(regexp_extra
  taken AS (SELECT doc_id, skey, size, coalesce(more, 0) AS more FROM stream LEFT JOIN more USING (row) UNION ALL SELECT doc_id, skey, size, 0 FROM r WHERE size = 0)
 SELECT doc_id, size, source_size, target, (size * whole + more)::BIGINT AS taken FROM taken JOIN quota USING (skey)
 """
+
+
+TERMS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'), lambda x: x <> '')"
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {TERMS} AS w FROM documents),
+ full_ AS (SELECT *, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+ totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM full_),
+ postings AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM full_) GROUP BY ALL),
+ asked AS (SELECT item, item_id, term, count(*)::BIGINT AS times FROM (SELECT row_number() OVER () AS item, item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+ weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, totals GROUP BY term),
+ norms AS (SELECT row, doc_id, 25 + (75 * n * docs) // length AS m FROM full_, totals),
+ scores AS (SELECT item, item_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN norms USING (row) GROUP BY ALL),
+ ranked AS (SELECT item, item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores JOIN d USING (row) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+RESAMPLING = f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+ d AS (SELECT row_number() OVER () AS row, doc_id, {TERMS} AS w FROM documents),
+ own AS (SELECT row, unnest(w) AS word FROM d),
+ aim AS (SELECT unnest({TERMS}) AS word FROM benchmark),
+ bucket AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::BIGINT)),
+   lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT word FROM own UNION SELECT word FROM aim), t),
+ s AS (SELECT bucket, count(*) AS s FROM own JOIN bucket USING (word) GROUP BY bucket),
+ a AS (SELECT bucket, count(*) AS t FROM aim JOIN bucket USING (word) GROUP BY bucket),
+ totals AS (SELECT (SELECT count(*) FROM own) AS all_s, (SELECT count(*) FROM aim) AS all_t),
+ gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain FROM s LEFT JOIN a USING (bucket), totals),
+ sums AS (SELECT row, sum(gain)::BIGINT AS sum FROM own JOIN bucket USING (word) JOIN gains USING (bucket) GROUP BY row),
+ weighed AS (SELECT row, doc_id, len(w)::BIGINT AS n_features, CASE WHEN sum IS NULL THEN 0 ELSE (sum - ((sum % len(w)) + len(w)) % len(w)) // len(w) END::BIGINT AS weight,
+  ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN sums USING (row)),
+ scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score, n_features >= 20 AS eligible FROM weighed),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id NULLS LAST) AS rank, 10 * count(*) OVER (PARTITION BY eligible) // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND rank <= drawn THEN rank END::BIGINT AS rank FROM ranked
+"""
