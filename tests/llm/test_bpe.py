@@ -90,7 +90,8 @@ def test_little_memory_gives_the_same(library, monkeypatch):
         monkeypatch.setattr(bpe, name, most)
     real = load_codec(public_vocabulary())
     codec = Codec.__new__(Codec)
-    codec.__dict__ = real.__dict__ | {"runs": {}, "transitions": Transitions(real.transitions.gadgets)}
+    codec.__dict__ = real.__dict__ | {"transitions": Transitions(real.transitions.gadgets)}
+    codec.runs = bpe.Runs(codec._words)
     text = "Some of the words, and others: 1234 and so on,  twice. " * 3
     assert ids(codec, text) == library.encode(text, add_special_tokens=False).ids
 

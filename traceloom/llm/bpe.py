@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from .shared import whole_text
 
 #: Transitions, arcs and runs of text that a worker keeps; beyond it they are forgotten and made anew.
-MOST_TRANSITIONS, MOST_ARCS, MOST_RUNS = 400_000, 1_000_000, 400_000
+MOST_TRANSITIONS, MOST_ARCS, MOST_RUNS = 600_000, 1_000_000, 700_000
 #: Longer runs of text are not kept.
 LONGEST_KEPT = 48
 #: How byte-level tokenizers cut a text into words; white space is Unicode's property.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Marks that often end a word.
+ENDS = frozenset(",.;:!?")
 START = -1
 
 
@@ -53,7 +55,7 @@ class Gadgets:
         self.left, self.right, self.made, self.hole = {}, {}, {}, {}
         for time, (u, v) in enumerate(merges, 1):
             self.gadget(time, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def gadget(self, time: int, u: int, v: int, w: int) -> None:
         """(u, v) -> w: arc v goes from the state behind u; w's state is a copy of v's, w's arcs stand where u's do."""
@@ -67,7 +69,8 @@ class Gadgets:
         A gadget does three things, in this order: it copies the state, takes the arc away, copies the arcs.
         Moments are therefore 3 * time, plus 0, 1 or 2. The younger of the two is traced back to what it was copied from.
         """
-        known = self.known.get((x, y))
+        key = x << 32 | y
+        known = self.known.get(key)
         if known is not None:
             return known
         a, b, moment = x, y, 3 * len(self.hole) + 9
@@ -86,7 +89,7 @@ class Gadgets:
                 a, moment = self.right[a], 3 * born
         if len(self.known) >= MOST_ARCS:
             self.known.clear()
-        self.known[x, y] = there
+        self.known[key] = there
         return there
 
 
@@ -105,6 +108,7 @@ class Transitions:
                     self.token.append(START)
             if label:
                 self.token[node] = i
+        self.length = [len(label) for label in gadgets.label]
         self.forget()
 
     def forget(self) -> None:
@@ -116,43 +120,65 @@ class Transitions:
 
     def grow(self, state: int, byte: int) -> int:
         """The transition that the table lacks: every open cut reads the byte; the one that ends a token opens the next."""
+        child, token_at, arc = self.child, self.token, self.gadgets.arc
         still, last = [], START
-        for behind, node in self.states[state]:
-            node = self.child.get(node << 8 | byte)
-            if node is None:
-                continue
-            still.append((behind, node))
-            token = self.token[node]
-            if token != START and (behind == START or self.gadgets.arc(behind, token)):
-                last = token
+        for cut in self.states[state]:
+            node = child.get(cut[1] << 8 | byte)
+            if node is not None:
+                still.append((cut[0], node))
+                if last == START and token_at[node] != START and (cut[0] == START or arc(cut[0], token_at[node])):
+                    last = token_at[node]  # no other cut ends here, as there is one path a string
         if last == START:
             raise ValueError(f"no token ends with the byte {byte}")
-        cuts = (*still, (last, 0))
-        if cuts not in self.number:
-            self.number[cuts] = len(self.states)
+        still.append((last, 0))
+        cuts = tuple(still)
+        number = self.number.setdefault(cuts, len(self.states))
+        if number == len(self.states):
             self.states.append(cuts)
             self.table.append({})
             self.last.append(last)
-        self.table[state][byte] = self.number[cuts]
+        self.table[state][byte] = number
         self.size += 1
-        return self.number[cuts]
+        return number
 
     def encode(self, word: bytes) -> list[int]:
         """The ids of one word, in time that grows with its length alone."""
         if self.size >= MOST_TRANSITIONS:
             self.forget()
-        state, ends = 0, []
+        table, last, state, ends = self.table, self.last, 0, []
         for byte in word:
-            following = self.table[state].get(byte)
-            state = self.grow(state, byte) if following is None else following
-            ends.append(self.last[state])
-        ids, at = [], len(word)
+            try:
+                state = table[state][byte]
+            except KeyError:
+                state = self.grow(state, byte)
+            ends.append(last[state])
+        ids, at, length = [], len(word), self.length
         while at:
             ids.append(ends[at - 1])
-            at -= len(self.gadgets.label[ids[-1]])
+            at -= length[ids[-1]]
         return ids[::-1]
 
 
+class Runs(dict):
+    """The ids, as bytes, of a space and the run of text after it, up to the next space."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, run: str) -> bytes:
+        word, mark = run[:-1], run[-1:]
+        if mark in ENDS and word.isalpha():  # a word and a mark after it are words of their own
+            packed = self[word] + self.encode(mark)
+        else:
+            packed = self.encode(" " + run)
+        if len(run) <= LONGEST_KEPT:
+            if len(self) >= MOST_RUNS:
+                self.clear()
+            self[run] = packed
+        return packed
+
+
 class Codec:
     """Texts to ids and back: special tokens, words, and the automaton on each word."""
 
@@ -165,25 +191,20 @@ class Codec:
         self.words = regex.compile(WORDS)
         self.double = regex.compile(f"[{SPACE}][{SPACE}]")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.runs: dict[str, bytes] = {}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.labels}
+        self.runs = Runs(self._words)
 
-    def _run(self, run: str) -> bytes:
-        ids = [i for word in self.words.findall(run) for i in self.transitions.encode(word.encode())]
-        packed = np.array(ids, "<u4").tobytes()
-        if len(run) <= LONGEST_KEPT:
-            if len(self.runs) >= MOST_RUNS:
-                self.runs.clear()
-            self.runs[run] = packed
-        return packed
+    def _words(self, run: str) -> bytes:
+        words = (run,) if run[1:].isalpha() and run[0] == " " else self.words.findall(run)
+        encode, packed = self.transitions.encode, self.packed
+        return b"".join([packed[i] for word in words for i in encode(word.encode())])
 
     def _plain(self, text: str) -> bytes:
         """A space between two other characters always starts a word, so the runs between such spaces are independent, and are kept."""
         if self.double.search(text):
-            return b"".join(self.runs.get(w) or self._run(w) for w in self.words.findall(text))
+            return self._words(text)
         first, *others = text.split(" ")
-        out = [self._run(first)] if first else []
-        out += [self.runs.get(r) or self._run(r) for r in map(" ".__add__, others)]
-        return b"".join(out)
+        return self._words(first) + b"".join(map(self.runs.__getitem__, others))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
