@@ -60,6 +60,14 @@ def test_gadgets_equal_merging_by_rank(monkeypatch, seed):
         assert automaton.encode(word) == by_rank(word, merges, vocabulary), word
 
 
+def test_a_token_that_never_comes_about_and_one_made_twice():
+    vocabulary = {t: i for i, t in enumerate((b"a", b"b", b"ba", b"ab", b"aba"))}
+    merges = [(b"b", b"a"), (b"a", b"b"), (b"ab", b"a")]
+    assert Transitions(Gadgets(vocabulary, merges)).encode(b"aba") == by_rank(b"aba", merges, vocabulary) == [0, 2]
+    with pytest.raises(ValueError):
+        Gadgets(vocabulary, [(b"a", b"b"), (b"b", b"a"), (b"ab", b"a"), (b"a", b"ba")])
+
+
 def test_texts_equal_the_library(library):
     codec = load_codec(public_vocabulary())
     rnd = random.Random(5)

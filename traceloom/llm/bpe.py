@@ -52,41 +52,52 @@ class Gadgets:
         self.label = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.label[i] = token
-        self.left, self.right, self.made, self.hole = {}, {}, {}, {}
+        self.left, self.right, self.made, self.hole, self.dead = {}, {}, {}, {}, set()
+        self.known: dict[int, bool] = {}
         for time, (u, v) in enumerate(merges, 1):
             self.gadget(time, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.known: dict[int, bool] = {}
+        self.end = 3 * len(merges) + 3
 
     def gadget(self, time: int, u: int, v: int, w: int) -> None:
-        """(u, v) -> w: arc v goes from the state behind u; w's state is a copy of v's, w's arcs stand where u's do."""
-        self.hole.setdefault((u, v), time)
-        if w not in self.made:
-            self.left[w], self.right[w], self.made[w] = u, v, time
+        """(u, v) -> w: arc v goes from the state behind u; w's state is a copy of v's, w's arcs stand where u's do.
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether the state behind x has an arc y when all gadgets are in.
+        Where u has no arc v by now, earlier merges always part them otherwise, and w never comes about.
+        """
+        if (u, v) in self.hole:
+            return
+        if w in self.made or w in self.dead:
+            raise ValueError(f"two merges make the token {self.label[w]!r}")
+        if u in self.dead or v in self.dead or not self.arc_at(u, v, 3 * time):
+            self.dead.add(w)
+            return
+        self.hole[u, v] = time
+        self.left[w], self.right[w], self.made[w] = u, v, time
+
+    def arc_at(self, a: int, b: int, moment: int) -> bool:
+        """Whether the state behind a has an arc b at that moment.
 
         A gadget does three things, in this order: it copies the state, takes the arc away, copies the arcs.
         Moments are therefore 3 * time, plus 0, 1 or 2. The younger of the two is traced back to what it was copied from.
         """
-        key = x << 32 | y
-        known = self.known.get(key)
-        if known is not None:
-            return known
-        a, b, moment = x, y, 3 * len(self.hole) + 9
-        there = True
         while True:
             hole = self.hole.get((a, b))
             if hole is not None and 3 * hole + 1 < moment:
-                there = False
-                break
+                return False
             born, arcs_born = self.made.get(a, 0), self.made.get(b, 0)
             if not born and not arcs_born:
-                break
+                return True
             if arcs_born >= born:
                 b, moment = self.left[b], 3 * arcs_born + 2
             else:
                 a, moment = self.right[a], 3 * born
+
+    def arc(self, x: int, y: int) -> bool:
+        """Whether the state behind x has an arc y when all gadgets are in."""
+        key = x << 32 | y
+        there = self.known.get(key)
+        if there is not None:
+            return there
+        there = self.arc_at(x, y, self.end)
         if len(self.known) >= MOST_ARCS:
             self.known.clear()
         self.known[key] = there
@@ -101,6 +112,8 @@ class Transitions:
         self.child: dict[int, int] = {}
         self.token = [START]
         for i, label in enumerate(gadgets.label):
+            if i in gadgets.dead:
+                continue
             node = 0
             for byte in label:
                 node = self.child.setdefault(node << 8 | byte, len(self.token))
