@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .intervals import join_ranges
+
 # Hidden code points by category and risk. The first row that holds a code point decides.
 HIDDEN = (
     ("zero-width", "high", "200B 200C 200D 2060 FEFF"),
@@ -19,6 +21,35 @@ HIDDEN = (
     ("variation-selector", "medium", "FE00-FE0F E0100-E01EF"),
     ("tag-character", "high", "E0000-E007F"),
 )
+# What hidden code points are called.
+NAMES = (
+    ("Soft hyphen", "00AD"),
+    ("Arabic letter mark", "061C"),
+    ("Mongolian vowel separator", "180E"),
+    ("Zero-width space", "200B"),
+    ("Zero-width non-joiner", "200C"),
+    ("Zero-width joiner", "200D"),
+    ("Left-to-right mark", "200E"),
+    ("Right-to-left mark", "200F"),
+    ("Line separator", "2028"),
+    ("Paragraph separator", "2029"),
+    ("Word joiner", "2060"),
+    ("Function application", "2061"),
+    ("Invisible times", "2062"),
+    ("Invisible separator", "2063"),
+    ("Invisible plus", "2064"),
+    ("Braille pattern blank", "2800"),
+    ("Hangul filler", "3164"),
+    ("Zero-width no-break space (BOM)", "FEFF"),
+    ("Halfwidth Hangul filler", "FFA0"),
+    ("Unusual space character", "00A0 2000-200A 202F 205F 3000"),
+    ("Control character", "0000-0008 000B-000C 000E-001F 007F-009F"),
+    ("Bidirectional override", "202A-202E"),
+    ("Bidirectional isolate", "2066-2069"),
+    ("Variation selector", "FE00-FE0F"),
+    ("Tag character", "E0000-E007F"),
+    ("Variation selector (supplement)", "E0100-E01EF"),
+)
 # Extended_Pictographic of Unicode 16, and the regional indicators.
 PICTOGRAPHIC = """
 A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 2388 23CF 23E9-23F3 23F8-23FA 24C2
@@ -46,16 +77,28 @@ def _of(category: str) -> str:
     return char_class(" ".join(s for c, _, s in HIDDEN if c == category))
 
 
-ANY = f"[{char_class(' '.join(s for _, _, s in HIDDEN))}]"
-SPACES = f"[{_of('unusual-space')}]"
+#: What most texts are made of. Java asks it first, so that a plain character costs two comparisons, not one a range.
+_PLAIN = r"\t\n\r -~"
+
+
+def rare(inside: str) -> str:
+    """A class of characters beyond plain ASCII."""
+    return f"[[^{_PLAIN}]&&[{inside}]]"
+
+
+_HIDDEN = char_class(" ".join(s for _, _, s in HIDDEN))
+ANY, NONE = rare(_HIDDEN), f"[{_PLAIN}[^{_HIDDEN}]]"
+SPACES = rare(_of("unusual-space"))
 _P = f"[{char_class(PICTOGRAPHIC)}]"
-_SELECTORS, _IDEOGRAPHIC = r"[\x{FE0E}\x{FE0F}]", r"[\x{E0100}-\x{E01EF}]"
-#: A joiner between pictographs, a selector after one, an ideographic selector after a Han character. The rare
-#: character comes first, so that only it is looked around. {1,2} lets Java look back over characters beyond the basic plane.
-_JOINS, _SELECTS, _VARIES = rf"(?<={_P}{{1,2}}\x{{200D}})(?={_P})", rf"{_P}{{1,2}}{_SELECTORS}", rf"\p{{IsHan}}{{1,2}}{_IDEOGRAPHIC}"
-LEGITIMATE = rf"(?:\x{{200D}}{_JOINS}|{_SELECTORS}(?<={_SELECTS})|{_IDEOGRAPHIC}(?<={_VARIES}))"
-_OTHERS = char_class(" ".join(s for c, _, s in HIDDEN if c != "unusual-space"))
-_REMOVABLE = rf"(?:[{_OTHERS}&&[^\x{{200D}}\x{{FE0E}}\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}]]|\x{{200D}}(?!{_JOINS})|{_SELECTORS}(?<!{_SELECTS})|{_IDEOGRAPHIC}(?<!{_VARIES}))"
+_SELECTORS, _IDEOGRAPHIC = r"\x{FE0E}\x{FE0F}", r"\x{E0100}-\x{E01EF}"
+#: A joiner between pictographs, a selector after one, an ideographic selector after a Han character, as what stands
+#: around the place after the character. {1,2} lets Java look back over characters beyond the basic plane.
+_JOINS, _SELECTS, _VARIES = rf"(?<={_P}{{1,2}}\x{{200D}})(?={_P})", rf"(?<={_P}{{1,2}}[{_SELECTORS}])", rf"(?<=\p{{IsHan}}{{1,2}}[{_IDEOGRAPHIC}])"
+LEGITIMATE = rf"{rare(rf'\x{{200D}}{_SELECTORS}{_IDEOGRAPHIC}')}(?:{_JOINS}|{_SELECTS}|{_VARIES})"
+_OTHERS = rare(char_class(" ".join(s for c, _, s in HIDDEN if c != "unusual-space")))
+REMOVABLE = rf"{_OTHERS}(?!{_JOINS}|{_SELECTS}|{_VARIES})"
+#: Those and the unusual spaces, which become blanks.
+CHANGED = rf"{ANY}(?!{_JOINS}|{_SELECTS}|{_VARIES})"
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -64,7 +107,7 @@ def count(text: Column, pattern: str) -> Column:
 
 def hidden_counts(text: Column) -> dict[str, Column]:
     """total, legitimate, removable, and a count for each category, of what is left when all that shows is taken out."""
-    marks, legitimate = F.regexp_replace(text, f"[^{ANY[1:]}+", ""), count(text, LEGITIMATE)
+    marks, legitimate = F.regexp_replace(text, f"{NONE}+", ""), count(text, LEGITIMATE)
     by = {"n_" + c.replace("-", "_"): count(marks, f"[{_of(c)}]") for c in CATEGORIES}
     return {"total": F.length(marks), "legitimate": legitimate, "removable": F.length(marks) - legitimate, **by}
 
@@ -72,22 +115,25 @@ def hidden_counts(text: Column) -> dict[str, Column]:
 def clean_hidden(text: Column, normalize_spaces: bool = True, aggressive: bool = False) -> Column:
     """Unusual spaces become one blank each (or stay); other hidden characters go, legitimate ones only if aggressive."""
     clean = F.regexp_replace(text, SPACES, " ") if normalize_spaces else text
-    return F.when(text.rlike(ANY), F.regexp_replace(clean, f"[{_OTHERS}]" if aggressive else _REMOVABLE, "")).otherwise(text)
+    return F.when(text.rlike(ANY if aggressive else CHANGED), F.regexp_replace(clean, _OTHERS if aggressive else REMOVABLE, "")).otherwise(text)
 
 
-def classify(cp: Column, field: int) -> Column:
-    """The category (0) or risk (1) of a code point, or null."""
-    out = F.lit(None).cast("string")
-    for row in reversed(HIDDEN):
-        held = F.lit(False)
-        for a, b in ranges(row[2]):
-            held = held | ((cp == a) if a == b else cp.between(a, b))
-        out = F.when(held, row[field]).otherwise(out)
-    return out
+def named_ranges(spark: SparkSession) -> DataFrame:
+    """start, stop, name, category, risk: NAMES as a table, each range with the category and risk of the row of HIDDEN that holds it."""
+    held = [(a, b, category, risk) for category, risk, spec in HIDDEN for a, b in ranges(spec)]
+    rows = []
+    for name, spec in NAMES:
+        for a, b in ranges(spec):
+            _, _, category, risk = next(h for h in held if h[0] <= a and b <= h[1])
+            rows.append((a, b, name, category, risk))
+    return spark.createDataFrame(rows, "start int, stop int, name string, category string, risk string")
 
 
 def findings(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each hidden character: id, idx (code points from 0), cp, code, category, risk, legitimate."""
+    """A row for each hidden character: id, idx (code points from 0), cp, code, name, category, risk, legitimate.
+
+    What a code point is comes from the table of named ranges by join_ranges.
+    """
     some = items.filter(F.col(text_col).rlike(ANY))
     pictograph = lambda c: F.coalesce(c.rlike(f"^{_P}$"), F.lit(False))
     shows = lambda c: F.ascii(c).between(0x20, 0x7E)
@@ -101,9 +147,10 @@ def findings(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     selector = F.col("cp").isin(0xFE0E, 0xFE0F) & pictograph(F.col("before"))
     ideographic = F.col("cp").between(0xE0100, 0xE01EF) & F.coalesce(F.col("before").rlike(r"^\p{IsHan}$"), F.lit(False))
     code = F.concat(F.lit("U+"), F.lpad(F.hex(F.col("cp").cast("long")), F.greatest(F.lit(4), F.length(F.hex(F.col("cp").cast("long")))), F.lit("0")))
-    return hidden.select(id_col, "idx", "cp", code.alias("code"), classify(F.col("cp"), 0).alias("category"), classify(F.col("cp"), 1).alias("risk"), (joiner | selector | ideographic).alias("legitimate"))
+    named = join_ranges(hidden, named_ranges(items.sparkSession), "cp")
+    return named.select(id_col, "idx", "cp", code.alias("code"), "name", "category", "risk", (joiner | selector | ideographic).alias("legitimate"))
 
 
 def runs(text: Column, most: int = 4000) -> Column:
     """The first `most` characters as alternating runs of hidden and plain text."""
-    return F.regexp_extract_all(F.substring(text, 1, most), F.lit(f"(?s){ANY}+|[^{ANY[1:]}+"), F.lit(0))
+    return F.regexp_extract_all(F.substring(text, 1, most), F.lit(f"{ANY}+|{NONE}+"), F.lit(0))

@@ -105,3 +105,32 @@ def ruled_guide(i: Column) -> Column:
         F.lit("---\n"), pick(2, "See [there](/x).\n", "See [/x](/x).\n"), pick(3, "This behavior is undetectable.\n", "No tool is undetectable.\n"), F.lit("At https://color.example/color and ![c](color.png).\n"),
     ]
     return F.when(F.pmod(i, F.lit(17)) == 0, F.lit("no fence\n")).otherwise(F.concat(*lines))
+
+
+def revised(i: Column) -> Column:
+    """A file of the text and 1 to 4 revisions, each with two objects, a section and a pointer; a loop for every 5th, a wrong pointer for every 7th."""
+    line = lambda *parts: utf8(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+    place = lambda n: F.lpad(n.cast("string"), 10, "0")
+
+    def revision(state, r):
+        at, n = F.octet_length(state["b"]), r.cast("string")
+        body = line("1 0 obj\n(r", n, ")\nendobj\n", (r + 1), " 0 obj\n(r", n, ")\nendobj\n")
+        listed = line("xref\n0 2\n0000000000 65535 f \n", place(at), " 00000 n \n", (r + 1), " 1\n", place(at + 20), " 00000 n \n")
+        back = F.when(r > 1, F.concat(F.lit(" /Prev "), state["x"].cast("string"))).when(F.pmod(i, F.lit(5)) == 0, F.concat(F.lit(" /Prev "), (at + 40).cast("string"))).when(F.pmod(i, F.lit(7)) == 0, F.lit(" /Prev 3")).otherwise("")
+        end = line("trailer\n<< /Size 9 /Root 1 0 R", back, " >>\nstartxref\n", (at + 40), "\n%%EOF\n")
+        return F.struct(F.concat(state["b"], body, listed, end).alias("b"), (at + 40).alias("x"))
+
+    start = F.struct(line("%PDF-1.4\n", F.coalesce("text", F.lit("")), "\n").alias("b"), F.lit(0).alias("x"))
+    return F.aggregate(F.sequence(F.lit(1), (F.pmod(i, F.lit(4)) + 1).cast("int")), start, revision)["b"]
+
+
+def boxed(i: Column) -> Column:
+    """The text, then a box of boxes: well formed, with a child too long, with too little left for a header, or with a child too short, by id."""
+    box = lambda kind, data, size=None: (size or len(data) + 8).to_bytes(4, "big") + kind + data
+    told = box(b"jumd", b"c2pa-box")
+    whole = box(b"jumb", told + box(b"jumb", told) + box(b"cbor", b"data"))
+    kinds = [whole, box(b"jumb", told + box(b"cbor", b"too-long", 99)), box(b"jumb", told + b"\0" * 6), box(b"jumb", told + box(b"json", b"too-shor", 5))]
+    tail = F.lit(None).cast("binary")
+    for m, data in enumerate(kinds):
+        tail = F.when(F.pmod(i, F.lit(4)) == m, raw(data)).otherwise(tail)
+    return F.concat(utf8(F.coalesce("text", F.lit(""))), tail, raw(b"after"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.hidden import CATEGORIES, HIDDEN, PICTOGRAPHIC, ranges
+from ..functions.hidden import CATEGORIES, HIDDEN, NAMES, PICTOGRAPHIC, ranges
 from ..operators.lint import REQUIRED, US_SPELLINGS
 from . import dims
 from .queries_data import GENERATOR_CYCLE, MARKER_SQL
@@ -20,6 +20,10 @@ def category(cp: str, field: int) -> str:
     return "CASE " + " ".join(f"WHEN {held(cp, r[2])} THEN {q(r[field])}" for r in HIDDEN) + " END"
 
 
+def named(cp: str) -> str:
+    return "CASE " + " ".join(f"WHEN {held(cp, spec)} THEN {q(name)}" for name, spec in NAMES) + " END"
+
+
 def listed(key: str, values: list[str]) -> str:
     return f"[{', '.join(values)}][CAST({key} % {len(values)} AS INT) + 1]"
 
@@ -91,7 +95,7 @@ ORACLES: dict[str, str] = {
     + " FROM seen GROUP BY lang, doc_id) SELECT lang, count(*) AS docs, count(*) FILTER (removable > 0) AS flagged, sum(total)::BIGINT AS total, sum(legitimate)::BIGINT AS legitimate, sum(removable)::BIGINT AS removable, "
     + ", ".join(f"sum(n_{c.replace('-', '_')})::BIGINT AS n_{c.replace('-', '_')}" for c in CATEGORIES)
     + " FROM per GROUP BY lang",
-    "hidden_findings": f"WITH {CHARS} SELECT doc_id, idx::INT AS idx, cp::INT AS cp, 'U+' || CASE WHEN length(upper(to_hex(cp))) < 4 THEN lpad(upper(to_hex(cp)), 4, '0') ELSE upper(to_hex(cp)) END AS code, category, risk, legitimate FROM seen WHERE category IS NOT NULL",
+    "hidden_findings": f"WITH {CHARS} SELECT doc_id, idx::INT AS idx, cp::INT AS cp, 'U+' || CASE WHEN length(upper(to_hex(cp))) < 4 THEN lpad(upper(to_hex(cp)), 4, '0') ELSE upper(to_hex(cp)) END AS code, {named('cp')} AS name, category, risk, legitimate FROM seen WHERE category IS NOT NULL",
     "hidden_clean": f"WITH {CHARS} SELECT doc_id, md5(string_agg(CASE WHEN category = 'unusual-space' THEN ' ' WHEN category IS NULL OR legitimate THEN ch ELSE '' END, '' ORDER BY idx)) AS cleaned, md5(string_agg(CASE WHEN category = 'unusual-space' THEN ' ' WHEN category IS NULL THEN ch ELSE '' END, '' ORDER BY idx)) AS aggressive, md5(string_agg(CASE WHEN category = 'unusual-space' OR category IS NULL OR legitimate THEN ch ELSE '' END, '' ORDER BY idx)) AS spaces_kept FROM seen GROUP BY doc_id",
     "hidden_runs": f"WITH {CHARS}, edge AS (SELECT doc_id, idx, category IS NOT NULL AS hidden, CASE WHEN (category IS NOT NULL) = lag(category IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM seen WHERE idx < 4000), runs AS (SELECT doc_id, hidden, sum(new) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM edge) SELECT doc_id, (run - 1)::INT AS pos, count(*)::INT AS len, hidden FROM runs GROUP BY doc_id, run, hidden",
     "text_clean_verify": f"WITH {CHARS}, per AS (SELECT doc_id, count(*) FILTER (category IS NOT NULL AND NOT legitimate) AS removable FROM seen GROUP BY doc_id) SELECT 'hidden-unicode' AS signal_id, CASE WHEN removable > 0 THEN 'detected' ELSE 'not_detected' END AS before_status, 'not_detected' AS after_status, CASE WHEN removable > 0 THEN 'removed' ELSE 'absent' END AS outcome, count(*) AS n FROM per GROUP BY ALL UNION ALL SELECT 'claude-watermark', 'unable_to_verify', 'unable_to_verify', 'unverifiable', count(*) FROM per",
