@@ -1,11 +1,15 @@
-"""SVG as rows of pieces: tags, comments and text in order, classified, cleaned and joined again."""
+"""SVG as pieces: tags, comments and text in order, classified, cleaned and joined again, a file in its row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .containers import clean_images, image_segments
+from traceloom.workspace import Workspace
+
+from .containers import clean_images, image_segments, once
 
 # Prefixes of editors' names, elements that go with all they hold, and what generators' comments say.
 EDITORS = ("inkscape", "sodipodi", "illustrator", "graph", "i", "figma", "sketch", "xd", "affinity", "vectornator", "krita", "serif")
@@ -48,70 +52,112 @@ def attribute_kind(raw: Column) -> Column:
     )
 
 
-def svg_pieces(items: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """item_id, seq, piece, kind (comment, tag, close, other), element (of ELEMENTS, else null), inside (an element that goes), attrs (raw, kind).
+#: What nesting tells: of each piece whether it goes, and of each element where it starts and stops (numbers of pieces).
+_REGION = T.StructType([T.StructField("element", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+NESTED = T.StructType([T.StructField("inside", T.ArrayType(T.BooleanType())), T.StructField("regions", T.ArrayType(_REGION))])
+
 
-    The depth of each element's nesting is a running sum that never falls below zero; an element that
-    never closes lasts to the end. Files that are not read have no rows.
+def nesting(marks: list[str], most: int) -> dict:
+    """marks: '+name' opens, '-name' closes, '=name' does both, '' does nothing; a name is qualified, its last part is the element.
+
+    A name closes the last one open of the same qualified name; one that never closes lasts to the end.
+    """
+    stacks, regions, open_, inside = {}, [], 0, []
+    for i, mark in enumerate(marks):
+        kind, name = mark[:1], mark[1:]
+        stack = stacks.setdefault(name, []) if kind else []
+        closes = kind == "-" and stack
+        inside.append(bool(open_ or kind == "=" or kind == "+"))
+        if kind in ("+", "="):
+            regions.append([name.rsplit(":", 1)[-1], i, i + 1 if kind == "=" else most])
+        if kind == "+":
+            stack.append(regions[-1])
+            open_ += 1
+        elif closes:
+            stack.pop()[2] = i + 1
+            open_ -= 1
+    return {"inside": inside, "regions": [dict(zip(("element", "start", "stop"), r)) for r in regions]}
+
+
+@F.pandas_udf(NESTED)
+def _nesting(marks: pd.Series) -> pd.DataFrame:
+    rows = [{"inside": None, "regions": None} if m is None else nesting(list(m), len(m)) for m in marks]
+    return pd.DataFrame(rows, columns=["inside", "regions"])
+
+
+def svg_rows(items: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """item_id, reason (why it is not read, else null), pieces (piece, kind, element, inside, attrs), regions: a row stays a row, whatever its id.
+
+    kind is comment, tag, close or other; element is one of ELEMENTS that a tag opens, else null; inside: in an element
+    that goes. Pieces of files that are not read are null.
     """
     text, reason = decode_svg(F.col(content_col))
-    pieces = items.filter(reason.isNull()).select(F.col(id_col).alias("item_id"), F.posexplode(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).alias("seq", "piece"))
-    piece = F.col("piece")
-    kind = F.when(piece.startswith("<!--"), "comment").when(piece.rlike(r"\A</[A-Za-z_:]"), "close").when(piece.rlike(r"\A<[A-Za-z_:]") & piece.endswith(">"), "tag").otherwise("other")
-    local = F.lower(F.regexp_extract(piece, r"\A</?(?:[\w.\-]*:)?([\w.\-]+)", 1))
-    rows = pieces.withColumn("kind", kind).withColumn("element", F.when(F.col("kind").isin("tag", "close") & local.isin(*ELEMENTS), local))
-    rows = rows.withColumn("alone", (F.col("kind") == "tag") & piece.endswith("/>"))
-    line = Window.partitionBy("item_id").orderBy("seq")
-    step = lambda e: F.when(F.col("element") == e, F.when(F.col("kind") == "close", -1).when(F.col("alone"), 0).otherwise(1)).otherwise(0)
-    rows = rows.withColumns({f"_s_{e}": F.sum(step(e)).over(line) for e in ELEMENTS})
-    rows = rows.withColumns({f"_d_{e}": F.col(f"_s_{e}") - F.least(F.min(f"_s_{e}").over(line), F.lit(0)) for e in ELEMENTS})
-    deep = [(F.col(f"_d_{e}") > 0) | (F.coalesce(F.lag(f"_d_{e}").over(line), F.lit(0)) > 0) for e in ELEMENTS]
-    inside = F.coalesce(F.col("element").isNotNull() & F.col("alone"), F.lit(False))
-    for d in deep:
-        inside = inside | d
-    attrs = F.when(F.col("kind") == "tag", F.transform(attributes(piece), lambda a: F.struct(a.alias("raw"), attribute_kind(a).alias("kind"))))
-    return rows.withColumn("inside", inside).select("item_id", "seq", "piece", "kind", F.when(F.col("kind") == "tag", F.col("element")).alias("element"), "inside", attrs.alias("attrs"))
-
-
-def svg_facts(pieces: DataFrame) -> DataFrame:
-    """A row for each item: how many of each element, comments, generator comments, and attributes of each kind; shown: text of comments and elements."""
-    comment = F.col("kind") == "comment"
-    attrs = lambda k: F.sum(F.coalesce(F.size(F.filter("attrs", lambda a: a["kind"] == k)), F.lit(0))).alias(k.replace("-", "_"))
-    told = F.when(comment, F.regexp_replace("piece", r"\A<!--|-->\z", "")).when(F.col("inside") & (F.col("kind") == "other"), F.col("piece"))
-    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(told.isNotNull(), F.struct("seq", told.alias("t"))))), lambda x: x["t"]), "\n")
-    return pieces.groupBy("item_id").agg(
-        *[F.count_if(F.col("element") == e).alias(e) for e in ELEMENTS],
-        F.count_if(comment).alias("comments"),
-        F.count_if(comment & F.col("piece").rlike(GENERATOR_COMMENT)).alias("generator_comments"),
-        *[attrs(k) for k in ("editor-namespace", "editor", "event", "remote", "image")],
-        shown.alias("shown"),
-    )
-
-
-def _clean_embedded(pieces: DataFrame) -> DataFrame:
-    """item_id, seq, swaps (old, new): base64 payloads of raster images in kept tags that could be cleaned."""
-    images = pieces.filter("not inside and attrs is not null").select("item_id", "seq", F.explode(F.filter("attrs", lambda a: a["kind"] == "image")).alias("a"))
-    old = F.regexp_extract("a.raw", r"""(?s),(.*?)["']?\z""", 1)
-    found = images.select(F.struct("item_id", "seq", old.alias("old")).alias("at"), F.try_to_binary(F.regexp_replace(old, r"\s", ""), F.lit("base64")).alias("content"))
-    cleaned = clean_images(image_segments(found, "at", "content")).filter("cleaned is not null")
-    return cleaned.groupBy("item_id.item_id", "item_id.seq").agg(F.collect_set(F.struct(F.col("item_id.old").alias("old"), F.base64("cleaned").alias("new"))).alias("swaps"))
+    reason = F.when(F.col(content_col).isNull(), "no content").otherwise(reason)
+    rows = items.select(F.col(id_col).alias("item_id"), reason.alias("reason"), F.when(reason.isNull(), F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).alias("raw"))
+    name = lambda p: F.lower(F.regexp_extract(p, r"\A</?([\w.:\-]+)", 1))
+    tag = lambda p: F.when(p.startswith("<!--"), "comment").when(p.rlike(r"\A</[A-Za-z_:]"), "close").when(p.rlike(r"\A<[A-Za-z_:]") & p.endswith(">"), "tag").otherwise("other")
+    rows = rows.withColumn("read", F.transform("raw", lambda p: F.struct(p.alias("piece"), tag(p).alias("kind"), name(p).alias("name"))))
+    local = lambda r: F.regexp_extract(r["name"], r"([^:]*)\z", 1)
+    known = lambda r: r["kind"].isin("tag", "close") & local(r).isin(*ELEMENTS)
+    mark = lambda r: F.when(known(r), F.concat(F.when(r["kind"] == "close", "-").when(r["piece"].endswith("/>"), "=").otherwise("+"), r["name"])).otherwise("")
+    rows = rows.withColumn("nested", once(_nesting)(F.transform("read", mark)))
+    attrs = lambda r: F.when(r["kind"] == "tag", F.transform(attributes(r["piece"]), lambda a: F.struct(a.alias("raw"), attribute_kind(a).alias("kind"))))
+    whole = lambda r, inside: F.struct(r["piece"].alias("piece"), r["kind"].alias("kind"), F.when(known(r) & (r["kind"] == "tag"), local(r)).alias("element"), inside.alias("inside"), attrs(r).alias("attrs"))
+    return rows.select("item_id", "reason", F.zip_with("read", "nested.inside", whole).alias("pieces"), F.col("nested.regions").alias("regions"))
+
+
+def _count(test) -> Column:
+    return F.size(F.filter("pieces", test))
+
+
+def _attrs(*kinds: str) -> Column:
+    return F.flatten(F.transform(F.filter("pieces", lambda p: p["attrs"].isNotNull()), lambda p: F.filter(p["attrs"], lambda a: a["kind"].isin(*kinds))))
+
+
+def _shown() -> Column:
+    """Texts of comments and of elements that go, by lines."""
+    told = lambda p: F.when(p["kind"] == "comment", F.regexp_replace(p["piece"], r"\A<!--|-->\z", "")).when(p["inside"] & (p["kind"] == "other"), p["piece"])
+    return F.array_join(F.array_compact(F.transform("pieces", told)), "\n")
+
+
+def svg_facts(rows: DataFrame) -> DataFrame:
+    """A row for each file of svg_rows that is read: how many of each element, comments, generator comments, and attributes of each kind; shown: text of comments and elements."""
+    comment = lambda p: p["kind"] == "comment"
+    element = lambda e: _count(lambda p: F.coalesce(p["element"] == e, F.lit(False)))
+    counts = {e: element(e) for e in ELEMENTS} | {"comments": _count(comment), "generator_comments": _count(lambda p: comment(p) & p["piece"].rlike(GENERATOR_COMMENT))}
+    counts |= {k.replace("-", "_"): F.size(_attrs(k)) for k in ("editor-namespace", "editor", "event", "remote", "image")}
+    return rows.filter("reason is null").select("item_id", *[c.cast("long").alias(n) for n, c in counts.items()], _shown().alias("shown"))
+
+
+def embedded_images(rows: DataFrame, kept_only: bool = False) -> DataFrame:
+    """item_id, place, old (base64 as it stands), content: raster images within svg_rows' files, in order; content is null if it is no base64."""
+    pieces = F.filter("pieces", lambda p: p["attrs"].isNotNull() & ~p["inside"]) if kept_only else F.filter("pieces", lambda p: p["attrs"].isNotNull())
+    raws = F.flatten(F.transform(pieces, lambda p: F.transform(F.filter(p["attrs"], lambda a: a["kind"] == "image"), lambda a: a["raw"])))
+    each = rows.select("item_id", F.posexplode(raws).alias("place", "raw")).withColumn("old", F.regexp_extract("raw", r"""(?s),(.*?)["']?\z""", 1))
+    return each.select("item_id", "place", "old", F.try_to_binary(F.regexp_replace("old", r"\s", ""), F.lit("base64")).alias("content"))
 
 
 def clean_svg(items: DataFrame, id_col: str = "item_id", content_col: str = "content") -> DataFrame:
     """item_id, reason (why not, else null), cleaned (text): without comments, ELEMENTS and all in them, and attributes of editors, events and remote addresses.
 
-    Embedded raster images are cleaned and put back; those that can't be stay. Everything else stays as it was.
+    Embedded raster images are cleaned and put back; those that can't be stay. Everything else stays as it was. A row
+    for each row: rows are told apart by a stored number, so repeated and null ids are files of their own.
     """
-    pieces = svg_pieces(items, id_col, content_col)
+    ws = Workspace(items.sparkSession)
+    files = ws.save(items.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(content_col).alias("content")))
+    rows = svg_rows(files, "row", "content")
     gone = ("editor-namespace", "editor", "event", "remote")
-    dropped = F.transform(F.filter("attrs", lambda a: a["kind"].isin(*gone)), lambda a: a["raw"])
-    parts = F.regexp_extract_all("piece", F.lit(rf"(?s){ATTRIBUTE}|\S+|\s+"), F.lit(0))
-    tag = F.when(F.size(dropped) > 0, F.array_join(F.filter(parts, lambda x: ~F.array_contains(dropped, x)), "")).otherwise(F.col("piece"))
-    kept = pieces.filter("not inside and kind <> 'comment'").withColumn("new", F.when(F.col("kind") == "tag", tag).otherwise(F.col("piece")))
-    kept = kept.join(_clean_embedded(pieces), ["item_id", "seq"], "left").withColumn("new", F.coalesce(F.aggregate("swaps", F.col("new"), lambda t, s: F.replace(t, s["old"], s["new"])), "new"))
-    joined = kept.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "new"))), lambda x: x["new"]), "").alias("cleaned"))
-    reasons = items.select(F.col(id_col).alias("item_id"), decode_svg(F.col(content_col))[1].alias("reason"))
-    return reasons.join(joined, "item_id", "left").select("item_id", "reason", F.when(F.col("reason").isNull(), F.coalesce("cleaned", F.lit(""))).alias("cleaned"))
+    parts = lambda piece: F.regexp_extract_all(piece, F.lit(rf"(?s){ATTRIBUTE}|\S+|\s+"), F.lit(0))
+    dropped = lambda p: F.transform(F.filter(p["attrs"], lambda a: a["kind"].isin(*gone)), lambda a: a["raw"])
+    new = lambda p: F.when((p["kind"] == "tag") & (F.size(dropped(p)) > 0), F.array_join(F.filter(parts(p["piece"]), lambda x: ~F.array_contains(dropped(p), x)), "")).otherwise(p["piece"])
+    kept = F.filter("pieces", lambda p: ~p["inside"] & (p["kind"] != "comment"))
+    images = embedded_images(rows, kept_only=True)
+    cleaned = ws.save(rows.select(F.col("item_id").alias("row"), "reason", F.array_join(F.transform(kept, new), "").alias("cleaned")))
+    done = clean_images(image_segments(images.select(F.struct("item_id", "old").alias("at"), "content"), "at", "content")).filter("cleaned is not null")
+    swaps = done.groupBy(F.col("item_id.item_id").alias("row")).agg(F.collect_set(F.struct(F.col("item_id.old").alias("old"), F.base64("cleaned").alias("new"))).alias("swaps"))
+    swapped = F.coalesce(F.aggregate("swaps", F.col("cleaned"), lambda t, s: F.replace(t, s["old"], s["new"])), "cleaned")
+    out = cleaned.join(swaps, "row", "left").select("row", "reason", F.when(F.col("reason").isNull(), swapped).alias("cleaned"))
+    return out.join(files.select("row", F.col("id").alias("item_id")), "row").select("item_id", "reason", "cleaned")
 
 
 def numeric_attribute(value: Column) -> Column:

@@ -134,3 +134,35 @@ def boxed(i: Column) -> Column:
     for m, data in enumerate(kinds):
         tail = F.when(F.pmod(i, F.lit(4)) == m, raw(data)).otherwise(tail)
     return F.concat(utf8(F.coalesce("text", F.lit(""))), tail, raw(b"after"))
+
+
+def carrier(i: Column) -> Column:
+    """An SVG with a title, a script, an editor's attribute and a JPEG by id."""
+    image = F.concat(F.lit('<image href="data:image/jpeg;base64,'), F.base64(jpeg(i)), F.lit('"/>'))
+    parts = [F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="10"'), when(i, 7, ' inkscape:version="1"'), F.lit(">"), when(i, 2, "<title>T <b>x</b></title>"), when(i, 3, image), when(i, 5, "<script>go()</script>"), F.lit("<text>"), prose(), F.lit("</text></svg>")]
+    return utf8(F.concat(*parts))
+
+
+def signed_guide(i: Column) -> Column:
+    """Markdown that tells its author, time, tool and model, in front matter and in its body, by id."""
+    front = F.concat(F.lit("---\ntitle: Doc\n"), when(i, 2, "author: A B\n"), when(i, 3, "date: 2026-01-02\n"), when(i, 5, "generator: ChatGPT 5\n"), when(i, 7, "prompt: p\nmodel: m\n"), F.lit("---\n"))
+    body = [when(i, 11, "<!-- generated by a tool -->"), when(i, 13, '<meta name="generator" content="Midjourney">'), when(i, 17, '<script type="application/ld+json">{"by": "Firefly"}</script>'), prose(), when(i, 9, "a​b")]
+    return F.concat(front, F.lit("# Head\n"), *body)
+
+
+def webp(i: Column) -> Column:
+    """An extended WebP with EXIF of the other byte order, and XMP by id; the text as image data."""
+    odd = lambda data: F.when(F.octet_length(data) % 2 == 1, raw(b"\0")).otherwise(raw(b""))
+    part = lambda kind, data: F.concat(raw(kind), little(F.octet_length(data), 4), data, odd(data))
+    entry = lambda tag, kind, count, value: raw(tag.to_bytes(2, "big") + kind.to_bytes(2, "big") + count.to_bytes(4, "big") + value)
+    big_endian = F.concat(raw(b"MM\0*\0\0\0\x08\0\x02"), entry(0x010F, 2, 4, b"cam\0"), entry(0x0112, 3, 1, b"\0\x06\0\0"), raw(b"\0\0\0\0"))
+    some = lambda n, c: F.when(F.pmod(i, F.lit(n)) == 0, c).otherwise(raw(b""))
+    body = F.concat(raw(b"WEBP"), part(b"VP8X", raw(bytes([0x0C, 0, 0, 0, 9, 0, 0, 6, 0, 0]))), part(b"VP8L", F.concat(raw(b"\x2f"), utf8(F.coalesce("text", F.lit(""))))), some(2, part(b"EXIF", big_endian)), some(3, part(b"XMP ", raw(PACKET.encode()))))
+    return F.concat(raw(b"RIFF"), little(F.octet_length(body), 4), body)
+
+
+def refused_svg(i: Column) -> Column:
+    """SVG that is not read, in four ways."""
+    body = utf8(F.concat(F.lit("<svg><text>"), prose(), F.lit("</text></svg>")))
+    kind = F.pmod(F.floor(i / 7), F.lit(4))
+    return F.when(kind == 0, F.concat(raw(b"\xff\xfe"), body)).when(kind == 1, F.concat(body, raw(b"<!-- \xff -->"))).when(kind == 2, F.concat(raw(b'<?xml version="1.0" encoding="koi8-r"?>'), body)).otherwise(utf8(F.concat(F.lit('<?xml version="1.0"?><sv'), prose())))

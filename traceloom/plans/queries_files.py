@@ -43,7 +43,7 @@ def fm_paths(spark, sf_dir):
 
 
 def svg_scan(spark, sf_dir):
-    return svg.svg_facts(svg.svg_pieces(files(spark, sf_dir, made.svg), "item_id", "content"))
+    return svg.svg_facts(svg.svg_rows(files(spark, sf_dir, made.svg), "item_id", "content"))
 
 
 def svg_clean(spark, sf_dir):
