@@ -57,10 +57,5 @@ def word_number(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{SPACE[1:]}+"))
 
 
-def digest31(data: Column) -> Column:
-    """h = 31 h + byte modulo 2^32 over the bytes of a string's Latin-1 or ASCII form."""
-    return F.aggregate(F.split(data, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % (1 << 32))
-
-
 def host(url: Column) -> Column:
     return F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"\Awww\.", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.workspace import Workspace
+
 
 def tally(condition: Column, name: str) -> list[Column]:
     """Count and percentage (one decimal) of the rows that hold."""
@@ -12,16 +14,62 @@ def tally(condition: Column, name: str) -> list[Column]:
     return [n.alias(f"{name}_n"), F.when(F.count("*") > 0, F.round(100.0 * n / F.count("*"), 1)).otherwise(0.0).alias(f"{name}_pct")]
 
 
-def rank_quantiles(rows: DataFrame, value: str, by: list[str], quantiles: list[float]) -> DataFrame:
-    """The value at rank min(n - 1, floor(n q)) of each group, without interpolation.
+#: Splitters of a group, their accuracy, and values of a group that one task sorts.
+SPLITTERS, ACCURACY, SORTED = 512, 20_000, 100_000
+
+
+def rank_quantiles(rows: DataFrame, value: str, by: list[str], quantiles: list[float], most: int | None = None) -> DataFrame:
+    """by, n, p50 (and so on for each quantile), most: the value at rank min(n - 1, floor(n q)) of each group, without interpolation.
+
+    Nulls don't count; a group of nulls alone has no row. A null key is a group. Values are numbers or times.
 
-    Counts of equal values come first; the ranks run over distinct values, so a hot value is one row.
+    No group is sorted whole. Approximate splitters, from partial aggregates, enclose each wanted rank; an exact count
+    tells how many values lie below and within; this is repeated on what lies within until a task can sort it (`most`,
+    or SORTED), where equal values are one row. Splitters that missed the rank are seen by the count and not used.
     """
-    counts = rows.groupBy(*by, value).count()
-    order = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("count").over(order)).withColumn("n", F.sum("count").over(Window.partitionBy(*by)))
-    picked = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles]
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *picked, F.max(value).alias("most"))
+    ws = Workspace(rows.sparkSession)
+    most = SORTED if most is None else most
+    v = F.col(value)
+    data = ws.save(rows.select(*by, value).filter(v.isNotNull()))
+    numbers = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("q")) for k, q in enumerate(quantiles)]))
+    state = data.groupBy(*by).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).withColumn("most", F.col("hi")).withColumn("wanted", numbers)
+    rank = F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("wanted.q")))
+    state = ws.save(state.select(*by, "n", "most", F.col("wanted.k").alias("k"), rank.alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("within"), F.lit(False).alias("stuck")))
+    keys = [*by, "k"]
+
+    def held(bounds: DataFrame, *columns: str) -> DataFrame:
+        """The values of each group from lo to hi, with these columns of the bounds."""
+        b = bounds.select(*[F.col(c).alias(f"_{c}") for c in by], "k", "lo", "hi", *columns)
+        same = [F.col(f"_{c}").eqNullSafe(data[c]) for c in by]
+        return data.join(b, [*same, v >= F.col("lo"), v <= F.col("hi")]).drop(*[f"_{c}" for c in by])
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"_{c}" for c in keys})
+        return left.join(right, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], how).drop(*[f"_{c}" for c in keys])
+
+    while True:
+        wide = (F.col("within") > most) & (F.col("lo") < F.col("hi")) & ~F.col("stuck")
+        open_ = state.filter(wide)
+        if open_.isEmpty():
+            break
+        grid = held(open_).groupBy(*keys).agg(F.percentile_approx(v, F.array(*[F.lit(i / SPLITTERS) for i in range(SPLITTERS + 1)]), ACCURACY).alias("splitters"))
+        place = F.floor((F.col("rank") - F.col("below") + 0.5) / F.col("within") * SPLITTERS)
+        near = meet(open_, grid, "inner").select(*keys, "lo", "hi", F.get("splitters", F.greatest(place - 1, F.lit(0)).cast("int")).alias("a"), F.get("splitters", F.least(place + 2, F.lit(SPLITTERS)).cast("int")).alias("b"))
+        near = ws.save(near)
+        found = held(near, "a", "b").groupBy(*keys).agg(F.count_if(v < F.col("a")).alias("less"), F.count_if(v.between(F.col("a"), F.col("b"))).alias("inner"))
+        narrowed = meet(near.select(*keys, "a", "b"), found, "inner")
+        both = meet(state, narrowed, "left")
+        fits = (F.col("rank") - F.col("below") >= F.col("less")) & (F.col("rank") - F.col("below") < F.col("less") + F.col("inner")) & (F.col("inner") < F.col("within"))
+        hit = F.coalesce(fits, F.lit(False))
+        pick = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old)).alias(old)
+        below = F.when(hit, F.col("below") + F.col("less")).otherwise(F.col("below")).alias("below")
+        state = ws.save(both.select(*by, "n", "most", "k", "rank", pick("a", "lo"), pick("b", "hi"), below, pick("inner", "within"), (F.col("stuck") | (F.col("a").isNotNull() & ~hit)).alias("stuck")))
+    counts = held(state, "rank", "below").groupBy(*keys, "rank", "below", value).count()
+    upto = F.sum("count").over(Window.partitionBy(*keys).orderBy(value)) + F.col("below")
+    answer = counts.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(*keys).agg(F.min(v).alias("answer"))
+    names = [f"p{round(q * 100)}" for q in quantiles]
+    whole = meet(state, answer, "inner")
+    return whole.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("answer"))).alias(name) for k, name in enumerate(names)], F.first("most").alias("most"))
 
 
 def histogram(rows: DataFrame, label: Column) -> DataFrame:

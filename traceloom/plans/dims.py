@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.needles import Needles
+
 # id, category, axis, detect, remove, verify
 SIGNALS = [
     (s[0], s[1], s[2], *(x == "T" for x in s[3]))
@@ -48,7 +50,7 @@ GENERATORS = [
     ("ChatGPT / DALL·E (OpenAI)", ["chatgpt", "dall-e", "dall·e", "dalle", "openai", "gpt-image"]),
     ("Google Gemini / Imagen", ["gemini", "imagen", "made with google ai", "google ai studio"]),
     ("Midjourney", ["midjourney"]),
-    ("Adobe Firefly", ["firefly"]),
+    ("Adobe Firefly", ["firefly", "adobe firefly"]),
     ("Stable Diffusion", ["stable diffusion", "stablediffusion", "sdxl", "automatic1111", "a1111"]),
     ("ComfyUI", ["comfyui", "comfy_ui"]),
     ("InvokeAI", ["invokeai", "invoke ai"]),
@@ -62,7 +64,7 @@ GENERATORS = [
     ("Canva", ["canva"]),
     ("Freepik", ["freepik"]),
     ("Krea", ["krea"]),
-    ("Runway", ["runway"]),
+    ("Runway", ["runway", "runwayml"]),
     ("Luma", ["luma ai", "dream machine"]),
     ("Bing Image Creator", ["bing image creator", "designer.microsoft"]),
 ]
@@ -97,15 +99,12 @@ def verdict(detect: Column, remove: Column, verify: Column) -> Column:
     return F.when(detect, F.when(remove, removable).otherwise("detect_only")).otherwise("unable_to_verify")
 
 
+GENERATOR_NEEDLES = Needles([(needle, name) for name, needles in GENERATORS for needle in needles])
+
+
 def generator_of(text: Column) -> Column:
     """The first generator one of whose needles the text holds, whatever the case."""
-    lower, out = F.lower(text), F.lit(None).cast("string")
-    for name, needles in reversed(GENERATORS):
-        found = F.lit(False)
-        for needle in needles:
-            found = found | F.contains(lower, F.lit(needle))
-        out = F.when(found, name).otherwise(out)
-    return out
+    return GENERATOR_NEEDLES.first_name(F.lower(text))
 
 
 def role_of(key: Column) -> Column:

@@ -104,12 +104,15 @@ ORACLES: dict[str, str] = {
     "size_format": f"WITH s AS (SELECT doc_id, n_chars * (doc_id % 1500) AS n FROM documents), t AS (SELECT doc_id, n, CASE WHEN n < {MIB} THEN (n * 20 + {KIB}) // (2 * {KIB}) ELSE (n * 20 + {MIB}) // (2 * {MIB}) END AS tenths FROM s) SELECT doc_id, CASE WHEN n < {KIB} THEN n || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || CASE WHEN n < {MIB} THEN ' KB' ELSE ' MB' END END AS shown FROM t",
     "strip_tags": f"SELECT page_id, md5({trimmed('regexp_replace(html, ' + q('<[^>]*>') + ', ' + q(' ') + ', ' + q('g') + ')')}) AS plain, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages",
     "word_numbers": f"SELECT doc_id, {words('text')}::BIGINT AS words FROM documents",
-    "digests": "SELECT n_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS digest, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(n_name, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: xor(h >> 8, list_reduce(list_prepend(xor(h, c) & 255, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))), 4294967295) AS crc32 FROM nation",
+    "digests": """WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+ b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), bytes AS (SELECT doc_id, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT) AS v FROM b)
+ SELECT doc_id, list_reduce(list_prepend(0::BIGINT, v), lambda h, c: (h * 31 + c) % 4294967296) AS digest, len(v)::BIGINT AS length,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, v), lambda h, c: xor(h >> 8, crc[(xor(h, c) & 255) + 1])), 4294967295) AS crc32 FROM bytes, t""",
     "detect_formats": f"SELECT doc_id, CASE WHEN doc_id % 50 = 13 THEN 'unknown' ELSE f END AS format, CASE WHEN doc_id % 50 = 13 THEN 'empty' WHEN f NOT IN ({', '.join(q(f[0]) for f in dims.FORMATS)}) THEN 'unsupported-format' END AS error FROM (SELECT doc_id, {listed('doc_id', [q(x) for x in 'jpeg png webp gif pdf bmp tiff tiff avif heic svg markdown'.split()])} AS f FROM documents)",
     "format_registry": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(q, f)) + ")" for f in dims.FORMATS) + ") t(format, label, mime, extension, kind, support)",
     "signal_verdicts": f"WITH {SIGNALS} SELECT signal_id, category, axis, CASE WHEN NOT detect THEN 'unable_to_verify' WHEN NOT remove THEN 'detect_only' WHEN verify THEN 'removable_verified' ELSE 'removable_unverified' END AS verdict FROM signals",
     "presets_valid": f"WITH {SIGNALS}, b AS (SELECT * FROM (VALUES " + ", ".join(f"({q(p)}, {q(b)})" for p, bs in dims.PRESETS for b in bs) + ") t(preset, signal_id)) SELECT preset, count(*) AS blocks, bool_and(remove) AS removable FROM b JOIN signals USING (signal_id) GROUP BY preset",
-    "generator_match": "WITH g AS (SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {q(n)})" for n in needles) + f" THEN {q(name)}" for name, needles in dims.GENERATORS) + " END AS generator FROM documents) SELECT * FROM g WHERE generator IS NOT NULL",
+    "generator_match": "WITH g AS (SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {q(n)})" for n in needles) + f" THEN {q(name)}" for name, needles in dims.GENERATORS) + " END AS generator, array_to_string(list_sort(list_filter([" + ", ".join(q(n) for _, needles in dims.GENERATORS for n in needles) + "], lambda n: contains(lower(text), n))), ',') AS needles FROM documents) SELECT * FROM g WHERE generator IS NOT NULL",
     "png_keys": "SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in dims.PNG_KEYS.items()) + ", ('Title', NULL)) t(key, generator)",
     "fm_keys": f"WITH {MD} SELECT doc_id, line::INT AS line, indent::INT AS indent, key, value, role, last::BIGINT AS last, unsafe FROM entries",
     "fm_clean": f"WITH {MD}, gone AS (SELECT DISTINCT doc_id, unnest(generate_series(line, last)) AS line FROM entries WHERE role <> 'other' AND NOT unsafe), kept AS (SELECT doc_id, list(x ORDER BY line) AS ls FROM (SELECT doc_id, unnest(generate_series(1, len(lines))) - 1 AS line, unnest(lines) AS x FROM md) ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id) SELECT m.doc_id, md5(CASE WHEN k.ls IS NULL THEN m.tail ELSE '---' || chr(10) || array_to_string(k.ls, chr(10)) || chr(10) || '---' || chr(10) || m.tail END) AS cleaned FROM md m LEFT JOIN kept k USING (doc_id)",

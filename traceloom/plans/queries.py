@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceloom.workspace import Workspace
+
+from ..functions import digests as D
 from ..functions import hidden as H
 from ..functions import texts as T
 from ..operators import audit, graph, limiter, markup
@@ -99,7 +102,11 @@ def word_numbers(spark, sf_dir):
 
 
 def digests(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_name", T.digest31(F.col("n_name")).alias("digest"), F.crc32(F.encode("n_name", "UTF-8")).alias("crc32"))
+    """Of the bytes of every document, from pieces of 4,096."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    rows = Workspace(spark).save(d.withColumn("crc32", F.crc32("content")))
+    whole = D.digest_of_chunks(D.chunks(rows, "doc_id", "content", 4096), ["doc_id"])
+    return whole.join(rows.select("doc_id", "crc32"), "doc_id")
 
 
 # formats, signals, generators
@@ -124,7 +131,9 @@ def presets_valid(spark, sf_dir):
 
 
 def generator_match(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", dims.generator_of(F.col("text")).alias("generator")).filter("generator is not null")
+    needles = dims.GENERATOR_NEEDLES
+    rows = table(spark, sf_dir, "documents").select("doc_id", needles.hits(F.col("text")).alias("hits")).filter("size(hits) > 0")
+    return rows.select("doc_id", needles.first_of(F.col("hits")).alias("generator"), F.array_join("hits", ",").alias("needles"))
 
 
 def png_keys(spark, sf_dir):
