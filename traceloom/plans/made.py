@@ -166,3 +166,10 @@ def refused_svg(i: Column) -> Column:
     body = utf8(F.concat(F.lit("<svg><text>"), prose(), F.lit("</text></svg>")))
     kind = F.pmod(F.floor(i / 7), F.lit(4))
     return F.when(kind == 0, F.concat(raw(b"\xff\xfe"), body)).when(kind == 1, F.concat(body, raw(b"<!-- \xff -->"))).when(kind == 2, F.concat(raw(b'<?xml version="1.0" encoding="koi8-r"?>'), body)).otherwise(utf8(F.concat(F.lit('<?xml version="1.0"?><sv'), prose())))
+
+
+def typed_guide(i: Column) -> Column:
+    """Front matter with a value of each type by id."""
+    n = i.cast("string")
+    pick = F.pmod(i, F.lit(3))
+    return F.concat(F.lit("---\ntitle: 'Doc \""), n, F.lit("\"'\norder: 00"), n, F.lit("\nweight: "), n, F.lit(".50\ndraft: "), F.when(pick == 0, "true").when(pick == 1, "false").otherwise("~"), F.lit("\nsource: "), F.coalesce("source", F.lit("null")), F.lit("\n---\n"), prose())

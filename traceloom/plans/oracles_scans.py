@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .oracles import SIGNALS as SIGNAL_TABLE
+from .oracles import facts, words
 from .oracles_files import MAKE, SHOWN
 
 
@@ -72,3 +74,22 @@ ORACLES = {
     "files_scan": _files(),
     "svg_refusals": "SELECT doc_id AS item_id, ['utf-16', 'not utf-8', 'other encoding', 'no svg element'][(doc_id // 7) % 4 + 1] AS reason, true AS left_alone FROM documents",
 }
+
+
+def _tags(parts: list[tuple[int, str]]) -> str:
+    """Tags of the parts that an id has, in order: (of which multiples, tags)."""
+    return "concat_ws(' ', " + ", ".join(by(n, f"'{tags}'") for n, tags in parts) + ")"
+
+
+SEGMENTS = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'jpeg' ELSE 'png' END AS kind, len(string_split(tags, ' '))::BIGINT AS parts, tags FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0
+ THEN {_tags([(1, 'E0'), (2, 'E1'), (3, 'E1 E1 E1'), (4, 'FE'), (5, 'EB'), (1, 'C0 DA')])} ELSE {_tags([(1, 'IHDR'), (2, 'tEXt'), (3, 'zTXt'), (5, 'iTXt'), (7, 'tIME'), (11, 'eXIf'), (4, 'prVt'), (1, 'IDAT IEND')])} END AS tags FROM documents)"""
+PREVIEW = """SELECT doc_id, '{' || chr(10) || '  "title": "Doc \\"' || doc_id || '\\"",' || chr(10) || '  "order": ' || doc_id || ',' || chr(10) || '  "weight": ' || doc_id || '.5,' || chr(10)
+ || '  "draft": ' || ['true', 'false', 'null'][doc_id % 3 + 1] || ',' || chr(10) || '  "source": ' || coalesce('"' || source || '"', 'null') || chr(10) || '}' AS preview,
+ 'STRING,BIGINT,DECIMAL,' || CASE WHEN doc_id % 3 < 2 THEN 'BOOLEAN' ELSE 'VOID' END || CASE WHEN source IS NULL THEN ',VOID' ELSE ',STRING' END AS kinds FROM documents"""
+ORACLES |= {
+    "segments_sql": SEGMENTS,
+    "rollup_documents": f"SELECT source, lang, grouping_id(source, lang)::BIGINT AS level, count(*) AS documents, sum({words('text')})::BIGINT AS words FROM documents GROUP BY ROLLUP (source, lang)",
+    "cube_statuses": f"WITH {SIGNAL_TABLE}, {facts('f', 0)} SELECT axis, status, grouping_id(axis, status)::BIGINT AS level, count(*) AS facts FROM f GROUP BY CUBE (axis, status)",
+    "distinct_users": "SELECT strftime(ts, '%Y-%m') AS month, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY 1",
+    "front_matter_json": PREVIEW,
+}
