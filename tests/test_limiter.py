@@ -45,3 +45,18 @@ def test_stream(spark, tmp_path):
     query = admitted_stream(stream, RULES, "who", "ts", "id").writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
     query.awaitTermination()
     assert {r.id: (r.admitted, r.retry) for r in spark.table("admitted").collect()} == brute(rows)
+
+
+def test_the_state_of_a_key_ends(spark, tmp_path):
+    """Keys whose calls can't count any more leave the state once the watermark has passed them."""
+    early = spark.createDataFrame([(1_000_000 + i, i, f"k{i % 5}") for i in range(20)], "at long, id long, who string")
+    late = spark.createDataFrame([(1_100_000 + i, 100 + i, "new") for i in range(3)], "at long, id long, who string")
+    later = spark.createDataFrame([(1_200_000, 200, "new")], "at long, id long, who string")
+    for k, frame in enumerate((early, late, later)):
+        frame.withColumn("ts", F.timestamp_seconds("at")).select("ts", "id", "who").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = admitted_stream(stream, RULES, "who", "ts", "id").writeStream.format("memory").queryName("ending").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
+    query.awaitTermination()
+    kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert spark.table("ending").count() == 24 and max(kept) >= 5 and kept[-1] == 1

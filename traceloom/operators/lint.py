@@ -36,7 +36,10 @@ def lint(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def duplicate_titles(items: DataFrame, id_col: str, title_col: str) -> DataFrame:
-    """Items whose title others have too: how many have it, and the first of them. Counts, not lists, so a hot title is one row."""
+    """Items whose title others have too: how many have it, and the first of them, by which the others are found. A hot title is one row of counts.
+
+    Null titles are no title; rows that share an id count as items of their own.
+    """
     counts = items.groupBy(title_col).agg(F.count("*").alias("sharing"), F.min(id_col).alias("first")).filter("sharing > 1")
     return items.join(counts, title_col).select(id_col, "sharing", "first")
 

@@ -108,8 +108,8 @@ def clean_front_matter(items: DataFrame, id_col: str, text_col: str) -> DataFram
 def clean_markdown(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, cleaned, removed_keys (paths), comments, json_ld, meta_tags (how many of each go) and hidden (characters that go).
 
-    Front matter as clean_front_matter; of the body, the comments that tell how it was made, JSON-LD
-    scripts and meta tags whose name has a role go, leftmost first; then hidden characters. A null text gives nulls.
+    Front matter as clean_front_matter; JSON-LD scripts and meta tags whose name has a role go wherever they stand,
+    comments that tell how it was made go from the body, leftmost first; then hidden characters. A null text gives nulls.
     """
     rows = items.select(id_col, F.col(text_col).alias("_text"), entries(front_matter(F.col(text_col))).alias("keys"))
     front, body = _front_cleaned(F.col("_text"), F.col("keys"))
@@ -117,8 +117,9 @@ def clean_markdown(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     safe = ~unsafe(front_matter(F.col("_text")))
     rows = rows.select(id_col, front.alias("front"), body.alias("body"), F.when(safe, F.transform(gone, lambda k: k["path"])).otherwise(F.array().cast("array<string>")).alias("removed_keys"))
     edits = rf"(?is){TOLD_COMMENT}|{JSON_LD}|{TOLD_META}"
-    deleted = F.regexp_extract_all("body", F.lit(edits), F.lit(0))
-    rows = rows.withColumns({"deleted": deleted, "stripped": F.concat("front", F.regexp_replace("body", edits, ""))})
+    anywhere = rf"(?is){JSON_LD}|{TOLD_META}"
+    deleted = F.concat(F.regexp_extract_all("front", F.lit(anywhere), F.lit(0)), F.regexp_extract_all("body", F.lit(edits), F.lit(0)))
+    rows = rows.withColumns({"deleted": deleted, "stripped": F.concat(F.regexp_replace("front", anywhere, ""), F.regexp_replace("body", edits, ""))})
     of = lambda start: F.size(F.filter("deleted", lambda d: F.lower(d).startswith(start)))
     cleaned = clean_hidden(F.col("stripped"))
     kept_spaces = clean_hidden(F.col("stripped"), normalize_spaces=False)

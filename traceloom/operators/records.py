@@ -22,8 +22,8 @@ EXIF_ID, XMP_ID, EXTENSION_ID, PNG_XMP = 6, 29, 35, "XML:com.adobe.xmp"
 TEXT_CHUNKS = ("tEXt", "zTXt", "iTXt", "iTXt-xmp")
 
 
-def inflated(data: bytes | None, most: int = TEXT_BYTES) -> bytes | None:
-    """The first bytes of a zlib stream; None if it is broken."""
+def inflated(data: bytes | None, most: int = TEXT_BYTES + 1) -> bytes | None:
+    """The first bytes of a zlib stream, one more than are shown; None if it is broken."""
     stream = zlib.decompressobj()
     try:
         out = stream.decompress(data, most) if data else None
@@ -83,10 +83,10 @@ def _dimensions(format_: Column, tags: Column) -> Column:
 
 
 def image_records(items: DataFrame, id_col: str = "item_id", content_col: str = "content") -> DataFrame:
-    """A row for each readable image: item_id, format, width, height, animated, exif, xmp, extended, iptc, c2pa, icc, adobe, records, modified, unknown.
+    """A row for each readable image: item_id, format, width, height, animated, exif, xmp, extended, iptc, c2pa, icc, adobe, records, modified, unknown, truncated.
 
     records are its texts (keyword, text, source). Of several EXIF and IPTC blocks the last counts; XMP
-    and C2PA blocks are joined. unknown lists APP segments or optional chunks that nothing here knows.
+    and C2PA blocks are joined. truncated: a text of more than TEXT_BYTES was cut. unknown lists APP segments or optional chunks that nothing here knows.
     """
     rows = image_segments(items, id_col, content_col).filter("valid")
     format_ = F.col("format")
@@ -107,7 +107,9 @@ def image_records(items: DataFrame, id_col: str = "item_id", content_col: str =
     chunks = F.filter(F.transform(F.filter("parts", lambda p: p["kind"].isin(*TEXT_CHUNKS)), lambda p: text_chunk(p["kind"], p["data"])), lambda c: c.isNotNull())
     rows = rows.withColumns({"tiff": exif, "jpeg_xmp": jpeg_xmp, "box": F.when(jpeg, box).otherwise(last(of("caBX", "C2PA"))), "chunks": chunks})
     rows = rows.withColumn("unpacked", inflate_all.asNondeterministic()(F.transform("chunks", lambda c: F.when(c["packed"], c["body"]))))
-    text = lambda c, i: F.when(c["packed"], lossy(F.get("unpacked", i))).otherwise(lossy(F.substring(c["body"], 1, TEXT_BYTES)))
+    whole = lambda c, i: F.when(c["packed"], F.get("unpacked", i)).otherwise(c["body"])
+    text = lambda c, i: lossy(F.substring(whole(c, i), 1, TEXT_BYTES))
+    rows = rows.withColumn("truncated", F.exists(F.transform("chunks", lambda c, i: F.octet_length(whole(c, i)) > TEXT_BYTES), lambda long: F.coalesce(long, F.lit(False))))
     read = F.transform("chunks", lambda c, i: F.struct(c["keyword"].alias("keyword"), F.coalesce(text(c, i), F.lit("")).alias("text"), c["source"].alias("source")))
     rows = rows.withColumn("texts", read)
     is_xmp = lambda t: (t["keyword"] == PNG_XMP) & (t["text"] != "")
@@ -123,6 +125,6 @@ def image_records(items: DataFrame, id_col: str = "item_id", content_col: str =
     rows = rows.select(
         "item_id", "format", size["width"].alias("width"), size["height"].alias("height"), animated.alias("animated"), "tiff", F.when(F.trim(xml) != "", xml).alias("xml"), (F.size(of("xmp-extension")) > 0).alias("extended"),
         F.coalesce(F.octet_length(last(of("iptc"))) > 0, F.lit(False)).alias("iptc"), c2pa_record(F.col("box")).alias("c2pa"), (F.size(of("icc", "iCCP", "ICCP")) > 0).alias("icc"), (F.size(of("adobe")) > 0).alias("adobe"),
-        F.when(jpeg, comment).otherwise(F.filter("texts", lambda t: ~is_xmp(t))).alias("records"), modified.alias("modified"), odd.alias("unknown"),
+        F.when(jpeg, comment).otherwise(F.filter("texts", lambda t: ~is_xmp(t))).alias("records"), modified.alias("modified"), odd.alias("unknown"), "truncated",
     )
     return with_xmp(with_exif(rows, "tiff"), "xml").drop("tiff", "xml")

@@ -109,11 +109,11 @@ ORACLES: dict[str, str] = {
  SELECT doc_id, list_reduce(list_prepend(0::BIGINT, v), lambda h, c: (h * 31 + c) % 4294967296) AS digest, len(v)::BIGINT AS length,
   xor(list_reduce(list_prepend(4294967295::BIGINT, v), lambda h, c: xor(h >> 8, crc[(xor(h, c) & 255) + 1])), 4294967295) AS crc32 FROM bytes, t""",
     "detect_formats": f"SELECT doc_id, CASE WHEN doc_id % 50 = 13 THEN 'unknown' ELSE f END AS format, CASE WHEN doc_id % 50 = 13 THEN 'empty' WHEN f NOT IN ({', '.join(q(f[0]) for f in dims.FORMATS)}) THEN 'unsupported-format' END AS error FROM (SELECT doc_id, {listed('doc_id', [q(x) for x in 'jpeg png webp gif pdf bmp tiff tiff avif heic svg markdown'.split()])} AS f FROM documents)",
-    "format_registry": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(q, f)) + ")" for f in dims.FORMATS) + ") t(format, label, mime, extension, kind, support)",
-    "signal_verdicts": f"WITH {SIGNALS} SELECT signal_id, category, axis, CASE WHEN NOT detect THEN 'unable_to_verify' WHEN NOT remove THEN 'detect_only' WHEN verify THEN 'removable_verified' ELSE 'removable_unverified' END AS verdict FROM signals",
-    "presets_valid": f"WITH {SIGNALS}, b AS (SELECT * FROM (VALUES " + ", ".join(f"({q(p)}, {q(b)})" for p, bs in dims.PRESETS for b in bs) + ") t(preset, signal_id)) SELECT preset, count(*) AS blocks, bool_and(remove) AS removable FROM b JOIN signals USING (signal_id) GROUP BY preset",
+    "format_registry": f"WITH f AS (SELECT CASE WHEN doc_id % 50 = 13 THEN 'unknown' ELSE {listed('doc_id', [q(x) for x in 'jpeg png webp gif pdf bmp tiff tiff avif heic svg markdown'.split()])} END AS format FROM documents) SELECT format, count(*) AS files, label, mime, extension, kind, support FROM f LEFT JOIN (VALUES " + ", ".join("(" + ", ".join(map(q, f)) + ")" for f in dims.FORMATS) + ") t(format, label, mime, extension, kind, support) USING (format) GROUP BY ALL",
+    "signal_verdicts": f"WITH {SIGNALS}, {facts('f', 0)} SELECT signal_id, s.category, s.axis, CASE WHEN NOT s.detect THEN 'unable_to_verify' WHEN NOT s.remove THEN 'detect_only' WHEN s.verify THEN 'removable_verified' ELSE 'removable_unverified' END AS verdict, status, count(*) AS files FROM f JOIN signals s USING (signal_id) GROUP BY ALL",
+    "presets_valid": f"WITH {SIGNALS}, {facts('f', 0)}, n AS (SELECT signal_id, count(*) AS files FROM f WHERE status = 'detected' GROUP BY signal_id), b AS (SELECT * FROM (VALUES " + ", ".join(f"({q(p)}, {q(b)})" for p, bs in dims.PRESETS for b in bs) + ") t(preset, signal_id)) SELECT preset, count(*) AS blocks, bool_and(remove) AS removable, sum(coalesce(files, 0))::BIGINT AS signals FROM b JOIN signals USING (signal_id) LEFT JOIN n USING (signal_id) GROUP BY preset",
     "generator_match": "WITH g AS (SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {q(n)})" for n in needles) + f" THEN {q(name)}" for name, needles in dims.GENERATORS) + " END AS generator, array_to_string(list_sort(list_filter([" + ", ".join(q(n) for _, needles in dims.GENERATORS for n in needles) + "], lambda n: contains(lower(text), n))), ',') AS needles FROM documents) SELECT * FROM g WHERE generator IS NOT NULL",
-    "png_keys": "SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in dims.PNG_KEYS.items()) + ", ('Title', NULL)) t(key, generator)",
+    "png_keys": f"SELECT key, count(*) AS files, generator FROM (SELECT {listed('doc_id', [q(k) for k in [*dims.PNG_KEYS, 'Title']])} AS key FROM documents) JOIN (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in dims.PNG_KEYS.items()) + ", ('Title', NULL)) t(key, generator) USING (key) GROUP BY ALL",
     "fm_keys": f"WITH {MD} SELECT doc_id, line::INT AS line, indent::INT AS indent, key, value, role, last::BIGINT AS last, unsafe FROM entries",
     "fm_clean": f"WITH {MD}, gone AS (SELECT DISTINCT doc_id, unnest(generate_series(line, last)) AS line FROM entries WHERE role <> 'other' AND NOT unsafe), kept AS (SELECT doc_id, list(x ORDER BY line) AS ls FROM (SELECT doc_id, unnest(generate_series(1, len(lines))) - 1 AS line, unnest(lines) AS x FROM md) ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id) SELECT m.doc_id, md5(CASE WHEN k.ls IS NULL THEN m.tail ELSE '---' || chr(10) || array_to_string(k.ls, chr(10)) || chr(10) || '---' || chr(10) || m.tail END) AS cleaned FROM md m LEFT JOIN kept k USING (doc_id)",
     "html_comments": f"WITH {PAGES}, c AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda x: {trimmed('x')}) AS c FROM p) SELECT page_id, len(c)::INT AS all_comments, coalesce(array_to_string(list_filter(c, lambda x: regexp_matches(x, '(?i)generat|created\\s+with|produced\\s+by|exported|written\\s+by|\\bai\\b|model|prompt')), '|'), '') AS told FROM c",
@@ -128,7 +128,7 @@ ORACLES: dict[str, str] = {
     "audit_gate": "SELECT count(*) AS n, count(*) FILTER (event_id % 12 = 0) AS bad, CASE WHEN count(*) FILTER (event_id % 12 = 0) * 10 <= count(*) THEN 'pass' ELSE 'fail' END AS verdict FROM events",
     "count_buckets": "WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS c FROM events GROUP BY user_id) SELECT CASE WHEN c = 0 THEN '0' WHEN c <= 3 THEN '1-3' WHEN c <= 10 THEN '4-10' ELSE '11+' END AS bucket, count(*) AS users FROM u GROUP BY 1",
     "lint_documents": f"{LINTED} SELECT level, rule, count(*) AS n FROM found GROUP BY level, rule",
-    "lint_duplicates": "WITH t AS (SELECT doc_id, substring(text, 1, 40) AS title FROM documents) SELECT doc_id, sharing, first FROM (SELECT doc_id, count(*) OVER (PARTITION BY title) AS sharing, min(doc_id) OVER (PARTITION BY title) AS first FROM t) WHERE sharing > 1",
+    "lint_duplicates": "WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents) SELECT doc_id, sharing, first FROM (SELECT doc_id, count(*) OVER (PARTITION BY title) AS sharing, min(doc_id) OVER (PARTITION BY title) AS first FROM t) WHERE sharing > 1",
     "lint_summary": f"{LINTED} SELECT count(*) FILTER (level = 'ERROR') AS errors, count(*) FILTER (level = 'WARN') AS warnings, count(DISTINCT doc_id) AS items FROM found",
     "limiter_fixed_bucket": "WITH a AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type, floor(epoch(ts) / 3600) ORDER BY ts, event_id) > 2 AS over FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY event_type, floor(epoch(ts) / 86400), over ORDER BY ts, event_id) > 10 AS day FROM a) SELECT event_id, NOT over AND NOT day AS admitted, CASE WHEN over THEN 3600 WHEN day THEN 86400 END::INT AS denied_by FROM b",
     "revision_overlay": "WITH o AS (SELECT o_custkey, o_orderkey % 5 AS obj, (o_orderkey * 7919) % 1000003 AS rev, o_orderkey FROM orders) SELECT o_custkey, obj, min(rev) AS rev, arg_min(o_orderkey, rev) AS o_orderkey FROM o WHERE rev >= 1000 GROUP BY o_custkey, obj",

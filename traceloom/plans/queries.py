@@ -110,24 +110,34 @@ def digests(spark, sf_dir):
 
 
 # formats, signals, generators
-def detect_formats(spark, sf_dir):
-    content = F.concat(F.unhex(pick(F.col("doc_id"), SIGNATURES)), F.encode(F.substring("text", 1, 50), "UTF-8"))
+def signed_files(spark, sf_dir):
+    """Every text behind the first bytes of a format by id; every 50th is empty."""
+    content = F.concat(F.unhex(pick(F.col("doc_id"), SIGNATURES)), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     content = F.when(F.pmod("doc_id", F.lit(50)) == 13, F.unhex(F.lit(""))).otherwise(content)
-    d = table(spark, sf_dir, "documents").select("doc_id", content.alias("content")).withColumn("format", detect_format(F.col("content")))
-    return d.select("doc_id", "format", error_code(F.octet_length("content"), F.col("format"), [f[0] for f in dims.FORMATS]).alias("error"))
+    return table(spark, sf_dir, "documents").select("doc_id", content.alias("content")).withColumn("format", detect_format(F.col("content")))
+
+
+def detect_formats(spark, sf_dir):
+    return signed_files(spark, sf_dir).select("doc_id", "format", error_code(F.octet_length("content"), F.col("format"), [f[0] for f in dims.FORMATS]).alias("error"))
 
 
 def format_registry(spark, sf_dir):
-    return dims.formats(spark).filter("support <> 'none'")
+    """What the registry says of each format, and how many files are of it; of those that it doesn't know too."""
+    known = dims.formats(spark).filter("support <> 'none'")
+    return signed_files(spark, sf_dir).groupBy("format").agg(F.count("*").alias("files")).join(F.broadcast(known), "format", "left")
 
 
 def signal_verdicts(spark, sf_dir):
-    return dims.signals(spark).select("signal_id", "category", "axis", dims.verdict(F.col("detect"), F.col("remove"), F.col("verify")).alias("verdict"))
+    """How many files have each signal in which status, by what can be done about it."""
+    spec = dims.signals(spark).select("signal_id", "category", "axis", dims.verdict(F.col("detect"), F.col("remove"), F.col("verify")).alias("verdict"))
+    return made_facts(spark, sf_dir).join(F.broadcast(spec), "signal_id").groupBy("signal_id", "category", "axis", "verdict", "status").agg(F.count("*").alias("files"))
 
 
 def presets_valid(spark, sf_dir):
-    blocks = dims.presets(spark).select("preset", F.explode("blocks").alias("signal_id"))
-    return blocks.join(F.broadcast(dims.signals(spark)), "signal_id").groupBy("preset").agg(F.count("*").alias("blocks"), F.bool_and("remove").alias("removable"))
+    """Of the detected signals, how many each preset would take out; all of its blocks must be removable."""
+    blocks = dims.presets(spark).select("preset", F.explode("blocks").alias("signal_id")).join(dims.signals(spark).select("signal_id", "remove"), "signal_id")
+    found = made_facts(spark, sf_dir).filter("status = 'detected'").groupBy("signal_id").agg(F.count("*").alias("files"))
+    return blocks.join(found, "signal_id", "left").groupBy("preset").agg(F.count("*").alias("blocks"), F.bool_and("remove").alias("removable"), F.sum(F.coalesce("files", F.lit(0))).alias("signals"))
 
 
 def generator_match(spark, sf_dir):
@@ -137,8 +147,9 @@ def generator_match(spark, sf_dir):
 
 
 def png_keys(spark, sf_dir):
-    keys = spark.createDataFrame([(k,) for k in [*dims.PNG_KEYS, "Title"]], "key string")
-    return keys.select("key", dims.png_generator(F.col("key")).alias("generator"))
+    """Keywords by id, and the generator that each gives away."""
+    key = pick(F.col("doc_id"), [*dims.PNG_KEYS, "Title"])
+    return table(spark, sf_dir, "documents").select(key.alias("key")).groupBy("key").agg(F.count("*").alias("files")).withColumn("generator", dims.png_generator(F.col("key")))
 
 
 # markup
@@ -229,7 +240,7 @@ def lint_documents(spark, sf_dir):
 
 
 def lint_duplicates(spark, sf_dir):
-    return duplicate_titles(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("title")), "doc_id", "title")
+    return duplicate_titles(table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title")), "doc_id", "title")
 
 
 def lint_summary(spark, sf_dir):

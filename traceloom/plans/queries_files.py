@@ -117,8 +117,7 @@ def lint_guides(spark, sf_dir):
 
 def guide_collection(spark, sf_dir):
     made_guides = documents(spark, sf_dir).select("doc_id", made.ruled_guide(key()).alias("md"))
-    fields = guides.guide_fields(guides.field_lines(made_guides, "doc_id", "md"), "doc_id")
-    rows = guides.typed_guides(fields, "doc_id", "the house")
+    rows = guides.read_guides(made_guides, "doc_id", "md", "the house")
     return rows.select("doc_id", "title", "author", "content_type", "publish_date", "order", F.col("n_faq").cast("int").alias("n_faq"), F.array_join("problems", ",").alias("problems"))
 
 
