@@ -9,12 +9,14 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
+import pytest
+
 from traceloom.llm import audio
 from traceloom.llm.audio import decode_adpcm, decode_media, documents_as_audio
 from traceloom.llm.components import components
 from traceloom.llm.language import identify_languages
 from traceloom.llm.licenses import TEMPLATES, scan_licenses
-from traceloom.llm.passages import repeated_passages, similar_links
+from traceloom.llm.passages import repeated_passages, similar_links, within_edits
 from traceloom.llm.secrets import RULES, arrays, code_points, find_secrets, load, redact, scan
 from traceloom.llm.simhash import SHARED, near_duplicates, postings
 from traceloom.llm.sketches import digests, fingerprint_versions, peel, sketch, subtract
@@ -135,6 +137,45 @@ def linked(items, near):
     return root
 
 
+def distance(a, b):
+    """Words to insert, delete or change."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edits_are_counted_as_the_whole_table_counts_them():
+    rng = random.Random(2)
+    for _ in range(400):
+        a = [rng.randrange(4) for _ in range(rng.randrange(14))]
+        b = [rng.randrange(4) for _ in range(rng.randrange(14))] if rng.random() < 0.3 else [x for x in a if rng.random() > 0.1] + [9] * rng.randrange(2)
+        for most in range(6):
+            assert within_edits(a, b, most) == (distance(a, b) <= most), (a, b, most)
+
+
+@pytest.mark.parametrize("changes,least", [(1, 1.0), (2, 0.97), (3, 0.93), (5, 0.7)])
+def test_recall_of_lines_with_changed_words(spark, changes, least):
+    """Lines of 60 words in pairs, some words of one changed; the bands' own probabilities are stated beside BANDS."""
+    rng = random.Random(changes)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(150):
+        line = [word() for _ in range(60)]
+        other = list(line)
+        for at in rng.sample(range(60), changes):
+            other[at] = word()
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, "\n".join([" ".join(word() for _ in range(50)), " ".join(other)]))]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = defaultdict(set)
+    for r in found:
+        classes[r.class_id].add(r.doc_id)
+    assert all(c == {min(c), min(c) + 1} and min(c) % 2 == 0 for c in classes.values())
+    assert len(classes) / 150 >= least
+
+
 def test_repeated_passages(spark, odd, none):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -147,7 +188,9 @@ def test_repeated_passages(spark, odd, none):
         rows.append((i, "\n".join([" ".join(word() for _ in range(50)), " ".join(line), "short"]) if i % 3 else " ".join(word() for _ in range(70))))
     found = {(r.doc_id, r.paragraph): r.class_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     lines = {(i, n): grams(x) for i, text in rows for n, x in enumerate(text.split("\n")) if len(x.split()) >= 45}
-    root = linked(sorted(lines), lambda a, b: len(lines[a] & lines[b]) >= 0.8 * len(lines[a] | lines[b]))
+    words = {(i, n): x.split() for i, text in rows for n, x in enumerate(text.split("\n"))}
+    near = lambda a, b: len(lines[a] & lines[b]) >= 0.8 * len(lines[a] | lines[b]) or distance(words[a], words[b]) <= max(len(words[a]), len(words[b])) // 10
+    root = linked(sorted(lines), near)
     classes = defaultdict(set)
     for k, v in root.items():
         classes[v].add(k)

@@ -1,4 +1,4 @@
-"""Repeated passages: paragraph MinHash banding, exact Jaccard, components."""
+"""Repeated passages: paragraph MinHash banding, exact Jaccard or edit distance, components."""
 
 from __future__ import annotations
 
@@ -14,25 +14,39 @@ from .runs import shared_runs
 from .shared import Workspace, ascii_lower, whole_text
 from .simhash import _with_end
 
-#: Words of a shingle, the Jaccard similarity of near-duplicates, and words of a paragraph at least.
-SHINGLE, SIMILAR, LEAST_WORDS = 5, 0.8, 45
-#: Bands of rows: at similarity 0.8 a pair meets in one of 9 bands of 3 with probability 0.998, at 0.9 surely.
-BANDS, ROWS = 9, 3
+#: Words of a shingle, the Jaccard similarity of near-duplicates, the part of the words that may differ instead, and words of a paragraph at least.
+SHINGLE, SIMILAR, EDITS, LEAST_WORDS = 5, 0.8, 0.1, 45
+#: Bands of rows. Of 60 words with one to five changed, a pair meets in one of 12 bands of 2 with probability 1, 1, 0.98, 0.94 and 0.84.
+BANDS, ROWS = 12, 2
 #: Paragraphs of one bucket that one task compares; larger buckets are compared in blocks.
 BLOCK = 2048
 #: Shingles whose minima are taken at a time.
 CHUNK = 1 << 18
 
 
-def paragraph_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, paragraph (line number from 0), n_words, id, shingles (32-bit hashes) of lines with LEAST_WORDS words."""
+def paragraph_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, paragraph (line number from 0), n_words, id, words (32-bit hashes) of lines with LEAST_WORDS words."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(ascii_lower(whole_text(text_col)), "\n")).alias("paragraph", "line"))
     words = F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     # a line shorter than its words and the blanks between them needs no split
     worded = lines.filter(F.length("line") >= 2 * LEAST_WORDS - 1).select("doc_id", "paragraph", words.alias("words")).filter(F.size("words") >= LEAST_WORDS)
-    runs = F.arrays_zip(*[F.slice("words", k + 1, F.size("words") - (SHINGLE - 1)).alias(f"w{k}") for k in range(SHINGLE)])
-    hashes = F.transform(runs, lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(SHINGLE)]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return worded.select("doc_id", "paragraph", F.size("words").alias("n_words"), F.xxhash64("words").alias("id"), F.array_distinct(hashes).alias("shingles"))
+    hashes = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return worded.select("doc_id", "paragraph", F.size("words").alias("n_words"), F.xxhash64("words").alias("id"), hashes.alias("words"))
+
+
+def shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of SHINGLE words of each list, and their offsets; lists have at least that many words."""
+    each = np.diff(offsets)
+    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    runs = max(len(words) - SHINGLE + 1, 0)
+    out = np.zeros(runs, np.uint64)
+    for k in range(SHINGLE):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + mixed[k : k + runs]
+    out ^= out >> np.uint64(29)
+    place = np.arange(len(words)) - np.repeat(offsets[:-1], each)
+    whole = place < np.repeat(each - (SHINGLE - 1), each)
+    return out[whole[:runs]], np.concatenate([[0], np.cumsum(each - (SHINGLE - 1))])
 
 
 def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -41,8 +55,6 @@ def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     factor = rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
     n, keys = len(offsets) - 1, np.zeros((len(offsets) - 1, BANDS), np.uint64)
-    values = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    values ^= values >> np.uint64(29)
     cuts = [0]
     while cuts[-1] < n:
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + CHUNK, "right")) - 1))
@@ -56,31 +68,57 @@ def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys
 
 
-def with_bands(shingled: DataFrame) -> DataFrame:
-    names = [f.name for f in shingled.schema]
+def with_bands(worded: DataFrame) -> DataFrame:
+    names = [f.name for f in worded.schema]
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(names.index("shingles"))
+            lists = batch.column(names.index("words"))
             offsets = np.asarray(lists.offsets, np.int64)
-            values = np.asarray(lists.values)[offsets[0] : offsets[-1]]
-            keys = band_keys(values, offsets - offsets[0]).view(np.int64)
+            words = np.asarray(lists.values)[offsets[0] : offsets[-1]]
+            keys = band_keys(*shingles(words, offsets - offsets[0])).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, bands], names=[*names, "bands"])
 
-    return shingled.mapInArrow(run, "doc_id long, paragraph int, n_words int, id long, shingles array<int>, bands array<long>")
+    return worded.mapInArrow(run, "doc_id long, paragraph int, n_words int, id long, words array<int>, bands array<long>")
+
+
+def within_edits(a: list, b: list, most: int) -> bool:
+    """Whether at most `most` insertions, deletions and changes make a into b: how far each diagonal gets with 0, 1, 2... edits."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return False
+    reached: dict[int, int] = {}
+    for edits in range(most + 1):
+        now = {}
+        for d in range(-edits, edits + 1):
+            i = 0 if not edits else max(reached.get(d, -2) + 1, reached.get(d - 1, -2), reached.get(d + 1, -2) + 1)
+            i = min(i, n, m - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return True
+            now[d] = i
+        reached = now
+    return False
 
 
-def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], least: float = SIMILAR, words: list[np.ndarray] | None = None, edits: float = EDITS) -> list[tuple[int, int]]:
     """Links (i, j) of sets whose Jaccard similarity is at least `least`, enough to connect all that are.
 
-    Every set in turn is compared with all that are not yet known to be connected to it, by one pass
-    over their members; sets of the largest connected part come last, when little is left outside.
+    With the words of which they are the shingles, also of those of which at most the part `edits` of the longer one's
+    words was inserted, deleted or changed. Every set in turn is compared with all that are not yet known to be
+    connected to it, by one pass over their members; sets of the largest connected part come last, when little is
+    left outside. An edit changes SHINGLE shingles at most, so few pairs are left for the distance itself.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
+    if words is not None:
+        counts, words = np.array([len(w) for w in words]), [w.tolist() for w in words]
     flat = np.concatenate(sets) if n else np.empty(0, np.int32)
     owner = np.repeat(np.arange(n), sizes)
     root, done, found = np.arange(n), np.zeros(n, bool), []
@@ -95,8 +133,16 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[
             continue
         low, high = np.searchsorted(sorted_, sets[i], "left"), np.searchsorted(sorted_, sets[i], "right")
         shared = np.bincount(np.concatenate([owners[a:b] for a, b in zip(low, high)]), minlength=n)
-        near = np.flatnonzero((shared >= least * (sizes[i] + sizes - shared) - 1e-9) & (root != root[i]))
-        for j in near.tolist():
+        near = (shared >= least * (sizes[i] + sizes - shared) - 1e-9) & (root != root[i])
+        partners = np.flatnonzero(near).tolist()
+        if words is not None:
+            allowed = np.floor(np.maximum(counts, counts[i]) * edits + 1e-9).astype(np.int64)
+            maybe = ~near & (root != root[i]) & (np.abs(counts - counts[i]) <= allowed) & (shared >= np.maximum(sizes, sizes[i]) - SHINGLE * allowed)
+            # a partner's whole part is connected with it, so one of a part is enough
+            for j in np.flatnonzero(maybe).tolist():
+                if root[j] not in {root[p] for p in partners} and within_edits(words[i], words[j], int(allowed[j])):
+                    partners.append(j)
+        for j in partners:
             found.append((i, j))
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
@@ -104,25 +150,26 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[
 
 
 def verified_links(clusters: DataFrame) -> DataFrame:
-    """clusters(cluster, n, id, shingles): links (a, b) of ids of a bucket with exact Jaccard similarity of at least SIMILAR."""
+    """clusters(cluster, n, id, words): links (a, b) of ids of a bucket with exact Jaccard similarity of at least SIMILAR, or at most the part EDITS of their words apart."""
     dealt = clusters.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "id", "shingles")
+    dealt = dealt.select("cluster", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "id", "words")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches):
-        key, ids, sets = None, [], []
+        key, ids, sets, texts = None, [], [], []
         for batch in _with_end(batches):
             rows = [(None, 0, None)] if batch is None else zip(zip(*(batch.column(k).to_pylist() for k in range(3))), batch.column(3).to_pylist(), batch.column(4))
-            for now, one, shingles in rows:
+            for now, one, words in rows:
                 if now != key:
                     if len(ids) > 1:
-                        found = [(ids[i], ids[j]) for i, j in similar_links(sets)]
+                        found = [(ids[i], ids[j]) for i, j in similar_links(sets, words=texts)]
                         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=schema)
-                    key, ids, sets = now, [], []
+                    key, ids, sets, texts = now, [], [], []
                 if now is not None:
                     ids.append(one)
-                    sets.append(np.asarray(shingles.values))
+                    texts.append(np.asarray(words.values))
+                    sets.append(np.unique(shingles(texts[-1], np.array([0, len(texts[-1])]))[0]))
 
     order = ["cluster", "b1", "b2"]
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
@@ -131,8 +178,8 @@ def verified_links(clusters: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Paragraphs (lines of at least LEAST_WORDS words) that occur in several documents, exactly or nearly.
 
-    Near means a Jaccard similarity of at least 0.8 of their five-word shingles, or a chain of such
-    paragraphs. Returns, for each occurrence, doc_id, paragraph (line from 0), n_words, class_id,
+    Near means a Jaccard similarity of at least 0.8 of their five-word shingles, or at most a tenth of the longer
+    one's words inserted, deleted or changed, or a chain of such paragraphs. Returns, for each occurrence, doc_id, paragraph (line from 0), n_words, class_id,
     occurrences (of the class), kept (true for the first by doc_id and line; the others are the
     removals). Documents without such a paragraph have no row. Case of A to Z and blanks don't count.
     Null and empty texts have no paragraphs. Repeated rows count as documents only by their ids: a
@@ -140,7 +187,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     paragraphs are known by 64-bit hashes and meet before any comparison.
     """
     ws = Workspace(docs.sparkSession)
-    marked = ws.save(with_bands(paragraph_shingles(docs, id_col, text_col)))
+    marked = ws.save(with_bands(paragraph_words(docs, id_col, text_col)))
     where = marked.select("doc_id", "paragraph", "n_words", "id")
     keys = ws.save(marked.groupBy("id").agg(F.first("bands").alias("bands")))  # equal paragraphs have equal bands
     index = keys.select("id", F.posexplode("bands").alias("band", "key"))
@@ -149,8 +196,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     buckets = ws.save(met.groupBy("n", "least", "most", "sum").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n"))
     members = ws.save(index.join(buckets, ["band", "key"]).select(F.xxhash64("band", "key").alias("cluster"), "n", "id"))
     ws.drop(keys)
-    shingles = marked.select("id", "shingles").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    links = ws.save(verified_links(members.join(shingles, "id")))
+    words = marked.select("id", "words").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
+    links = ws.save(verified_links(members.join(words, "id")))
     ws.drop(members)
     near = ws.save(components(links).select(F.col("node").alias("id"), "component"))
     occurrence = where.join(near, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
