@@ -6,17 +6,8 @@ from traceloom.llm.queries import op7_passages
 from traceloom.llm.runs import shared_runs
 
 
-def test_wrapped_and_embedded_passages(spark, none, odd, tmp_path):
-    rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    base, rows = [[word() for _ in range(n)] for n in (49, 50, 60, 120)], []
-    for i in range(40):
-        words = [word() for _ in range(rng.randrange(20))] + rng.choice(base) + [word() for _ in range(rng.randrange(90))]
-        text = words[0]
-        for w in words[1:]:
-            text += (rng.choice([" ", " ", " ", "\n", "  "]) if i % 3 else " ") + (w.upper() if i % 5 == 0 else w)
-        rows.append((i, text))
-    rows += [(None, rows[0][1]), (40, "é " * 60), (41, None)]
+def runs_of(rows):
+    """(id, first word, words) of all maximal stretches of windows of 50 words that another id has."""
     words = [(t or "").lower().split() for _, t in rows]
     holders = {}
     for (i, _), ws in zip(rows, words):
@@ -32,6 +23,41 @@ def test_wrapped_and_embedded_passages(spark, none, odd, tmp_path):
             if not hit and start is not None:
                 want.add((i, start, k - start + 49))
                 start = None
+    return want
+
+
+def test_runs_that_go_over_from_one_partner_to_the_next(spark):
+    """Long texts whose parts others have, in pieces that overlap by more or less than a window, with words put in or left out."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for family in range(12):
+        base = [word() for _ in range(400)]
+        rows.append((100 * family, " ".join(base)))
+        at = 0
+        for k in range(1, 7):
+            part = base[max(at - rng.choice([0, 10, 25, 49, 50, 60]), 0) : at + rng.randrange(40, 130)]
+            at += 60
+            if k % 2:
+                cut = rng.randrange(len(part))
+                part = part[:cut] + [word()] * (k % 3) + part[cut + rng.randrange(2) :]
+            rows.append((100 * family + k, " ".join([word() for _ in range(rng.randrange(30))] + part + [word() for _ in range(rng.randrange(30))])))
+    got = {(r.doc_id, r.first_word, r.n_words) for r in shared_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == runs_of(rows)
+
+
+def test_wrapped_and_embedded_passages(spark, none, odd, tmp_path):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [[word() for _ in range(n)] for n in (49, 50, 60, 120)], []
+    for i in range(40):
+        words = [word() for _ in range(rng.randrange(20))] + rng.choice(base) + [word() for _ in range(rng.randrange(90))]
+        text = words[0]
+        for w in words[1:]:
+            text += (rng.choice([" ", " ", " ", "\n", "  "]) if i % 3 else " ") + (w.upper() if i % 5 == 0 else w)
+        rows.append((i, text))
+    rows += [(None, rows[0][1]), (40, "é " * 60), (41, None)]
+    want = runs_of(rows)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = op7_passages(spark, str(tmp_path)).filter("first_word is not null").collect()
     assert {(r.doc_id, r.first_word, r.n_words) for r in out} == want and len(want) > 20

@@ -65,14 +65,16 @@ def chosen(words: np.ndarray) -> np.ndarray:
     return np.unique(among.argmin(1) + np.arange(len(among)))
 
 
-def looked_at(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def looked_at(words: np.ndarray, places: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of windows of RUN words around shared places, and numbers that rise by one where no end of a run can lie between.
 
-    Places that are shared and follow each other among the chosen ones are a chain. All windows that
-    hold its first or last place are looked at; between these, only those that start at a place.
+    Places that are shared and follow each other among the chosen ones are a chain, as long as whoever has the one has
+    the other too, as far from it (`after` of the one and `before` of the other say so). So a chain has the same
+    partners all along, and is a chain in their texts too. All windows that hold its first or last place are looked
+    at; between these, only those that start at a place.
     """
     number = np.searchsorted(chosen(words), places)
-    first = np.concatenate([[True], np.diff(number) > 1])
+    first = np.concatenate([[True], (np.diff(number) > 1) | ~(after[:-1] & before[1:])])
     ends = np.unique(np.concatenate([places[first], places[np.append(first[1:], True)]]))
     starts = np.unique(np.concatenate([places, (ends[:, None] - np.arange(RUN - WINDOW + 1)).ravel()]))
     starts = starts[(starts >= 0) & (starts <= len(words) - RUN)]
@@ -85,9 +87,9 @@ def looked_at(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.cumsum(np.concatenate([[0], np.where(covered | (np.diff(starts) == 1), 1, 2)]))
 
 
-def shared_hashes(spots: DataFrame) -> DataFrame:
-    """The hashes that documents of two ids have, and how many times each occurs (n)."""
-    return spots.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("h", "n")
+def shared_hashes(spots: DataFrame, *more) -> DataFrame:
+    """The hashes that documents of two ids have, how many times each occurs (n), and further aggregates."""
+    return spots.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), *more).filter("low < high").drop("low", "high")
 
 
 def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,9 +97,7 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Any such run holds a chosen window in either document. Around those that are shared, windows of
     RUN words are looked at, and those that are shared again, joined where they follow each other,
-    are the runs; so the work grows with the words, not with pairs. Where a long run goes over from
-    one other document to the next, up to RUN - WINDOW words at the change may be left out. Runs with a common
-    window, or a chain of such, are one class. Returns doc_id, paragraph and first_word (of the run's
+    are the runs; so the work grows with the words, not with pairs. Runs with a common window, or a chain of such, are one class. Returns doc_id, paragraph and first_word (of the run's
     start, from 0), n_words, class_id, occurrences, kept (true for the first by doc_id and word).
     Rows of equal id and text count once. Null texts have no words; null ids don't make a run shared.
     """
@@ -107,7 +107,7 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def choose(batches):
         for batch in batches:
-            ids, marks, counts, found = [], [], [], [np.empty((2, 0), np.int64)]
+            ids, marks, counts, found = [], [], [], [np.empty((4, 0), np.int64)]
             for doc, mark, text in zip(*batch.columns):
                 words, _ = word_hashes(text.as_py())
                 places = chosen(words)
@@ -115,13 +115,18 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     ids.append(doc.as_py())
                     marks.append(mark.as_py())
                     counts.append(len(places))
-                    found.append(np.stack([places, windows(words, WINDOW)[places].view(np.int64)]))
-            place, h = np.concatenate(found, 1)
+                    h = windows(words, WINDOW)[places]
+                    # the places before and after, and how far away they are
+                    far = np.diff(places).astype(np.uint64)
+                    before, after = (_mixed(x + far).view(np.int64) for x in (h[:-1], h[1:]))
+                    found.append(np.stack([places, h.view(np.int64), np.append(0, before), np.append(after, 0)]))
+            place, h, before, after = np.concatenate(found, 1)
             of = pa.array(np.repeat(np.arange(len(ids)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(of), pa.array(marks, pa.int64()).take(of), pa.array(place.astype(np.int32)), pa.array(h)], names=["doc_id", "t", "place", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(of), pa.array(marks, pa.int64()).take(of), pa.array(place.astype(np.int32)), pa.array(h), pa.array(before), pa.array(after)], names=["doc_id", "t", "place", "h", "before", "after"])
 
-    first = ws.save(texts.mapInArrow(choose, "doc_id long, t long, place int, h long"))
-    met = join_groups(first, ws.save(shared_hashes(first)), ["h"], "n").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))
+    first = ws.save(texts.mapInArrow(choose, "doc_id long, t long, place int, h long, before long, after long"))
+    shared = ws.save(shared_hashes(first, *[(F.min(c) == F.max(c)).alias(f"same_{c}") for c in ("before", "after")]))
+    met = join_groups(first.drop("before", "after"), shared, ["h"], "n").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "same_before", "same_after"))).alias("places"))
     met = ws.save(met.withColumnsRenamed({"doc_id": "of", "t": "m"}))
     ws.drop(first)
 
@@ -131,7 +136,8 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ids, marks, counts, found = [], [], [], [np.empty((4, 0), np.int64)]
             for doc, mark, text, places in zip(*batch.columns):
                 words, lines = word_hashes(text.as_py())
-                starts, number = looked_at(words, np.sort(np.asarray(places.as_py(), np.int64)))
+                spots = places.values
+                starts, number = looked_at(words, np.asarray(spots.field("place"), np.int64), *(spots.field(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("same_before", "same_after")))
                 ids.append(doc.as_py())
                 marks.append(mark.as_py())
                 counts.append(len(starts))
