@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, buckets, whole_text
+from .shared import MANY, Workspace, buckets, whole_text
 
 #: Cells in each of the three parts of a fingerprint: 24 cells, enough for about 16 differences.
 WIDTH = 8
@@ -142,7 +142,8 @@ def id_buckets(rows: DataFrame) -> Column:
 
     The ids' quantiles bound QUANTILES ranges of about as many rows, and each range is cut into equal
     widths; so far outliers and dense spots spoil no more than their own range. Rows without an id
-    follow below all others, by ranges of their mark.
+    follow below all others, by ranges of their mark, and so do within its place the rows of an id that
+    very many have: more than one in MANY rows, so fewer than MANY ids.
     """
     quantiles = F.percentile_approx("doc_id", [k / QUANTILES for k in range(1, QUANTILES)], 100 * QUANTILES)
     low, high, count, known, cuts = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id"), quantiles).first()
@@ -157,7 +158,18 @@ def id_buckets(rows: DataFrame) -> Column:
     at = F.size(F.filter(listed(lows[1:], "bigint"), lambda x: x <= F.col("doc_id"))) if lows[1:] else F.lit(0)
     of = lambda values: F.element_at(listed(values, "decimal(20,0)"), at + 1)
     inside = F.floor((F.col("doc_id").cast("decimal(20,0)") - of(lows)) / of(widths)).cast("long")
-    return F.when(F.col("doc_id").isNull(), unknown).otherwise(at.cast("long") * each + inside)
+    plain = F.when(F.col("doc_id").isNull(), unknown).otherwise(at.cast("long") * each + inside)
+    often = rows.groupBy("doc_id").count().filter(F.col("doc_id").isNotNull() & (F.col("count") > max(2 * NEIGHBOURS, count // MANY)))
+    hot = dict(sorted((r["doc_id"], buckets(r["count"], NEIGHBOURS)) for r in often.collect()))
+    if not hot:
+        return plain
+    # after the bucket come the place among the hot ids (even between two, odd at one) and the range of the mark
+    below = F.size(F.filter(listed(hot, "bigint"), lambda x: x < F.col("doc_id")))
+    own = F.array_contains(listed(hot, "bigint"), F.col("doc_id"))
+    ranges = F.get(listed(hot.values(), "bigint"), below)
+    part = F.floor(F.shiftrightunsigned("mark", 47) * ranges / F.lit(1 << 16)).cast("long")
+    finer = F.when(own, ((2 * below + 1) * (1 << 16)).cast("long") + part).otherwise((2 * below * (1 << 16)).cast("long"))
+    return plain * (1 << 32) + F.coalesce(finer, F.lit(0).cast("long"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
