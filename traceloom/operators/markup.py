@@ -11,8 +11,8 @@ from ..plans.dims import REMOVED_ROLES, ROLES, role_of
 
 #: Lines between fences at the very start: opening fence, block, closing fence.
 BLOCK = r"(?dms)\A(-{3}[ \t]*\r?\n)(.+?)(^(?:-{3}|\.{3})[ \t]*(?:\r?\n|\z))"
-#: Indent, name and value of a line that sets a key.
-KEY_LINE = r"(?s)\A(\s*)([A-Za-z_][\w.\-]*)\s*:(.*)\z"
+#: What a key of front matter may be called.
+KEY_NAME = r"\A[A-Za-z_][\w.\-]*\z"
 # What comments say that tell how something was made.
 COMMENT_GATE = r"generat|created\s+with|produced\s+by|exported|written\s+by|\bai\b|model|prompt"
 COMMENT = r"(?s)<!--(.*?)-->"
@@ -39,15 +39,24 @@ def lines_of(block: Column) -> Column:
     return F.regexp_extract_all(block, F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
 
 
+def key_of(line: Column) -> Column:
+    """indent, name and value of a line that sets a key, parted at its first colon; null for any other line."""
+    head = F.substring_index(line, ":", 1)
+    name = F.regexp_replace(head, r"\A\s+|\s+\z", "")
+    indent = F.length(head) - F.length(F.regexp_replace(head, r"\A\s+", ""))
+    value = trim_space(F.substring(line, F.length(head) + 2, F.length(line)))
+    return F.when(F.contains(line, F.lit(":")) & name.rlike(KEY_NAME), F.struct(indent.alias("indent"), name.alias("name"), value.alias("value")))
+
+
 def entries(block: Column) -> Column:
     """An array of the block's keys: line, indent, name, path, value, last (the line before the next key as shallow).
 
     Two passes over the key lines, forwards for paths and backwards for extents. Each carries a stack
     of keys of rising indent, so the work grows with the keys and the depth of nesting.
     """
-    value = lambda x: trim_space(F.regexp_extract(x, KEY_LINE, 3))
-    found = F.transform(lines_of(block), lambda x, i: F.when(x.rlike(KEY_LINE), F.struct(i.alias("line"), F.length(F.regexp_extract(x, KEY_LINE, 1)).alias("indent"), F.regexp_extract(x, KEY_LINE, 2).alias("name"), value(x).alias("value"))))
-    keys = F.filter(found, lambda k: k.isNotNull())
+    found = F.transform(lines_of(block), lambda x, i: F.struct(i.alias("line"), key_of(x).alias("key")))
+    set_ = F.filter(found, lambda k: k["key"].isNotNull())
+    keys = F.transform(set_, lambda k: F.struct(k["line"].alias("line"), *[k["key"][c].alias(c) for c in ("indent", "name", "value")]))
     level, key = "array<struct<line:int,indent:int,name:string>>", "array<struct<line:int,indent:int,name:string,path:string,value:string,last:int>>"
     state = lambda stack, out: F.struct(stack.cast(level).alias("stack"), out.cast(key).alias("out"))
     own = lambda k: F.array(F.struct(k["line"].alias("line"), k["indent"].alias("indent"), k["name"].alias("name")))
