@@ -6,11 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.workspace import Workspace
-
 # The kind of box that holds boxes, the kind its first one must have, bytes of a header, and starts looked at in a file.
 PARENT, FIRST, HEADER, STARTS = b"jumb", b"jumd", 8, 4096
-TREE = "row long, path string, depth int, kind string, start long, stop long, reason string"
+TREE = "path string, depth int, kind string, start long, stop long, reason string"
 
 
 def find_boxes(data: bytes) -> list[tuple[int, int]]:
@@ -75,21 +73,23 @@ def box_trees(files: DataFrame, id_col: str = "item_id", content_col: str = "con
 
     path numbers the boxes from 0, level by level; start and stop are places in the file. Rows of one id are files of
     their own, whose boxes come together; a null content and one without a box have no row. A file is walked within
-    its task: memory is a file and its boxes.
+    its task, and nothing is shuffled: memory is a file and its boxes.
     """
-    rows = Workspace(files.sparkSession).save(files.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("item_id"), F.col(content_col).alias("content")))
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    rows = files.select(F.col(id_col).alias("item_id"), F.col(content_col).alias("content"))
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     names = [part.split(" ")[0] for part in TREE.split(", ")]
 
     def walk(batches):
         for batch in batches:
-            out = []
-            for row, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            of, out = [], []
+            for i, content in enumerate(batch.column(1)):
                 data = content.as_py() or b""
                 for number, (start, stop) in enumerate(find_boxes(data)):
-                    out += [(row, *box) for box in walk_boxes(data, start, stop, number)]
+                    boxes = walk_boxes(data, start, stop, number)
+                    of += [i] * len(boxes)
+                    out += boxes
             columns = list(zip(*out)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["item_id", *names])
 
-    boxes = rows.select("row", "content").filter(F.col("content").isNotNull()).mapInArrow(walk, TREE)
-    return boxes.join(rows.select("row", "item_id"), "row").select("item_id", *names[1:])
+    kind = rows.schema["item_id"].dataType.simpleString()
+    return rows.mapInArrow(walk, f"item_id {kind}, {TREE}")
