@@ -119,6 +119,7 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR, words: list[np
     sizes = np.array([len(s) for s in sets])
     if words is not None:
         counts, words = np.array([len(w) for w in words]), [w.tolist() for w in words]
+        known = [set(w) for w in words]
     flat = np.concatenate(sets) if n else np.empty(0, np.int32)
     owner = np.repeat(np.arange(n), sizes)
     root, done, found = np.arange(n), np.zeros(n, bool), []
@@ -138,10 +139,12 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR, words: list[np
         if words is not None:
             allowed = np.floor(np.maximum(counts, counts[i]) * edits + 1e-9).astype(np.int64)
             maybe = ~near & (root != root[i]) & (np.abs(counts - counts[i]) <= allowed) & (shared >= np.maximum(sizes, sizes[i]) - SHINGLE * allowed)
-            # a partner's whole part is connected with it, so one of a part is enough
-            for j in np.flatnonzero(maybe).tolist():
-                if root[j] not in {root[p] for p in partners} and within_edits(words[i], words[j], int(allowed[j])):
+            joined = set(root[partners].tolist())  # a partner's whole part is connected with it, so one of a part is enough
+            for j, most in zip(np.flatnonzero(maybe).tolist(), allowed[maybe].tolist()):
+                # a word that only one has is an edit
+                if root[j] not in joined and len(known[i] - known[j]) <= most and len(known[j] - known[i]) <= most and within_edits(words[i], words[j], most):
                     partners.append(j)
+                    joined.add(int(root[j]))
         for j in partners:
             found.append((i, j))
             if root[j] != root[i]:
