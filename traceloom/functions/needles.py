@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .slices import by_row
+
 
 @functools.lru_cache(maxsize=8)
 def _automaton(needles: tuple[str, ...]):
@@ -34,10 +35,9 @@ class Needles:
         """The distinct needles that a text holds, overlapping or not, sorted; null for a null text."""
         needles = tuple(self.place)
 
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def found(texts: pd.Series) -> pd.Series:
-            automaton = _automaton(needles)
-            return texts.map(lambda t: None if t is None else sorted({needle for _, needle in automaton.iter(t)}))
+        @by_row(T.ArrayType(T.StringType()))
+        def found(text):
+            return None if text is None else sorted({needle for _, needle in _automaton(needles).iter(text)})
 
         return found(F.lower(text))
 
