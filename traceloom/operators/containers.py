@@ -5,11 +5,11 @@ from __future__ import annotations
 import struct
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.slices import by_row
 from .detect import detect_format
 from .exif import orientation_block, turned, with_exif
 from .verify import compare, status
@@ -80,40 +80,33 @@ def _webp(data: bytes):
 WALKERS = {"jpeg": _jpeg, "png": _png, "webp": _webp}
 
 
-@F.pandas_udf(SEGMENTS)
-def walk(content: pd.Series, format_: pd.Series) -> pd.Series:
-    def one(data, kind):
-        if data is None or kind not in WALKERS:
-            return None
-        return [{"tag": t, "start": a, "data": d, "stop": b, "head": bytes(data[d : min(b, d + HEAD)])} for t, a, d, b in WALKERS[kind](data)]
+@by_row(SEGMENTS)
+def walk(data, kind):
+    if data is None or kind not in WALKERS:
+        return None
+    return [{"tag": t, "start": a, "data": d, "stop": b, "head": data[d : min(b, d + HEAD)]} for t, a, d, b in WALKERS[kind](data)]
 
-    return pd.Series([one(*x) for x in zip(content, format_)], dtype=object)
 
-
-@F.pandas_udf(T.BinaryType())
-def put_together(content: pd.Series, format_: pd.Series, kept: pd.Series, extra: pd.Series) -> pd.Series:
+@by_row(T.BinaryType())
+def put_together(data, kind, segments, more):
     """The file's signature, its kept segments and one more, if any, at its place; a PNG's end, a WebP's size and its flags of what is gone follow."""
-
-    def one(data, kind, segments, more):
-        if segments is None:
-            return None
-        head = {"jpeg": 2, "png": 8, "webp": 12}[kind]
-        tags = [s["tag"] for s in segments]
-        parts = [data[s["start"] : s["stop"]] for s in segments]
-        if kind == "webp":
-            for k, part in enumerate(parts):
-                if tags[k] == "VP8X" and len(part) > 8:
-                    parts[k] = part[:8] + bytes([part[8] & ~0x0C | 0x08 * bool(more)]) + part[9:]
-            parts += [more] * bool(more)
-            return b"RIFF" + struct.pack("<I", 4 + sum(map(len, parts))) + b"WEBP" + b"".join(parts)
-        if kind == "png" and "IEND" not in tags:
-            parts.append(b"\0\0\0\0IEND\xae\x42\x60\x82")
-        if more:  # after JFIF, or after the header
-            first = {"jpeg": "E0", "png": "IHDR"}[kind]
-            parts.insert(1 if tags[:1] == [first] else 0, more)
-        return data[:head] + b"".join(parts)
-
-    return pd.Series([one(*x) for x in zip(content, format_, kept, extra)], dtype=object)
+    if segments is None:
+        return None
+    head = {"jpeg": 2, "png": 8, "webp": 12}[kind]
+    tags = [s["tag"] for s in segments]
+    parts = [data[s["start"] : s["stop"]] for s in segments]
+    if kind == "webp":
+        for k, part in enumerate(parts):
+            if tags[k] == "VP8X" and len(part) > 8:
+                parts[k] = part[:8] + bytes([part[8] & ~0x0C | 0x08 * bool(more)]) + part[9:]
+        parts += [more] * bool(more)
+        return b"RIFF" + struct.pack("<I", 4 + sum(map(len, parts))) + b"WEBP" + b"".join(parts)
+    if kind == "png" and "IEND" not in tags:
+        parts.append(b"\0\0\0\0IEND\xae\x42\x60\x82")
+    if more:  # after JFIF, or after the header
+        first = {"jpeg": "E0", "png": "IHDR"}[kind]
+        parts.insert(1 if tags[:1] == [first] else 0, more)
+    return data[:head] + b"".join(parts)
 
 
 def once(udf):

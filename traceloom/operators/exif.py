@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import until_nul, unsigned
+from ..functions.slices import by_row
 
 ENTRIES = T.ArrayType(T.StructType([T.StructField("ifd", T.StringType()), T.StructField("tag", T.IntegerType()), T.StructField("type", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("little", T.BooleanType())]))
 # Bytes of the TIFF types, and tags of texts by field, in the main and the Exif directory.
@@ -57,9 +57,7 @@ def block_entries(data: bytes | None):
     return found
 
 
-@F.pandas_udf(ENTRIES)
-def tiff_entries(blocks: pd.Series) -> pd.Series:
-    return pd.Series([block_entries(x) for x in blocks], dtype=object)
+tiff_entries = by_row(ENTRIES)(block_entries)
 
 
 def _last(entries: Column, ifd: str, tag: int) -> Column:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import zlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.c2pa import c2pa_record
 from ..functions.numbers import byte, latin, lossy, unsigned
+from ..functions.slices import by_row
 from ..functions.xmp import with_xmp
 from .containers import image_segments, keeps
 from .exif import with_exif
@@ -32,9 +32,9 @@ def inflated(data: bytes | None, most: int = TEXT_BYTES + 1) -> bytes | None:
     return out if out is not None and (stream.eof or len(out) == most) else None
 
 
-@F.pandas_udf(T.ArrayType(T.BinaryType()))
-def inflate_all(streams: pd.Series) -> pd.Series:
-    return streams.map(lambda many: None if many is None else [inflated(x) for x in many])
+@by_row(T.ArrayType(T.BinaryType()))
+def inflate_all(streams):
+    return None if streams is None else [inflated(x) for x in streams]
 
 
 def payload(content: Column, segment: Column, format_: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceloom.workspace import Workspace
 
+from ..functions.slices import by_row
 from .containers import clean_images, image_segments, once
 
 # Prefixes of editors' names, elements that go with all they hold, and what generators' comments say.
@@ -79,10 +79,9 @@ def nesting(marks: list[str], most: int) -> dict:
     return {"inside": inside, "regions": [dict(zip(("element", "start", "stop"), r)) for r in regions]}
 
 
-@F.pandas_udf(NESTED)
-def _nesting(marks: pd.Series) -> pd.DataFrame:
-    rows = [{"inside": None, "regions": None} if m is None else nesting(list(m), len(m)) for m in marks]
-    return pd.DataFrame(rows, columns=["inside", "regions"])
+@by_row(NESTED)
+def _nesting(marks):
+    return {"inside": None, "regions": None} if marks is None else nesting(marks, len(marks))
 
 
 def svg_rows(items: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -156,8 +155,8 @@ def clean_svg(items: DataFrame, id_col: str = "item_id", content_col: str = "con
     done = clean_images(image_segments(images.select(F.struct("item_id", "old").alias("at"), "content"), "at", "content")).filter("cleaned is not null")
     swaps = done.groupBy(F.col("item_id.item_id").alias("row")).agg(F.collect_set(F.struct(F.col("item_id.old").alias("old"), F.base64("cleaned").alias("new"))).alias("swaps"))
     swapped = F.coalesce(F.aggregate("swaps", F.col("cleaned"), lambda t, s: F.replace(t, s["old"], s["new"])), "cleaned")
-    out = cleaned.join(swaps, "row", "left").select("row", "reason", F.when(F.col("reason").isNull(), swapped).alias("cleaned"))
-    return out.join(files.select("row", F.col("id").alias("item_id")), "row").select("item_id", "reason", "cleaned")
+    out = cleaned.join(swaps.hint("merge"), "row", "left").select("row", "reason", F.when(F.col("reason").isNull(), swapped).alias("cleaned"))
+    return out.join(files.select("row", F.col("id").alias("item_id")).hint("merge"), "row").select("item_id", "reason", "cleaned")
 
 
 def numeric_attribute(value: Column) -> Column:
