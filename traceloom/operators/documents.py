@@ -37,7 +37,7 @@ def svg_records(items: DataFrame, id_col: str = "item_id", content_col: str = "c
     EXIF, XMP and C2PA, all texts. item_id must be unique, as scan_files and stored numbers make it.
     """
     ws = Workspace(items.sparkSession)
-    rows = svg_rows(items, id_col, content_col).filter("reason is null")
+    rows = ws.save(svg_rows(items, id_col, content_col).filter("reason is null"))  # read twice below
     record = lambda keyword, text, source: F.struct(keyword.alias("keyword"), text.alias("text"), F.lit(source).alias("source"))
     titled = lambda element, keyword: F.transform(_region_texts(element), lambda t: record(F.lit(keyword), strip_tags(t), f"SVG <{element}>"))
     comments = F.filter("pieces", lambda p: (p["kind"] == "comment") & p["piece"].rlike(r"(?i)generator|generated|created\s+with|produced\s+by|exported\s+from"))
@@ -51,9 +51,9 @@ def svg_records(items: DataFrame, id_col: str = "item_id", content_col: str = "c
         F.concat_ws("\n", _shown(), F.array_join(F.transform(_attrs("editor"), value), "\n")).alias("extra_text"),
     )
     images = embedded_images(rows).filter("content is not null").select(F.struct("item_id", "place").alias("at"), "content")
-    inner = image_records(images, "at").select(F.col("item_id.item_id").alias("file"), F.col("item_id.place").alias("place"), "exif", "xmp", "c2pa", "modified", "iptc", "icc", "extended", "records")
+    inner = ws.save(image_records(images, "at")).select(F.col("item_id.item_id").alias("file"), F.col("item_id.place").alias("place"), "exif", "xmp", "c2pa", "modified", "iptc", "icc", "extended", "records")
     merged = merge_embedded(inner, "file", "place").select("item_id", "exif", F.col("xmp").alias("_xmp"), "c2pa", "iptc", "icc", F.col("records").alias("_records"), F.col("carriers"))
-    joined = with_xmp(ws.save(own), "xml").drop("xml").join(ws.save(merged), "item_id", "left")
+    joined = ws.save(with_xmp(ws.save(own), "xml").drop("xml")).join(ws.save(merged).hint("merge"), "item_id", "left")
     inside = F.coalesce(F.transform("_records", lambda r: F.struct(r["keyword"].alias("keyword"), r["text"].alias("text"), F.concat(F.lit(EMBEDDED), r["source"]).alias("source"))), F.array().cast("array<struct<keyword:string,text:string,source:string>>"))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return joined.select(
@@ -100,8 +100,13 @@ def _markdown(items: DataFrame) -> DataFrame:
     return markdown_signals(items.select("item_id", F.when(F.is_valid_utf8(text), text).alias("text")))
 
 
+def _signals(records: DataFrame) -> DataFrame:
+    """signal_rows of stored records: one plan of both takes the driver gigabytes to compile."""
+    return signal_rows(Workspace(records.sparkSession).save(records))
+
+
 #: What scans a format. Each takes (item_id, content) and gives the columns SIGNALS.
-SCANNERS = {("jpeg", "png", "webp"): lambda items: signal_rows(image_records(items)), ("svg",): lambda items: signal_rows(svg_records(items)), ("markdown",): _markdown}
+SCANNERS = {("jpeg", "png", "webp"): lambda items: _signals(image_records(items)), ("svg",): lambda items: _signals(svg_records(items)), ("markdown",): _markdown}
 
 
 def scan_files(items: DataFrame, id_col: str = "item_id", content_col: str = "content") -> DataFrame:
@@ -123,5 +128,6 @@ def scan_files(items: DataFrame, id_col: str = "item_id", content_col: str = "co
     found = ws.save(found.withColumnRenamed("item_id", "row"))
     code = F.coalesce(error_code(size, F.col("format"), known), F.when(~F.col("format").isin(*known), "unsupported-format"), F.lit("corrupt"))
     names = rows.select("row", F.col("id").alias("item_id"), "format", code.alias("code"))
-    out = names.join(found, "row", "left")
+    # millions of these rows fit into few MB of parquet, by which Spark would think them fit to broadcast
+    out = names.join(found.hint("merge"), "row", "left")
     return out.select("item_id", "format", *SIGNALS[1:], F.when(F.col("signal_id").isNull(), F.col("code")).alias("reason"))
