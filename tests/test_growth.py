@@ -7,6 +7,7 @@ from traceloom.functions.slices import in_slices
 from traceloom.functions.texts import SPACE, WORD, word_number
 from traceloom.operators.documents import scan_files
 from traceloom.operators.lint import lint
+from traceloom.plans.queries_graphs import object_graphs
 
 
 def optimized(frame) -> str:
@@ -44,3 +45,8 @@ def test_python_holds_a_slice_of_a_batch():
     assert len(out) == 10_000 and out[0].as_py() is None and out[9_999].as_py() == many(b"x" * 100)
     assert peak < 8e6  # all rows at once take 60 MB
     assert len(in_slices(many, (column[:0],), kind)) == 0
+
+
+def test_references_are_made_once(spark):
+    out = object_graphs(spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]

@@ -16,14 +16,16 @@ def mark(objects: DataFrame, references: DataFrame, roots: DataFrame, most: int
 
     objects (item, node), references (item, src, dst), roots (item, node); further columns are not read, rows that
     repeat count once, and rows with a null item or node take no part. Breadth first, all items in the same rounds:
-    a round follows the references of the last frontier, keeps those to objects that exist and were not seen, and is
-    stored, so the number of rounds is the depth of the deepest item, whatever the number of items. Items above
+    a round follows the references of the last frontier to what was not seen, and is stored (references to objects that
+    exist are stored once before, a row for each object), so the number of rounds is the depth of the deepest item,
+    whatever the number of items. Items above
     `most` stop at the round in which they exceed it ("too many objects"); those without a root that exists are
     refused too ("no root").
     """
     ws = Workspace(objects.sparkSession)
     objects = ws.save(objects.select("item", "node").dropna().distinct())
-    edges = ws.save(references.select("item", "src", F.col("dst").alias("node")).dropna().distinct())
+    edges = references.select("item", "src", F.col("dst").alias("node")).dropna().join(objects, ["item", "node"], "left_semi")
+    links = ws.save(edges.groupBy("item", "src").agg(F.collect_set("node").alias("nodes")))  # no longer than the object that holds them
     asked = ws.save(roots.select("item", "node").filter("item IS NOT NULL").distinct())
     frontier = ws.save(asked.join(objects, ["item", "node"], "left_semi").withColumn("depth", F.lit(0)))
     seen, counts, depth = frontier, frontier.groupBy("item").count(), 0
@@ -31,8 +33,8 @@ def mark(objects: DataFrame, references: DataFrame, roots: DataFrame, most: int
     while not frontier.isEmpty():
         depth += 1
         going = frontier.select("item", F.col("node").alias("src")).join(over, "item", "left_anti")
-        met = edges.join(going, ["item", "src"]).select("item", "node").distinct()
-        frontier = ws.save(met.join(objects, ["item", "node"], "left_semi").join(seen, ["item", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        met = links.join(going, ["item", "src"]).select("item", F.explode("nodes").alias("node")).distinct()
+        frontier = ws.save(met.join(seen, ["item", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.union(frontier)
         if not depth % 8:
             seen = ws.save(seen)
@@ -50,8 +52,15 @@ def sweep(reached: DataFrame) -> DataFrame:
 
 def rewrite_references(references: DataFrame, numbered: DataFrame) -> DataFrame:
     """references' rows of kept objects, with src_number and dst_number, the new numbers; one to nothing that is kept is null (dangling)."""
-    number = lambda end: numbered.select("item", F.col("node").alias(end), F.col("new_number").alias(f"{end}_number"))
-    return references.join(number("src"), ["item", "src"]).join(number("dst"), ["item", "dst"], "left")
+    return _numbered_targets(references.join(_numbers(numbered, "src"), ["item", "src"]), numbered)
+
+
+def _numbers(numbered: DataFrame, end: str) -> DataFrame:
+    return numbered.select("item", F.col("node").alias(end), F.col("new_number").alias(f"{end}_number"))
+
+
+def _numbered_targets(references: DataFrame, numbered: DataFrame) -> DataFrame:
+    return references.join(_numbers(numbered, "dst"), ["item", "dst"], "left")
 
 
 def rebuild(objects: DataFrame, references: DataFrame, roots: DataFrame, most: int = MOST_OBJECTS) -> DataFrame:
@@ -64,7 +73,7 @@ def rebuild(objects: DataFrame, references: DataFrame, roots: DataFrame, most: i
     reached, refused = mark(objects, references, roots, most)
     numbered = ws.save(sweep(reached))
     # an object's references are part of the object; they are gathered as they stand in it
-    rewritten = rewrite_references(references.select("item", "src", "dst", "position"), numbered)
+    rewritten = _numbered_targets(references.select("item", "src", "dst", "position"), numbered)  # those of objects that go meet nothing below
     targets = rewritten.groupBy("item", F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("position", "dst_number"))).alias("t"))
     kept = numbered.join(targets, ["item", "node"], "left")
     numbers = F.coalesce(F.col("t.dst_number"), F.array().cast("array<int>"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from traceloom.workspace import Workspace
+
 from ..operators import boxes, objects, revisions
 from . import made
 from .queries import table
@@ -17,11 +19,13 @@ def object_graphs(spark, sf_dir):
     """Each customer's orders as objects, lineitems as references to other orders of the customer, some to none; the first order is the root."""
     each = Window.partitionBy("item")
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("node"))
-    orders = orders.select("item", "node", (F.row_number().over(each.orderBy("node")) - 1).alias("place"), F.count("*").over(each).alias("n"))
+    ws = Workspace(spark)  # rounds and rewriting read both tables again
+    orders = ws.save(orders.select("item", "node", (F.row_number().over(each.orderBy("node")) - 1).alias("place"), F.count("*").over(each).alias("n")))
     lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("node"))
     to = (F.col("place") + 1 + F.col("l_partkey") % 7) % (F.col("n") + 1)
     lines = lines.select("item", F.col("node").alias("src"), F.col("l_linenumber").alias("position"), to.alias("place"))
     references = lines.join(orders.select("item", "place", F.col("node").alias("dst")), ["item", "place"], "left").withColumn("dst", F.coalesce("dst", F.lit(-1).cast("long")))
+    references = ws.save(references.select("item", "src", "dst", "position"))
     out = objects.rebuild(orders, references, orders.filter("place = 0"), most=MOST_ORDERS)
     shown = F.array_join(F.transform("targets", lambda t: F.coalesce(t.cast("string"), F.lit("null"))), ",")
     return out.select("item", "node", F.col("new_number").cast("long").alias("new_number"), F.col("depth").cast("long").alias("depth"), shown.alias("targets"), "reason")
