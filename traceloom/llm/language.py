@@ -112,16 +112,17 @@ def classify(text: str | None, table, size: int) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str], text_col: str = "text", size: int = PROFILE) -> DataFrame:
-    """docs' `columns` with lang_pred and score. Uses the text alone."""
-    kept = docs.select(*columns, F.col(text_col).alias("_text"))
+    """docs' `columns` with lang_pred and score. Uses the text alone, which may be one of the columns."""
+    place = columns.index(text_col) if text_col in columns else len(columns)
+    kept = docs.select(*columns, *[F.col(text_col).alias("_text")][: place == len(columns)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text")
 
     def run(batches):
         table = _table(profiles)
         for batch in batches:
-            found = [classify(text.as_py(), table, size) for text in batch.column(len(columns))]
+            found = [classify(text.as_py(), table, size) for text in batch.column(place)]
             new = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)] + new, names=[*columns, "lang_pred", "score"])
 
     return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, whole_text
+from .shared import BATCH, Workspace, whole_text
 
 #: Pieces that one population packs; islands of such a cell; its epochs, with migration between them.
 CELL, ISLANDS, EPOCHS = 1024, 2, 2
@@ -315,7 +315,7 @@ def pack_items(items: DataFrame, capacity: int, cell: int = CELL, islands: int =
         state = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("p.uid").alias("uids"), F.col("p.length").alias("sizes"), first.alias("population"), F.lit(None).cast("array<int>").alias("guest"))
         state = state.repartition("cell", "island")
         for epoch in range(epochs):
-            evolved = ws.save(_epoch(state, capacity, epoch, generations, population))
+            evolved = ws.save(_epoch(state, capacity, epoch, generations, population), BATCH)
             best = evolved.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("population")[0].alias("guest"))
             state = evolved.join(best, ["cell", "island"])
         count = F.array_max(F.col("population")[0])
@@ -349,6 +349,6 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     """
     ws = Workspace(docs.sparkSession)
     pieces = tokenize_pieces(docs, vocabulary or public_vocabulary(), capacity, id_col, text_col)
-    pieces = ws.save(pieces.withColumn("uid", F.monotonically_increasing_id()))
+    pieces = ws.save(pieces.withColumn("uid", F.monotonically_increasing_id()), BATCH)
     placed = pack_items(pieces.select("uid", "length"), capacity)
     return pieces.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.workspace import Workspace  # noqa: F401
+from traceloom.workspace import Workspace, at_most_rows  # noqa: F401
+
+
+#: Rows of whole texts that Python gets at a time: an Arrow batch is held by JVM and Python, and memory that large ones took is kept.
+BATCH = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, ascii_lower, join_groups, whole_text
+from .shared import BATCH, Workspace, ascii_lower, join_groups, whole_text
 
 #: Bits in which linked fingerprints may differ; bytes of 8 that they then surely share.
 DISTANCE = 3
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are null. An empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession)
-    marked = ws.save(fingerprints(docs, id_col, text_col, words))
+    marked = ws.save(fingerprints(docs, id_col, text_col, words), BATCH)
     distinct = ws.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     nodes = ws.save(components(near_links(distinct.select("fp"))))
     member = nodes.join(distinct, nodes["node"] == distinct["fp"]).select("fp", "component", "first")

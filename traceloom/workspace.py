@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,27 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def at_most_rows(spark: SparkSession, rows: int) -> None:
+    """From now on, Python gets at most so many rows at a time in this session: for frames that the caller writes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None):
+    """Within it, Python gets at most so many rows at a time; the session's own number comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows:
+        at_most_rows(spark, rows)
+    try:
+        yield
+    finally:
+        if spark.conf.get(key) != before:
+            spark.conf.set(key, before)
+
+
 class Workspace:
     """Parquet tables of one operator call. They cut lineage, survive lost executors and carry true sizes.
 
@@ -42,12 +64,13 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/traceloom/{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, frame: DataFrame) -> DataFrame:
-        """Write the frame and read it back."""
+    def save(self, frame: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write the frame and read it back. Its Python gets at most `rows` rows at a time, where that is given."""
         self.count += 1
         Workspace.made.add(self.root)
         path = f"{self.root}/{self.count}"
-        frame.write.parquet(path)
+        with arrow_rows(self.spark, rows):
+            frame.write.parquet(path)
         saved = self.spark.read.schema(frame.schema).parquet(path)
         saved._traceloom_path = path
         return saved
