@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+from traceloom.llm import runs
 from traceloom.llm.queries import op7_passages
 from traceloom.llm.runs import shared_runs
+from traceloom.llm.shared import ascii_lower
 
 
 def runs_of(rows):
@@ -65,3 +68,28 @@ def test_wrapped_and_embedded_passages(spark, none, odd, tmp_path):
     assert len(classes) == 3 and sum(r.kept for r in out) == 3
     assert all(sum(x.class_id == r.class_id for x in out) == r.occurrences for r in out)
     assert shared_runs(none).count() == 0 and shared_runs(odd).count() >= 0
+
+
+def test_equal_texts_are_looked_at_once(spark, monkeypatch):
+    """Copies add rows to the result, not windows to the work; an id with a text twice counts once, and null ids don't make a run shared."""
+    seen, join = [], runs.join_groups
+
+    def joined(rows, *more):
+        if {"seq", "h"} <= set(rows.columns):
+            seen.append(rows.count())
+        return join(rows, *more)
+
+    monkeypatch.setattr(runs, "join_groups", joined)
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    copied, part, lone, null = text("a", 80), text("a", 60) + " " + text("b", 30), text("c", 90), text("d", 70)
+    rows = [(i, copied) for i in range(30)] + [(None, copied), (3, copied), (30, part), (31, lone), (31, lone), (None, null), (None, null), (32, null)]
+    out = shared_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_word, r.n_words) for r in out} == runs_of(rows) and len(out) == 32
+    assert {r.occurrences for r in out} == {32} and [r.doc_id for r in out if r.kept] == [0]
+    assert seen and max(seen) <= 31 + 41
+
+
+def test_letters_other_than_a_to_z_keep_their_case(spark):
+    texts = ["ABC xyz [@`{", "ABÄÖ İıſK Ωz", "", None, "Z\x00\x7f\tA"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ascii_lower(F.col("t")).alias("low")).collect()
+    assert {r.k: r.low for r in got} == {k: t and "".join(c.lower() if c < "\x80" else c for c in t) for k, t in enumerate(texts)}

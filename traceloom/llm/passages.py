@@ -26,10 +26,11 @@ CHUNK = 1 << 18
 
 def paragraph_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, paragraph (line number from 0), n_words, id, words (32-bit hashes) of lines with LEAST_WORDS words."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(ascii_lower(whole_text(text_col)), "\n")).alias("paragraph", "line"))
-    words = F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(whole_text(text_col), "\n")).alias("paragraph", "line"))
+    words = F.filter(F.split(ascii_lower(F.col("line")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     # a line shorter than its words and the blanks between them needs no split
-    worded = lines.filter(F.length("line") >= 2 * LEAST_WORDS - 1).select("doc_id", "paragraph", words.alias("words")).filter(F.size("words") >= LEAST_WORDS)
+    # explode() of one: else Spark would split for the filter, and again for the rows
+    worded = lines.filter(F.length("line") >= 2 * LEAST_WORDS - 1).select("doc_id", "paragraph", F.explode(F.array(words)).alias("words")).filter(F.size("words") >= LEAST_WORDS)
     hashes = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return worded.select("doc_id", "paragraph", F.size("words").alias("n_words"), F.xxhash64("words").alias("id"), hashes.alias("words"))
 

@@ -87,9 +87,9 @@ def looked_at(words: np.ndarray, places: np.ndarray, before: np.ndarray, after:
     return starts, np.cumsum(np.concatenate([[0], np.where(covered | (np.diff(starts) == 1), 1, 2)]))
 
 
-def shared_hashes(spots: DataFrame, *more) -> DataFrame:
-    """The hashes that documents of two ids have, how many times each occurs (n), and further aggregates."""
-    return spots.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), *more).filter("low < high").drop("low", "high")
+def shared_hashes(spots: DataFrame, *more, low: str = "doc_id", high: str = "doc_id") -> DataFrame:
+    """The hashes that documents of two ids have, how many times each occurs (n), and further aggregates; low and high are the least and greatest id of a row."""
+    return spots.groupBy("h").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count("*").alias("n"), *more).filter("low < high").drop("low", "high")
 
 
 def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +99,7 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     RUN words are looked at, and those that are shared again, joined where they follow each other,
     are the runs; so the work grows with the words, not with pairs. Runs with a common window, or a chain of such, are one class. Returns doc_id, paragraph and first_word (of the run's
     start, from 0), n_words, class_id, occurrences, kept (true for the first by doc_id and word).
-    Rows of equal id and text count once. Null texts have no words; null ids don't make a run shared.
+    Rows of equal id and text count once. Equal texts have equal runs, so one of them is looked at. Null texts have no words; null ids don't make a run shared.
     """
     ws = Workspace(docs.sparkSession)
     text = whole_text(text_col)
@@ -129,35 +129,36 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = join_groups(first.drop("before", "after"), shared, ["h"], "n").groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "same_before", "same_after"))).alias("places"))
     met = ws.save(met.withColumnsRenamed({"doc_id": "of", "t": "m"}))
     ws.drop(first)
+    least_of = F.min(F.struct(F.col("of").isNull(), "of"))["of"].alias("of")
+    one = ws.save(met.groupBy("m").agg(least_of, F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("copies"), F.first("places").alias("places")))
 
     def around(batches):
-        names = ["doc_id", "t", "place", "seq", "h", "line"]
+        names = ["t", "low", "high", "place", "seq", "h", "line"]
         for batch in batches:
-            ids, marks, counts, found = [], [], [], [np.empty((4, 0), np.int64)]
-            for doc, mark, text, places in zip(*batch.columns):
+            counts, found = [], [np.empty((4, 0), np.int64)]
+            for text, places in zip(*batch.columns[3:]):
                 words, lines = word_hashes(text.as_py())
                 spots = places.values
                 starts, number = looked_at(words, np.asarray(spots.field("place"), np.int64), *(spots.field(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("same_before", "same_after")))
-                ids.append(doc.as_py())
-                marks.append(mark.as_py())
                 counts.append(len(starts))
                 found.append(np.stack([starts, number, windows(words, RUN)[starts].view(np.int64), lines[starts]]))
             place, seq, h, line = np.concatenate(found, 1)
-            of = pa.array(np.repeat(np.arange(len(ids)), counts))
-            columns = [pa.array(ids, pa.int64()).take(of), pa.array(marks, pa.int64()).take(of), *(pa.array(x.astype(np.int32)) for x in (place, seq)), pa.array(h), pa.array(line.astype(np.int32))]
+            of = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
+            columns = [*(c.take(of) for c in batch.columns[:3]), *(pa.array(x.astype(np.int32)) for x in (place, seq)), pa.array(h), pa.array(line.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    near = texts.join(met, (F.col("t") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "t", "text", "places")
-    spots = ws.save(near.mapInArrow(around, "doc_id long, t long, place int, seq int, h long, line int"))
-    island = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id", "t").orderBy("seq"))
-    hits = join_groups(spots, ws.save(shared_hashes(spots)), ["h"], "n").withColumn("island", island)
-    hits = ws.save(hits.withColumn("least", F.min("h").over(Window.partitionBy("doc_id", "t", "island"))))
+    near = texts.join(one, (F.col("t") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("t", "low", "high", "text", "places")
+    spots = ws.save(near.mapInArrow(around, "t long, low long, high long, place int, seq int, h long, line int"))
+    island = F.col("seq") - F.dense_rank().over(Window.partitionBy("t").orderBy("seq"))
+    hits = join_groups(spots.drop("low", "high"), ws.save(shared_hashes(spots, low="low", high="high")), ["h"], "n").withColumn("island", island)
+    hits = ws.save(hits.withColumn("least", F.min("h").over(Window.partitionBy("t", "island"))))
     ws.drop(spots)
     apart = hits.groupBy("h").agg(F.min("least").alias("b"), F.max("least").alias("most"), F.count("*").alias("n")).filter("b < most").drop("most")
     links = join_groups(hits, ws.save(apart), ["h"], "n").filter("least <> b").select(F.col("least").alias("a"), "b").distinct()
     classes = ws.save(components(links).select(F.col("node").alias("least"), "component"))
-    runs = hits.groupBy("doc_id", "t", "island", "least").agg(F.min("place").cast("long").alias("first_word"), F.min("line").alias("paragraph"), (F.max("place") - F.min("place") + RUN).alias("n_words"))
-    runs = ws.save(runs.join(classes, "least", "left").withColumn("class_id", F.coalesce("component", "least")))
+    runs = hits.groupBy("t", "island", "least").agg(F.min("place").cast("long").alias("first_word"), F.min("line").alias("paragraph"), (F.max("place") - F.min("place") + RUN).alias("n_words"))
+    runs = ws.save(runs.join(classes, "least", "left").withColumn("class_id", F.coalesce("component", "least")).join(one.select(F.col("m").alias("t"), "copies"), "t"))
+    runs = ws.save(join_groups(met.select(F.col("of").alias("doc_id"), F.col("m").alias("t")), runs, ["t"], "copies"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "first_word", "t")
     counts = runs.groupBy("class_id").agg(F.count("*").alias("occurrences"), F.min(rank).alias("first"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("first_word") == F.col("first.first_word"))

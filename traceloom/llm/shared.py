@@ -23,7 +23,8 @@ def whole_text(column: str = "text") -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z alone; other letters stay, so positions and lengths do too."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.octet_length(text) == F.length(text)  # no other letters: lower() goes by bytes, translate() looks up every character
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def buckets(rows: int, per_bucket: int = 4096, most: int = 65536) -> int:
