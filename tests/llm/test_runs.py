@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from traceloom.llm import runs
 from traceloom.llm.queries import op7_passages
@@ -89,6 +91,30 @@ def test_equal_texts_are_looked_at_once(spark, monkeypatch):
     assert seen and max(seen) <= 31 + 41
 
 
+def test_texts_hashed_together_are_as_each_alone(monkeypatch):
+    """Texts beside each other, empty, short, long and repeating ones: words, and the windows chosen, are those of each text."""
+    rng = random.Random(4)
+    texts = ["", " ", "a " * 120, "ab CD " * 90, "x\ny\n\nZ " * 40, "É ü " * 70, "", "\n" * 9 + "w " * 49, "no-blank", "at the end", ""]
+    texts += [" ".join(rng.choice(["p", "Q", "r"]) for _ in range(400)), " ".join(str(rng.random()) for _ in range(900)), " ".join(f"w{k % 30}" for k in range(300)), "one\x00two"]
+    value = lambda word: sum((c + 1) * pow(runs._BASE, k, 1 << 64) for k, c in enumerate(word.lower())) % (1 << 64)
+    for order, size in ((texts, 1 << 18), (texts[::-1], 1 << 18), (texts, 300), (texts, 1)):
+        monkeypatch.setattr(runs, "SLICE", size)
+        seen = 0
+        for a, b, data, bounds in runs.slices(pa.array([None, *order]).slice(1)):
+            assert a == seen and b > a
+            seen = b
+            words, begins = runs.word_hashes(data, bounds)
+            bounds = np.searchsorted(begins, bounds)
+            places, of, hashes = runs.chosen_of(words, bounds)
+            for k, text in enumerate(order[a:b]):
+                own = words[bounds[k] : bounds[k + 1]]
+                assert own.tolist() == runs._mixed(np.array([value(w) for w in text.encode().split()], np.uint64)).tolist()
+                want = runs.chosen(own)
+                assert (places[of == k] - bounds[k]).tolist() == want.tolist()
+                assert not len(want) or (hashes[of == k] == runs.windows(own, runs.WINDOW)[want]).all()
+        assert seen == len(order)
+
+
 def test_letters_other_than_a_to_z_keep_their_case(spark):
     texts = ["ABC xyz [@`{", "ABÄÖ İıſK Ωz", "", None, "Z\x00\x7f\tA"]
     got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ascii_lower(F.col("t")).alias("low")).collect()

@@ -16,6 +16,7 @@ from traceloom.llm.audio import decode_adpcm, decode_media, documents_as_audio
 from traceloom.llm.components import components
 from traceloom.llm.language import identify_languages
 from traceloom.llm.licenses import TEMPLATES, scan_licenses
+from traceloom.llm import passages
 from traceloom.llm.passages import repeated_passages, similar_links, within_edits
 from traceloom.llm.secrets import RULES, arrays, code_points, find_secrets, load, redact, scan
 from traceloom.llm.simhash import SHARED, near_duplicates, postings
@@ -218,6 +219,43 @@ def test_similar_links_connect_all_that_are_similar():
         assert same(got) == same(want)
 
 
+def test_edits_of_long_lists():
+    """By diagonals, by bits, and by a few diagonals before bits: all as the whole table counts them."""
+    rng = random.Random(12)
+    for n, changes in ((70, 9), (300, 40), (1200, 30), (1200, 100)):
+        a = [rng.randrange(60) for _ in range(n)]
+        b = list(a)
+        for _ in range(changes):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = [rng.randrange(60)] * rng.randrange(2)
+        d = distance(a, b)
+        assert d > 0 and [within_edits(x, y, most) for x, y in ((a, b), (b, a)) for most in (d - 1, d, d + 1)] == [False, True, True] * 2
+
+
+def test_links_of_few_sets_connect_what_those_of_many_do(monkeypatch):
+    """Buckets of texts, with words put in, left out and changed: compared at once, and in turn, against every pair."""
+    rng = random.Random(9)
+    for n in (2, 3, 12, 40):
+        texts = []
+        for _ in range(n):
+            text = list(rng.choice(texts)) if texts and rng.random() < 0.7 else [rng.randrange(500) for _ in range(60)]
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(text))
+                text[at : at + rng.randrange(2)] = [rng.randrange(500)] * rng.randrange(2)
+            texts.append(np.array(text, np.int32))
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        sets = passages.shingle_sets(np.concatenate(texts), offsets)
+        assert all((s == np.unique(passages.shingles(t, np.array([0, len(t)]))[0])).all() for s, t in zip(sets, texts, strict=True))
+        near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) or distance(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j])) // 10
+        same = lambda r: {frozenset(k for k in r if r[k] == v) for v in r.values()}
+        want = same(linked(range(n), near))
+        for at_once in (1 << 20, 0):
+            monkeypatch.setattr(passages, "AT_ONCE", at_once)
+            links = similar_links(sets, words=texts)
+            assert all(near(i, j) for i, j in links)
+            assert same(linked(range(n), lambda i, j: (i, j) in links or (j, i) in links)) == want
+
+
 def adpcm_by_sample(block):
     value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [value]

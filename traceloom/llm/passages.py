@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
+from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,12 @@ SHINGLE, SIMILAR, EDITS, LEAST_WORDS = 5, 0.8, 0.1, 45
 BANDS, ROWS = 12, 2
 #: Paragraphs of one bucket that one task compares; larger buckets are compared in blocks.
 BLOCK = 2048
-#: Shingles whose minima are taken at a time.
+#: Shingles whose minima are taken at a time, or which are sorted at a time.
 CHUNK = 1 << 18
+#: Sets times their members, up to which all pairs of sets are counted at once.
+AT_ONCE = 1 << 20
+#: Words of the longer list, beyond which FEW edits are tried before all are counted.
+LONG, FEW = 1024, 64
 
 
 def paragraph_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,16 +55,35 @@ def shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[whole[:runs]], np.concatenate([[0], np.cumsum(each - (SHINGLE - 1))])
 
 
+def cuts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Lists a to b of about CHUNK members at a time, lists whole."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def shingle_sets(words: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The shingles of each list, sorted and without repeats."""
+    sets = []
+    for a, b in cuts(offsets):
+        values, at = shingles(words[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        of = np.repeat(np.arange(b - a), np.diff(at))
+        order = np.lexsort((values, of))
+        values = values[order]
+        fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (of[1:] != of[:-1])])
+        sets += np.split(values[fresh], np.cumsum(np.bincount(of[fresh], minlength=b - a))[:-1])
+    return sets
+
+
 def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A key for each band of each run of shingle hashes: a mix of its minima under ROWS seeded permutations."""
     rng = np.random.default_rng(17)
     factor = rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
-    n, keys = len(offsets) - 1, np.zeros((len(offsets) - 1, BANDS), np.uint64)
-    cuts = [0]
-    while cuts[-1] < n:
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + CHUNK, "right")) - 1))
-    for a, b in pairwise(cuts):
+    keys = np.zeros((len(offsets) - 1, BANDS), np.uint64)
+    for a, b in cuts(offsets):
         part, starts = values[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
         for k in range(BANDS * ROWS):
             mixed = part * factor[k] + shift[k]
@@ -87,12 +111,18 @@ def with_bands(worded: DataFrame) -> DataFrame:
 
 
 def within_edits(a: list, b: list, most: int) -> bool:
-    """Whether at most `most` insertions, deletions and changes make a into b: how far each diagonal gets with 0, 1, 2... edits."""
+    """Whether at most `most` insertions, deletions and changes make a into b.
+
+    In long lists, it is first seen how far each diagonal gets with 0, 1, 2... edits, which is soon done if few are enough.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
+    if not n or not m or n == m and sum(map(ne, a, b)) <= most:
+        return True
+    few = min(most, FEW) if max(n, m) > LONG else -1
     reached: dict[int, int] = {}
-    for edits in range(most + 1):
+    for edits in range(few + 1):
         now = {}
         for d in range(-edits, edits + 1):
             i = 0 if not edits else max(reached.get(d, -2) + 1, reached.get(d - 1, -2), reached.get(d + 1, -2) + 1)
@@ -105,7 +135,68 @@ def within_edits(a: list, b: list, most: int) -> bool:
                 return True
             now[d] = i
         reached = now
-    return False
+    return few < most and _within_bits(a, b, most)
+
+
+def _within_bits(a: list, b: list, most: int) -> bool:
+    """The same by bits: where a column of the table of distances rises and falls from one word of a to the next (Myers; Hyyro)."""
+    places: dict = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance, left = every, 0, len(a), len(b)
+    for x in b:
+        same = places.get(x, 0)
+        across = ((same & up) + up ^ up) | same
+        rise, fall = (down | ~(across | up)) & every, up & across
+        left -= 1
+        if rise & last:
+            distance += 1
+        elif fall & last:
+            distance -= 1
+        if distance - left > most:
+            return False
+        rise = rise << 1 | 1
+        up, down = (fall << 1 | ~(same | down | rise)) & every, rise & (same | down)
+    return distance <= most
+
+
+def _links_at_once(sets: list[np.ndarray], least: float, words: list[np.ndarray] | None, edits: float) -> list[tuple[int, int]]:
+    """similar_links of few and small sets: the members that all pairs share are one product of matrices."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    members, column = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((n, len(members)), np.float32)
+    held[np.repeat(np.arange(n), sizes), column] = 1
+    shared = (held @ held.T).astype(np.int64)
+    near = shared >= least * (sizes[:, None] + sizes - shared) - 1e-9
+    root, found = list(range(n)), []
+
+    def top(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in np.argwhere(np.triu(near, 1)).tolist():
+        if (x := top(i)) != (y := top(j)):
+            root[y] = x
+            found.append((i, j))
+    if words is None or len(found) == n - 1:
+        return found
+    counts = np.array([len(w) for w in words])
+    allowed = np.floor(np.maximum(counts[:, None], counts) * edits + 1e-9).astype(np.int64)
+    maybe = ~near & (np.abs(counts[:, None] - counts) <= allowed) & (shared >= np.maximum(sizes[:, None], sizes) - SHINGLE * allowed)
+    lists: dict = {}
+    for i, j in np.argwhere(np.triu(maybe, 1)).tolist():
+        if (x := top(i)) != (y := top(j)):
+            for k in (i, j):
+                if k not in lists:
+                    lists[k] = words[k].tolist(), set(words[k].tolist())
+            (a, known_a), (b, known_b), most = lists[i], lists[j], int(allowed[i, j])
+            # a word that only one has is an edit
+            if len(known_a - known_b) <= most and len(known_b - known_a) <= most and within_edits(a, b, most):
+                root[y] = x
+                found.append((i, j))
+    return found
 
 
 def similar_links(sets: list[np.ndarray], least: float = SIMILAR, words: list[np.ndarray] | None = None, edits: float = EDITS) -> list[tuple[int, int]]:
@@ -118,6 +209,8 @@ def similar_links(sets: list[np.ndarray], least: float = SIMILAR, words: list[np
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
+    if n and n * int(sizes.sum()) <= AT_ONCE:
+        return _links_at_once(sets, least, words, edits)
     if words is not None:
         counts, words = np.array([len(w) for w in words]), [w.tolist() for w in words]
         known = [set(w) for w in words]
@@ -163,17 +256,21 @@ def verified_links(clusters: DataFrame) -> DataFrame:
     def compare(batches):
         key, ids, sets, texts = None, [], [], []
         for batch in _with_end(batches):
-            rows = [(None, 0, None)] if batch is None else zip(zip(*(batch.column(k).to_pylist() for k in range(3))), batch.column(3).to_pylist(), batch.column(4))
-            for now, one, words in rows:
+            rows, found = [(None, 0, None, None)], []
+            if batch is not None:
+                offsets = np.asarray(batch.column(4).offsets, np.int64)
+                words, offsets = np.asarray(batch.column(4).values)[offsets[0] : offsets[-1]], offsets - offsets[0]
+                rows = zip(zip(*(batch.column(k).to_pylist() for k in range(3))), batch.column(3).to_pylist(), np.split(words, offsets[1:-1]), shingle_sets(words, offsets))
+            for now, one, text, members in rows:
                 if now != key:
                     if len(ids) > 1:
-                        found = [(ids[i], ids[j]) for i, j in similar_links(sets, words=texts)]
-                        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=schema)
+                        found += [(ids[i], ids[j]) for i, j in similar_links(sets, words=texts)]
                     key, ids, sets, texts = now, [], [], []
                 if now is not None:
                     ids.append(one)
-                    texts.append(np.asarray(words.values))
-                    sets.append(np.unique(shingles(texts[-1], np.array([0, len(texts[-1])]))[0]))
+                    texts.append(text)
+                    sets.append(members)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=schema)
 
     order = ["cluster", "b1", "b2"]
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
