@@ -1,7 +1,9 @@
 """Written files, table functions, totals over sets of keys, typed values."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from traceloom.functions import values
 from traceloom.functions.tables import register_table_functions
 from traceloom.operators import rollups
 from traceloom.operators.guides import scalar
-from traceloom.sources.binaries import cleaned_name, numbered_name, write_files
+from traceloom.sources.binaries import FolderWriter, cleaned_name, numbered_name, write_files
 from traceloom.sources.files import read_files
 
 
@@ -55,6 +57,26 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
         frame.drop("content").write.format("folder_of_files").mode("append").save(str(tmp_path / "out"))
 
 
+def test_tasks_at_work_when_their_job_is_aborted(tmp_path):
+    """They fail and leave nothing, whether they had begun to write or not."""
+    names = lambda: [n for _, _, files in os.walk(tmp_path) for n in files]
+    batch = lambda k: pa.RecordBatch.from_pydict({"name": [f"f{k}"], "content": [b"x"]})
+    late = FolderWriter(str(tmp_path / "late"), False)
+    late.abort([None])
+    with pytest.raises(OSError):
+        late.write(iter([batch(0)]))
+    assert not names()
+    for turn in range(20):
+        writer = FolderWriter(str(tmp_path / f"busy{turn}"), False)
+        with ThreadPoolExecutor(4) as pool:
+            tasks = [pool.submit(writer.write, map(batch, range(100_000))) for _ in range(4)]
+            while len(names()) < 40 and not any(t.done() for t in tasks):
+                pass
+            writer.abort([None] * 4)
+            assert all(isinstance(t.exception(), OSError) for t in tasks)
+        assert not names() and not os.path.exists(tmp_path / f"busy{turn}/_staged")
+
+
 def test_table_functions_of_odd_contents(spark):
     assert set(register_table_functions(spark)) >= {"jpeg_segments", "png_chunks", "webp_chunks", "jumbf_boxes", "svg_tokens"}
     spark.createDataFrame([(1, None, None), (2, b"", ""), (3, b"text", "a<b>c</b><!-- x"), (4, b"\xff\xd8\xff\xfe\0\x04ab\xff\xd9", "<svg a='>'/>")], "id int, content binary, text string").createOrReplaceTempView("odd_files")

@@ -47,10 +47,15 @@ class Staged(WriterCommitMessage):
 
 
 class FolderWriter(DataSourceArrowWriter):
-    """Tasks write into folders of their own below _staged; a commit moves those of the tasks that count, a folder a task, an abort takes them away."""
+    """Tasks write into folders of their own below _staged; a commit moves those of the tasks that count, a folder a task, an abort takes them away.
+
+    The job's folder is made on the driver, and tasks don't make it again: those that are still at work when their job is aborted then fail.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+        system, root = self._folder()
+        system.create_dir(f"{root}/{STAGED}/{self.job}")
 
     def _folder(self):
         from pyarrow import fs
@@ -66,7 +71,7 @@ class FolderWriter(DataSourceArrowWriter):
                 if name is None or not content.is_valid:
                     continue
                 if not taken:
-                    system.create_dir(folder)
+                    system.create_dir(folder, recursive=False)
                 with system.open_output_stream(f"{folder}/{numbered_name(name, taken)}") as out:
                     out.write(content.as_py())
         return Staged(folder, len(taken))
@@ -90,7 +95,9 @@ class FolderWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         if system.get_file_info(f"{root}/{STAGED}/{self.job}").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/{STAGED}/{self.job}")
+            # tasks may still add files, which a deletion can miss or fail at; none are added where no task looks
+            system.move(f"{root}/{STAGED}/{self.job}", f"{root}/{STAGED}/{self.job}-ended")
+            system.delete_dir(f"{root}/{STAGED}/{self.job}-ended")
         if not system.get_file_info(fs.FileSelector(f"{root}/{STAGED}", allow_not_found=True)) and system.get_file_info(f"{root}/{STAGED}").type == fs.FileType.Directory:
             system.delete_dir(f"{root}/{STAGED}")
 
